@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from enrichspark import constants as C
 from enrichspark.sources.derived import ANCHOR, AS_OF
 
@@ -416,7 +418,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         select page_id as fact_id, page_id % 6 as run_id, regexp_extract({host('url')}, '([^.]+)\\.example\\.', 1) as entity_name,
           {host('url')} as domain,
           case page_id % 3 when 0 then 'hq_city' when 1 then 'employee_count' else 'ceo' end as field,
-          case when page_id % 8 = 0 then '' else concat('v', cast(page_id % 5 as varchar)) end as value,
+          case when page_id % 8 = 0 then '' else concat('v', cast(page_id % 2 as varchar)) end as value,
           case when page_id % 8 = 2 then '' else url end as source_url, page_id % 8 >= 2 as verified,
           case when page_id % 8 = 0 then concat('NOT FOUND — searched ', url) when page_id % 8 = 1 then 'UNVERIFIED guess' else '' end as note
         from pages""",
@@ -444,4 +446,8 @@ def sql(body: str, *needs: str) -> str:
     for name in needs:
         visit(name)
     heads = [f"{name} as ({CTES[name][1]})" for name in order]
-    return (f"with {', '.join(heads)} " if heads else "") + body
+    if not heads:
+        return body
+    # A body may open with tables of its own.
+    own = re.match(r"\s*\w+ as \(", body)
+    return f"with {', '.join(heads)}{', ' if own else ' '}{body}"

@@ -332,7 +332,7 @@ class Derived:
             F.col("host").alias("entity_name"),
             _pick(FIELDS, _mod("page_id", 3)).alias("field"),
             F.concat(F.lit("v"), F.col("page_id").cast("string")).alias("value"),
-            F.when(_mod("page_id", 4) == 0, F.concat(quote, F.lit(" zz"))).otherwise(F.upper(quote)).alias("quote"),
+            F.when(_mod("page_id", 4) == 0, F.concat(quote, F.lit(" zz"))).otherwise(quote).alias("quote"),
             F.concat("url", F.lit("#cited")).alias("source_url"),
         )
 
@@ -348,7 +348,7 @@ class Derived:
             host.alias("domain"),
             _pick(FIELDS, _mod("page_id", 3)).alias("field"),
             F.when(kind == 0, "")
-            .otherwise(F.concat(F.lit("v"), _mod("page_id", 5).cast("string")))
+            .otherwise(F.concat(F.lit("v"), _mod("page_id", 2).cast("string")))
             .alias("value"),
             F.when(kind == 2, "").otherwise(F.col("url")).alias("source_url"),
             (kind >= 2).alias("verified"),
