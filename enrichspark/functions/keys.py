@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +42,11 @@ def _url_encode(c: Column) -> Column:
     return F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once per row, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _clean_query(query: Column) -> Column:
     pairs = F.transform(
         F.filter(F.split(query, "&"), lambda p: p != ""),
@@ -53,6 +60,47 @@ def _clean_query(query: Column) -> Column:
     return F.when(query == "", "").otherwise(F.array_join(encoded, "&"))
 
 
+def _url_parts(url: Column) -> Column:
+    authority = F.regexp_replace(F.regexp_extract(url, _URL, 2), r"(?s)^.*@", "")
+    return F.struct(
+        F.coalesce(non_blank(F.lower(F.regexp_extract(url, _URL, 1))), F.lit("https")).alias("scheme"),
+        authority.alias("authority"),
+        F.contains(authority, F.lit("[")).alias("bracketed"),
+        F.coalesce(non_blank(F.rtrim(F.regexp_extract(url, _URL, 3), F.lit("/"))), F.lit("/")).alias("path"),
+        _bind(F.regexp_extract(url, _URL, 4), _clean_query).alias("query"),
+    )
+
+
+def _host_and_port(p: Column) -> Column:
+    host = F.when(p["bracketed"], F.regexp_extract(p["authority"], r"\[([^\]]*)", 1))
+    port = F.when(p["bracketed"], F.regexp_extract(p["authority"], r"\][^:]*:(.*)$", 1))
+    return F.struct(
+        *[p[c].alias(c) for c in ("scheme", "path", "query")],
+        F.lower(host.otherwise(F.substring_index(p["authority"], ":", 1))).alias("host"),
+        port.otherwise(F.regexp_extract(p["authority"], r"^[^:]*:(.*)$", 1)).alias("port"),
+    )
+
+
+def _with_netloc(p: Column) -> Column:
+    number = F.when(p["port"].rlike(r"^[0-9]+$"), p["port"].try_cast("int"))
+    valid = (p["port"] == "") | F.coalesce(number <= 65535, F.lit(False))
+    usual = F.element_at(F.create_map(*[F.lit(x) for kv in C.DEFAULT_PORTS.items() for x in kv]), p["scheme"])
+    shown = F.coalesce((number != 0) & ~number.eqNullSafe(usual), F.lit(False))
+    suffix = F.when(shown, F.concat(F.lit(":"), number.cast("string"))).otherwise("")
+    return F.struct(
+        *[p[c].alias(c) for c in ("scheme", "path", "query")],
+        F.when(valid, F.concat(p["host"], suffix)).alias("netloc"),
+    )
+
+
+def _assemble(p: Column) -> Column:
+    # Without a host only the bare root keeps the double slash.
+    slashes = F.when((p["netloc"] != "") | (p["path"] == "/"), "://").otherwise(":")
+    root = F.when((p["netloc"] != "") & ~p["path"].startswith("/"), "/").otherwise("")
+    query = F.when(p["query"] == "", "").otherwise(F.concat(F.lit("?"), p["query"]))
+    return F.concat(p["scheme"], slashes, p["netloc"], root, p["path"], query)
+
+
 def canon_url(c: Column) -> Column:
     """Canonical URL: one spelling for all variants of an address.
 
@@ -61,35 +109,8 @@ def canon_url(c: Column) -> Column:
     not a number up to 65535 makes the result NULL.
     """
     url = F.regexp_replace(trim_all(c), r"[\t\r\n]", "")
-    scheme = F.coalesce(non_blank(F.lower(F.regexp_extract(url, _URL, 1))), F.lit("https"))
-    authority = F.regexp_replace(F.regexp_extract(url, _URL, 2), r"(?s)^.*@", "")
-    bracketed = F.contains(authority, F.lit("["))
-    host = F.lower(
-        F.when(bracketed, F.regexp_extract(authority, r"\[([^\]]*)", 1)).otherwise(
-            F.substring_index(authority, ":", 1)
-        )
-    )
-    port_text = F.when(
-        bracketed, F.regexp_extract(authority, r"\][^:]*:(.*)$", 1)
-    ).otherwise(F.regexp_extract(authority, r"^[^:]*:(.*)$", 1))
-    port = F.when(port_text.rlike(r"^[0-9]+$"), port_text.try_cast("int"))
-    bad_port = (port_text != "") & ~F.coalesce(port <= 65535, F.lit(False))
-    default = F.lit(False)
-    for name, number in C.DEFAULT_PORTS.items():
-        default = default | ((scheme == name) & (port == number))
-    shown = F.coalesce((port != 0) & ~default, F.lit(False))
-    netloc = F.concat(host, F.when(shown, F.concat(F.lit(":"), port.cast("string"))).otherwise(""))
-    path = F.coalesce(non_blank(F.rtrim(F.regexp_extract(url, _URL, 3), F.lit("/"))), F.lit("/"))
-    # Without a host only a rooted path keeps the double slash.
-    prefix = F.when(netloc != "", F.concat(F.lit("://"), netloc)).otherwise(
-        F.when(path == "/", "://").otherwise(":")
-    )
-    rooted = F.when((netloc != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path)
-    query = _clean_query(F.regexp_extract(url, _URL, 4))
-    full = F.concat(
-        scheme, prefix, rooted, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query))
-    )
-    return F.when(~bad_port, full)
+    parts = _bind(url, _url_parts)
+    return _bind(_bind(_bind(parts, _host_and_port), _with_netloc), _assemble)
 
 
 def url_key(c: Column) -> Column:

@@ -25,6 +25,12 @@ NAMED_ENTITIES = {
     "&middot;": "·",
     "&amp;": "&",
 }
+# Comments, subtrees without visible text, and tags, in one pass. A text cut by any of them is two.
+_MARKUP = (
+    r"(?is)<!--.*?(?:-->|\z)"
+    rf"|<({'|'.join(C.DROPPED_SUBTREES)})\b[^>]*+>.*?(?:</\1\s*+>|\z)"
+    r"|<[!/?a-z][^>]*+>"
+)
 _LINE_BREAKS = r"[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]+"
 
 
@@ -47,10 +53,7 @@ def html_text(c: Column, mode: str = "full") -> Column:
     """
     if mode == "raw":
         return c
-    t = F.regexp_replace(c, r"(?s)<!--.*?(?:-->|\z)", "")
-    for tag in C.DROPPED_SUBTREES:
-        t = F.regexp_replace(t, rf"(?is)<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)", "\n")
-    t = F.regexp_replace(t, r"<[!/?A-Za-z][^>]*>", "\n")
+    t = F.regexp_replace(c, _MARKUP, "\n")
     t = _decode_all_entities(t) if mode == "full" else _decode_named(t)
     lines = F.transform(F.split(t, _LINE_BREAKS), trim_all)
     return F.array_join(F.filter(lines, lambda line: line != ""), "\n")

@@ -18,12 +18,13 @@ def breaker(
     failures: int = C.BREAKER_FAILURES,
     seconds: int = C.BREAKER_SECONDS,
     bucket_seconds: int = 3600,
+    carried: DataFrame | None = None,
 ) -> DataFrame:
     """Where the breaker opened in a log of attempts that really ran.
 
     Opening resets the counter, so of the failures since the last success every
     ``failures``-th opens it. Runs as two bucketed scans: failures so far, and that count as it
-    stood at the last success.
+    stood at the last success. ``carried`` holds the streak each provider came in with.
     """
     by, order = list(by), list(order)
     bucket = time_bucket(F.col("ts"), bucket_seconds)
@@ -32,7 +33,11 @@ def breaker(
     )
     at_success = F.when(F.col("ok"), F.col("_failed"))
     streaks = running(counted, by, order, bucket, maxes={"_cleared": at_success})
-    streak = F.col("_failed") - F.coalesce("_cleared", F.lit(0))
+    came_in = F.lit(0)
+    if carried is not None:
+        streaks = streaks.join(carried.select(*by, F.col("streak").alias("_came_in")), by, "left")
+        came_in = F.coalesce("_came_in", F.lit(0))
+    streak = F.col("_failed") - F.coalesce(F.col("_cleared"), -came_in)
     opens = ~F.col("ok") & (F.pmod(streak, F.lit(failures)) == 0)
     until = F.col("ts") + F.make_dt_interval(secs=F.lit(seconds))
     return streaks.select(

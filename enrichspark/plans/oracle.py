@@ -54,7 +54,7 @@ def host(u: str) -> str:
 
 
 def html_text(h: str) -> str:
-    t = f"regexp_replace({h}, '(?s)<!--.*?(-->|\\z)', '', 'g')"
+    t = f"regexp_replace({h}, '(?s)<!--.*?(-->|\\z)', {LF}, 'g')"
     for tag in C.DROPPED_SUBTREES:
         t = f"regexp_replace({t}, '(?is)<{tag}\\b[^>]*>.*?(</{tag}\\s*>|\\z)', {LF}, 'g')"
     t = f"regexp_replace({t}, '<[!/?A-Za-z][^>]*>', {LF}, 'g')"

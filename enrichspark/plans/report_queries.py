@@ -320,12 +320,14 @@ def run_summary(d: Derived) -> DataFrame:
 
 @query(
     "two_source_rule",
-    f"""select entity_name, field, value, count(distinct nullif({q.host('source_url')}, '')) as sources from fact where verified
-    group by 1, 2, 3 having count(distinct nullif({q.host('source_url')}, '')) >= 2""",
+    f"""select regexp_extract(domain, 'example\\.[a-z]+') as entity_name, field, value, count(distinct {q.host('source_url')}) as sources
+    from fact where verified and source_url <> '' group by 1, 2, 3 having count(distinct {q.host('source_url')}) >= 2""",
     "fact",
 )
 def two_source_rule(d: Derived) -> DataFrame:
-    return facts.two_sources(d.fact)
+    """Facts of a whole domain group, which its many hosts may support."""
+    group = F.regexp_extract("domain", r"example\.[a-z]+", 0)
+    return facts.two_sources(d.fact.withColumn("entity_name", group))
 
 
 @query(
