@@ -15,6 +15,7 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
+_ALL = 1 << 30  # to the end of the text
 _WS_RUN = r"(?U)[\s\x1c-\x1f]+"
 _URL = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
@@ -61,23 +62,52 @@ def _clean_query(query: Column) -> Column:
 
 
 def _url_parts(url: Column) -> Column:
-    authority = F.regexp_replace(F.regexp_extract(url, _URL, 2), r"(?s)^.*@", "")
-    return F.struct(
+    """scheme, authority, path and query; plain string cuts for the usual ``scheme://`` form,
+    the general pattern for the rest."""
+
+    def cut(f: Column) -> Column:
+        scheme = F.substring_index(f["core"], "://", 1)
+        after = F.substring(f["core"], F.length(scheme) + 4, _ALL)
+        authority = F.substring_index(after, "/", 1)
+        return F.struct(
+            F.lower(scheme).alias("scheme"),
+            authority.alias("authority"),
+            F.substring(after, F.length(authority) + 1, _ALL).alias("path"),
+            F.substring(f["full"], F.length(f["core"]) + 2, _ALL).alias("query"),
+        )
+
+    full = F.substring_index(url, "#", 1)
+    usual = _bind(
+        F.struct(full.alias("full"), F.substring_index(full, "?", 1).alias("core")), cut
+    )
+    general = F.struct(
         F.coalesce(non_blank(F.lower(F.regexp_extract(url, _URL, 1))), F.lit("https")).alias("scheme"),
-        authority.alias("authority"),
-        F.contains(authority, F.lit("[")).alias("bracketed"),
-        F.coalesce(non_blank(F.rtrim(F.regexp_extract(url, _URL, 3), F.lit("/"))), F.lit("/")).alias("path"),
-        _bind(F.regexp_extract(url, _URL, 4), _clean_query).alias("query"),
+        F.regexp_extract(url, _URL, 2).alias("authority"),
+        F.regexp_extract(url, _URL, 3).alias("path"),
+        F.regexp_extract(url, _URL, 4).alias("query"),
+    )
+    return F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), usual).otherwise(general)
+
+
+def _clean_parts(p: Column) -> Column:
+    return F.struct(
+        p["scheme"].alias("scheme"),
+        F.substring_index(p["authority"], "@", -1).alias("authority"),
+        F.coalesce(non_blank(F.rtrim(p["path"], F.lit("/"))), F.lit("/")).alias("path"),
+        _clean_query(p["query"]).alias("query"),
     )
 
 
 def _host_and_port(p: Column) -> Column:
-    host = F.when(p["bracketed"], F.regexp_extract(p["authority"], r"\[([^\]]*)", 1))
-    port = F.when(p["bracketed"], F.regexp_extract(p["authority"], r"\][^:]*:(.*)$", 1))
+    bracketed = F.contains(p["authority"], F.lit("["))
+    host = F.substring_index(p["authority"], ":", 1)
+    port = F.substring(p["authority"], F.length(host) + 2, _ALL)
+    v6_host = F.regexp_extract(p["authority"], r"\[([^\]]*)", 1)
+    v6_port = F.regexp_extract(p["authority"], r"\][^:]*:(.*)$", 1)
     return F.struct(
         *[p[c].alias(c) for c in ("scheme", "path", "query")],
-        F.lower(host.otherwise(F.substring_index(p["authority"], ":", 1))).alias("host"),
-        port.otherwise(F.regexp_extract(p["authority"], r"^[^:]*:(.*)$", 1)).alias("port"),
+        F.lower(F.when(bracketed, v6_host).otherwise(host)).alias("host"),
+        F.when(bracketed, v6_port).otherwise(port).alias("port"),
     )
 
 
@@ -108,9 +138,10 @@ def canon_url(c: Column) -> Column:
     tracking parameters dropped, remaining parameters re-encoded in order. A port that is
     not a number up to 65535 makes the result NULL.
     """
-    url = F.regexp_replace(trim_all(c), r"[\t\r\n]", "")
-    parts = _bind(url, _url_parts)
-    return _bind(_bind(_bind(parts, _host_and_port), _with_netloc), _assemble)
+    parts = _bind(F.translate(trim_all(c), "\t\r\n", ""), _url_parts)
+    for step in (_clean_parts, _host_and_port, _with_netloc, _assemble):
+        parts = _bind(parts, step)
+    return parts
 
 
 def url_key(c: Column) -> Column:

@@ -8,7 +8,7 @@ page text is joined to winners afterwards.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
-from dataclasses import dataclass
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -35,13 +35,31 @@ ALL_KEYS = ("exa", "tavily", "parallel", "brave", "serper", "claude_cli")
 _FLAG_DEFAULTS = {"query_intent": "keyword", "cooling": False, "user_invocation": False}
 
 
-@dataclass(frozen=True)
 class Resolution:
-    """``resolved``: one row per request; ``events``: one per attempt; ``writes``: cache rows."""
+    """``resolved``: one row per request; ``events``: one per attempt; ``writes``: cache rows.
 
-    resolved: DataFrame
-    events: DataFrame
-    writes: DataFrame
+    Each is planned when first asked for.
+    """
+
+    def __init__(
+        self,
+        resolved: Callable[[], DataFrame],
+        events: Callable[[], DataFrame],
+        writes: Callable[[], DataFrame],
+    ):
+        self._resolved, self._events, self._writes = resolved, events, writes
+
+    @cached_property
+    def resolved(self) -> DataFrame:
+        return self._resolved()
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return self._events()
+
+    @cached_property
+    def writes(self) -> DataFrame:
+        return self._writes()
 
 
 # --- building blocks -----------------------------------------------------------
@@ -227,14 +245,16 @@ def _settle(
     probed = variants.join(entries, key, "left").join(flags_by_rung, key, "left")
     decided = _walk(probed, ladder, configured, fetch, flags).withColumn("hit", _truth("hit"))
     stored = (F.col("winner").isNotNull() | F.col("dead")) if fetch else F.lit(True)
+    # Structs compare by their first field, so the least one is the first request's.
     lead = F.struct("_first", "winner", "dead", *(["native_status"] if fetch else []))
-    leaders = (
-        decided.where(~F.col("hit") & stored).groupBy(key).agg(F.min_by(lead, "_first").alias("_lead"))
-    )
-    decided = decided.join(leaders, key, "left")
+    # A key has one row per set of clearances here, never one per request.
+    of_key = Window.partitionBy(key)
+    decided = decided.withColumn("_lead", F.min(F.when(~F.col("hit") & stored, lead)).over(of_key))
     keep = [c for c in decided.columns if not c.startswith(("_tried", "_won", "_dead", "_shell", "_failed"))]
     keep = [c for c in keep if c not in flags_by_rung.columns or c in (key, "native_has_text", "native_status")]
-    return asked.join(decided.select(*keep), [key, *flags]), leaders
+    decided = decided.select(*keep)
+    leaders = decided.where(F.col("_first") == F.col("_lead._first")).select(key, "_lead")
+    return asked.join(decided, [key, *flags]), leaders
 
 
 def _events(rows: DataFrame, waterfall: str, as_of: str) -> DataFrame:
@@ -270,35 +290,38 @@ def resolve_search(
     rows = rows.withColumn("from_cache", F.col("hit") | follows)
     # Whoever fills the cache settles the result for those that follow.
     source = F.when(follows, F.col("_lead.winner")).when(~F.col("hit"), F.col("winner"))
-    resolved = rows.select(
-        "req",
-        "run_id",
-        "entity_name",
-        SEARCH_KEY,
-        F.when(F.col("from_cache"), "cache").otherwise(F.coalesce("winner", F.lit("none"))).alias("provider"),
-        F.when(F.col("hit"), F.col("cached_ok")).otherwise(source.isNotNull()).alias("ok"),
-        "from_cache",
-        F.when(F.col("from_cache"), 0).otherwise(F.col("credits")).cast("long").alias("credits"),
-        source.alias("result_rung"),
-    )
-    found = outcomes.select(SEARCH_KEY, F.col("rung").alias("_rung"), "results")
-    lead = leaders.select(SEARCH_KEY, F.col("_lead._first").alias("req"), F.col("_lead.winner").alias("_rung"))
-    # A shorter way to the query text of the leading request than keeping it through the fold.
-    asked = keyed.select("req", SEARCH_KEY, "query")
-    writes = (
-        lead.join(asked, ["req", SEARCH_KEY])
-        .join(found, [SEARCH_KEY, "_rung"], "left")
-        .select(
+
+    def resolved() -> DataFrame:
+        return rows.select(
+            "req",
+            "run_id",
+            "entity_name",
             SEARCH_KEY,
-            "query",
-            F.lit(C.SEARCH_CACHE_RUNG).alias("rung"),
-            F.coalesce("results", F.array().cast(RESULT_TYPE)).alias("result_urls"),
-            F.col("_rung").isNull().alias("empty"),
-            at(as_of).alias("fetched_at"),
-            (at(as_of) + F.make_dt_interval(days=F.lit(C.TTL_DAYS))).alias("expires_at"),
+            F.when(F.col("from_cache"), "cache").otherwise(F.coalesce("winner", F.lit("none"))).alias("provider"),
+            F.when(F.col("hit"), F.col("cached_ok")).otherwise(source.isNotNull()).alias("ok"),
+            "from_cache",
+            F.when(F.col("from_cache"), 0).otherwise(F.col("credits")).cast("long").alias("credits"),
+            source.alias("result_rung"),
         )
-    )
-    return Resolution(resolved, _events(rows, "search", as_of), writes)
+
+    def writes() -> DataFrame:
+        found = outcomes.select(SEARCH_KEY, F.col("rung").alias("_rung"), "results")
+        lead = leaders.select(SEARCH_KEY, F.col("_lead._first").alias("req"), F.col("_lead.winner").alias("_rung"))
+        return (
+            lead.join(keyed.select("req", SEARCH_KEY, "query"), ["req", SEARCH_KEY])
+            .join(found, [SEARCH_KEY, "_rung"], "left")
+            .select(
+                SEARCH_KEY,
+                "query",
+                F.lit(C.SEARCH_CACHE_RUNG).alias("rung"),
+                F.coalesce("results", F.array().cast(RESULT_TYPE)).alias("result_urls"),
+                F.col("_rung").isNull().alias("empty"),
+                at(as_of).alias("fetched_at"),
+                (at(as_of) + F.make_dt_interval(days=F.lit(C.TTL_DAYS))).alias("expires_at"),
+            )
+        )
+
+    return Resolution(resolved, lambda: _events(rows, "search", as_of), writes)
 
 
 def with_results(resolved: DataFrame, outcomes: DataFrame, cache: DataFrame) -> DataFrame:
@@ -402,48 +425,54 @@ def resolve_fetch(
         .otherwise(F.col("winner"))
     )
     error = (
-        F.when(F.col("tier") == "dead", F.concat(F.lit("dead URL (HTTP "), F.col("_status").cast("string"), F.lit(")")))
+        F.when(F.col("tier") == "dead", F.format_string("dead URL (HTTP %d)", "_status"))
         .when(F.col("tier") == "native-thin", "thin native body; escalation rungs could not improve it")
         .when(F.col("tier") == "failed", "no usable content")
     )
     fresh_ok = ~F.col("tier").isin("dead", "failed")
-    resolved = rows.select(
-        "req",
-        "run_id",
-        "entity_name",
-        PAGE_KEY,
-        "url",
-        "tier",
-        F.when(F.col("hit"), ~F.col("cached_dead") & F.col("cached_ok")).otherwise(fresh_ok).alias("ok"),
-        "from_cache",
-        F.col("_status").cast("int").alias("status"),
-        F.when(F.col("from_cache"), 0).otherwise(F.col("credits")).cast("long").alias("credits"),
-        error.alias("error"),
-        source.alias("content_rung"),
-    )
-    text = outcomes.select(PAGE_KEY, F.col("rung").alias("_rung"), excerpt(F.col("content")).alias("_text"))
-    lead = leaders.select(
-        PAGE_KEY,
-        F.col("_lead._first").alias("req"),
-        F.col("_lead.dead").alias("is_dead"),
-        F.col("_lead.native_status").alias("_status"),
-        F.when(F.col("_lead.dead"), "native").otherwise(F.col("_lead.winner")).alias("_rung"),
-    )
-    asked = keyed.select("req", PAGE_KEY, "url")
-    written = (
-        lead.join(asked, ["req", PAGE_KEY])
-        .join(text, [PAGE_KEY, "_rung"], "left")
-        .select(
+
+    def resolved() -> DataFrame:
+        return rows.select(
+            "req",
+            "run_id",
+            "entity_name",
             PAGE_KEY,
             "url",
-            F.when(F.col("_rung") == "native", F.coalesce("_status", F.lit(200))).otherwise(200).alias("http_status"),
-            "is_dead",
-            F.col("_rung").alias("provider"),
-            F.lit(None).cast("string").alias("digest"),
-            F.when(~F.col("is_dead"), F.col("_text")).alias("raw_excerpt"),
+            "tier",
+            F.when(F.col("hit"), ~F.col("cached_dead") & F.col("cached_ok")).otherwise(fresh_ok).alias("ok"),
+            "from_cache",
+            F.col("_status").cast("int").alias("status"),
+            F.when(F.col("from_cache"), 0).otherwise(F.col("credits")).cast("long").alias("credits"),
+            error.alias("error"),
+            source.alias("content_rung"),
         )
-    )
-    return Resolution(resolved, _events(rows, "fetch", as_of), page_writes(written, as_of))
+
+    def writes() -> DataFrame:
+        text = outcomes.select(PAGE_KEY, F.col("rung").alias("_rung"), excerpt(F.col("content")).alias("_text"))
+        lead = leaders.select(
+            PAGE_KEY,
+            F.col("_lead._first").alias("req"),
+            F.col("_lead.dead").alias("is_dead"),
+            F.col("_lead.native_status").alias("_status"),
+            F.when(F.col("_lead.dead"), "native").otherwise(F.col("_lead.winner")).alias("_rung"),
+        )
+        plain = F.col("_rung") == "native"
+        written = (
+            lead.join(keyed.select("req", PAGE_KEY, "url"), ["req", PAGE_KEY])
+            .join(text, [PAGE_KEY, "_rung"], "left")
+            .select(
+                PAGE_KEY,
+                "url",
+                F.when(plain, F.coalesce("_status", F.lit(200))).otherwise(200).alias("http_status"),
+                "is_dead",
+                F.col("_rung").alias("provider"),
+                F.lit(None).cast("string").alias("digest"),
+                F.when(~F.col("is_dead"), F.col("_text")).alias("raw_excerpt"),
+            )
+        )
+        return page_writes(written, as_of)
+
+    return Resolution(resolved, lambda: _events(rows, "fetch", as_of), writes)
 
 
 def with_content(resolved: DataFrame, outcomes: DataFrame, cache: DataFrame) -> DataFrame:
