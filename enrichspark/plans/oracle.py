@@ -89,6 +89,22 @@ _PATH = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
 _TAIL = "regexp_extract(url, '([?#].*)$', 1)"
 _FETCHED = f"cast({NOW} - to_days(cast(page_id % 120 as integer)) as timestamp)"
 
+
+
+def _xref(entities: str, columns: str) -> str:
+    return f"""
+        select {columns}, coalesce(d.status, n.status, 'net-new') as internal_status,
+          case when d.id is null and n.id is null then '' else coalesce(d.company_name, n.company_name) end as internal_ref,
+          case when d.id is not null then coalesce(d.notes, '{C.MATCH_NOTE}')
+            when n.id is not null then coalesce(n.notes, '{C.MATCH_NOTE}') else '' end as internal_note
+        from {entities} e
+          left join (select * from known where domain_normalized is not null
+            qualify row_number() over (partition by domain_normalized order by id) = 1) d
+            on d.domain_normalized = {canon_domain('e.domain')}
+          left join (select * from known qualify row_number() over (partition by lower(company_name) order by id) = 1) n
+            on lower(n.company_name) = lower(e.name)"""
+
+
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "rung_event": (
         (),
@@ -381,20 +397,14 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
           from (select {host('url')} as host, min(page_id) as id from pages group by 1)
           where length(host) % 4 <> 0 or id % 2 = 0)""",
     ),
-    "xref": (
-        ("entity", "known"),
+    "xref": (("entity", "known"), _xref("entity", "e.pos, e.name, e.domain")),
+    "host_entity": (
+        (),
         f"""
-        select e.pos, e.name, e.domain, coalesce(d.status, n.status, 'net-new') as internal_status,
-          case when d.id is null and n.id is null then '' else coalesce(d.company_name, n.company_name) end as internal_ref,
-          case when d.id is not null then coalesce(d.notes, '{C.MATCH_NOTE}')
-            when n.id is not null then coalesce(n.notes, '{C.MATCH_NOTE}') else '' end as internal_note
-        from entity e
-          left join (select * from known where domain_normalized is not null
-            qualify row_number() over (partition by domain_normalized order by id) = 1) d
-            on d.domain_normalized = {canon_domain('e.domain')}
-          left join (select * from known qualify row_number() over (partition by lower(company_name) order by id) = 1) n
-            on lower(n.company_name) = lower(e.name)""",
+        select {host('url')} as entity_name, regexp_extract({host('url')}, '([^.]+)\\.example\\.', 1) as name,
+          {host('url')} as domain, min(page_id) as pos from pages group by 1""",
     ),
+    "host_xref": (("host_entity", "known"), _xref("host_entity", "e.entity_name")),
     "claim": (
         ("page",),
         """

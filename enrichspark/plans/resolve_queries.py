@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from enrichspark.functions.keys import register_sql_functions
 from enrichspark.operators import cache, facts, resolve
 from enrichspark.plans import oracle as q
+from enrichspark.plans.enrich import Enrichment
 from enrichspark.plans.registry import query
 from enrichspark.plans.table_queries import fetched_content
 from enrichspark.sources.derived import AS_OF, Derived
@@ -235,3 +236,58 @@ def run_after_fetch(d: Derived) -> DataFrame:
         F.count_if("from_cache").alias("cache_hits"),
         F.count_if("success").alias("successes"),
     )
+
+
+# --- the whole job ---------------------------------------------------------------------
+
+_KEPT = "kept as (select * from host_xref where internal_status not in ('do-not-contact', 'customer'))"
+
+
+def _job(d: Derived) -> Enrichment:
+    """Every host as an entity of its own."""
+    host = F.lower(F.regexp_extract("url", r"://([^/?#]+)", 1))
+    hosts = d.given("pages").groupBy(host.alias("entity_name")).agg(F.min("page_id").alias("pos"))
+    entities = hosts.select(
+        "pos",
+        "entity_name",
+        F.regexp_extract("entity_name", r"([^.]+)\.example\.", 1).alias("name"),
+        F.col("entity_name").alias("domain"),
+    )
+    pages = d.page.select("url_key", "content")
+    return Enrichment(
+        entities, d.known, d.page_request, d.page_outcome, d.page_cache, d.claim, pages, AS_OF
+    )
+
+
+@query(
+    "enrich_rows",
+    _KEPT
+    + """ select c.claim_id, c.run_id, c.entity_name, c.field, case when c.verified then c.value else '' end as value, c.source_url, c.verified,
+      case when c.verified then '' else 'NOT FOUND — searched ' || c.source_url end as note, k.internal_status, k.internal_ref, k.internal_note
+    from checked_claim c join kept k using (entity_name)""",
+    "checked_claim host_xref",
+)
+def enrich_rows(d: Derived) -> DataFrame:
+    return _job(d).rows
+
+
+@query(
+    "enrich_report",
+    _KEPT
+    + """, spent as (select r.run_id, r.entity_name, count(*) as n, count(*) filter (where e.from_cache) as hits, sum(e.cost_credits) as credits,
+      sum(e.cost_usd) as usd from fetch_event e join page_request r using (req) join kept k on k.entity_name = r.entity_name group by 1, 2),
+    counts as (select run_id, entity_name, count(*) filter (where verified) as v, count(*) filter (where not verified) as u
+      from checked_claim group by 1, 2)
+    select run_id, cast(sum(n) as bigint) as attempts, cast(sum(hits) as bigint) as cache_hits, cast(sum(credits) as bigint) as credits,
+      round(sum(usd), 6) as usd, round(sum(coalesce(v, 0)) / nullif(sum(coalesce(v, 0) + coalesce(u, 0)), 0), 6) as verified_rate, count(*) as entities
+    from spent left join counts using (run_id, entity_name) group by 1""",
+    "checked_claim host_xref fetch_event page_request",
+)
+def enrich_report(d: Derived) -> DataFrame:
+    report = _job(d).report
+    return report.withColumns(
+        {
+            "usd": F.round(F.col("usd").cast("double"), 6),
+            "verified_rate": F.round("verified_rate", 6),
+        }
+    )
