@@ -43,7 +43,7 @@ def _url_encode(c: Column) -> Column:
     return F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value computed once per row, however often ``body`` names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -77,7 +77,7 @@ def _url_parts(url: Column) -> Column:
         )
 
     full = F.substring_index(url, "#", 1)
-    usual = _bind(
+    usual = bind(
         F.struct(full.alias("full"), F.substring_index(full, "?", 1).alias("core")), cut
     )
     general = F.struct(
@@ -138,9 +138,9 @@ def canon_url(c: Column) -> Column:
     tracking parameters dropped, remaining parameters re-encoded in order. A port that is
     not a number up to 65535 makes the result NULL.
     """
-    parts = _bind(F.translate(trim_all(c), "\t\r\n", ""), _url_parts)
+    parts = bind(F.translate(trim_all(c), "\t\r\n", ""), _url_parts)
     for step in (_clean_parts, _host_and_port, _with_netloc, _assemble):
-        parts = _bind(parts, step)
+        parts = bind(parts, step)
     return parts
 
 

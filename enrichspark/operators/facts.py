@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from enrichspark.functions.keys import canon_domain, trim_all, url_host, url_key
+from enrichspark.functions.keys import bind, canon_domain, trim_all, url_host, url_key
 from enrichspark.functions.text import squeeze
 from enrichspark.operators.ordered import top_one
 
@@ -119,13 +119,17 @@ def extract_quotes(pages: DataFrame, wants: DataFrame) -> DataFrame:
     sentences = F.filter(F.transform(F.split(ended, "\n"), trim_all), lambda s: s != "")
 
     def matching(s: Column) -> Column:
-        return F.exists("terms", lambda t: F.contains(F.lower(s), F.lower(t)))
+        return bind(F.lower(s), lambda low: F.exists("terms", lambda t: F.contains(low, F.lower(t))))
+
+    def or_absent(found: Column) -> Column:
+        return F.struct(
+            (F.size(found) > 0).alias("found"),
+            F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("ABSENT"))).alias("quotes"),
+        )
 
-    found = F.filter(sentences, matching)
-    quotes = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("ABSENT")))
     joined = wants.join(pages.select("url_key", "content"), "url_key")
-    rows = joined.select("url_key", "field", (F.size(found) > 0).alias("found"), F.posexplode(quotes))
-    return rows.select(
+    rows = joined.select("url_key", "field", bind(F.filter(sentences, matching), or_absent).alias("_q"))
+    return rows.select("url_key", "field", F.col("_q.found").alias("found"), F.posexplode("_q.quotes")).select(
         "url_key", "field", (F.col("pos") + 1).cast("long").alias("nth"), F.col("col").alias("quote"), "found"
     )
 

@@ -27,12 +27,11 @@ def breaker(
     stood at the last success. ``carried`` holds the streak each provider came in with.
     """
     by, order = list(by), list(order)
-    bucket = time_bucket(F.col("ts"), bucket_seconds)
-    counted = running(
-        attempts, by, order, bucket, sums={"_failed": F.when(F.col("ok"), 0).otherwise(1)}
-    )
+    sliced = attempts.withColumn("_slice", time_bucket(F.col("ts"), bucket_seconds))
+    failed = F.when(F.col("ok"), 0).otherwise(1)
+    counted = running(sliced, by, order, "_slice", sums={"_failed": failed})
     at_success = F.when(F.col("ok"), F.col("_failed"))
-    streaks = running(counted, by, order, bucket, maxes={"_cleared": at_success})
+    streaks = running(counted, by, order, "_slice", maxes={"_cleared": at_success})
     came_in = F.lit(0)
     if carried is not None:
         streaks = streaks.join(carried.select(*by, F.col("streak").alias("_came_in")), by, "left")
@@ -59,11 +58,15 @@ def cooldowns(
     interval extends it."""
     by, order = list(by), list(order)
     trips = attempts.where(F.col("status").isin(*C.COOLDOWN_STATUSES)).select(*by, *order)
-    trips = trips.withColumn("until", F.col("ts") + F.make_dt_interval(secs=F.lit(seconds)))
-    bucket = time_bucket(F.col("ts"), bucket_seconds)
-    seen = running(trips, by, order, bucket, maxes={"_latest": F.col("until")}, before=True)
+    trips = trips.withColumns(
+        {
+            "until": F.col("ts") + F.make_dt_interval(secs=F.lit(seconds)),
+            "_slice": time_bucket(F.col("ts"), bucket_seconds),
+        }
+    )
+    seen = running(trips, by, order, "_slice", maxes={"_latest": F.col("until")}, before=True)
     starts = F.when(F.coalesce(F.col("_latest") > F.col("ts"), F.lit(False)), 0).otherwise(1)
-    islands = running(seen, by, order, bucket, sums={"_island": starts})
+    islands = running(seen, by, order, "_slice", sums={"_island": starts})
     return (
         islands.groupBy(*by, "_island")
         .agg(

@@ -22,19 +22,20 @@ def running(
     df: DataFrame,
     by: Sequence[str],
     order: Sequence[str],
-    bucket: Column,
+    bucket: str,
     sums: Mapping[str, Column] | None = None,
     maxes: Mapping[str, Column] | None = None,
     before: bool = False,
 ) -> DataFrame:
     """Add running sums and maxima per group, in ``order``.
 
-    ``bucket`` must never decrease along ``order``. With ``before`` the current row is left out.
+    ``bucket`` names a column that never decreases along ``order``; a second scan over the same
+    column finds the rows already in place. With ``before`` the current row is left out.
     """
     sums, maxes = dict(sums or {}), dict(maxes or {})
-    keys = [*by, "_bucket"]
+    keys = [*by, bucket]
     inputs = {f"_in_{n}": c for n, c in {**sums, **maxes}.items()}
-    rows = df.withColumn("_bucket", bucket).withColumns(inputs)
+    rows = df.withColumns(inputs)
 
     def total(name: str) -> Column:
         agg = F.sum if name in sums else F.max
@@ -42,7 +43,7 @@ def running(
 
     names = [*sums, *maxes]
     summary = rows.groupBy(*keys).agg(*[total(n).alias(f"_in_{n}") for n in names])
-    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     carried = summary.select(*keys, *[total(n).over(earlier).alias(f"_carry_{n}") for n in names])
 
     inside = Window.partitionBy(*keys).orderBy(*order)
@@ -52,13 +53,13 @@ def running(
     zero = F.lit(0)
     out = {n: F.coalesce(F.col(f"_carry_{n}"), zero) + F.coalesce(F.col(f"_own_{n}"), zero) for n in sums}
     out |= {n: F.greatest(f"_carry_{n}", f"_own_{n}") for n in maxes}
-    helpers = ["_bucket", *[f"{p}{n}" for n in names for p in ("_in_", "_own_", "_carry_")]]
+    helpers = [f"{p}{n}" for n in names for p in ("_in_", "_own_", "_carry_")]
     return scanned.join(carried, keys).withColumns(out).drop(*helpers)
 
 
 def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], bucket: Column, out: str = "rn") -> DataFrame:
     """Row numbers from 1 inside each group, whatever the group's size."""
-    return running(df, by, order, bucket, sums={out: F.lit(1)})
+    return running(df.withColumn("_bucket", bucket), by, order, "_bucket", sums={out: F.lit(1)}).drop("_bucket")
 
 
 def trailing_blocks(df: DataFrame, rn: str, rows: int, block: int = 50_000) -> DataFrame:

@@ -218,6 +218,11 @@ def _cache_event() -> Column:
     )
 
 
+def _keyed(requests: DataFrame, key: str, build: Callable[[Column], Column], col: str) -> DataFrame:
+    """Requests with their key; one stored with the requests is taken as it is."""
+    return requests if key in requests.columns else requests.withColumn(key, build(F.col(col)))
+
+
 def _flag_columns(requests: DataFrame, ladder: Sequence[Rung]) -> list[str]:
     names = [f"allow_{g}" for g in sorted({"parallel", *(r.gate for r in ladder if r.gate)})]
     return [c for c in (*_FLAG_DEFAULTS, *names) if c in requests.columns]
@@ -281,7 +286,7 @@ def resolve_search(
     A result, empty or not, is stored for the whole time to live.
     """
     ladder = rungs("search", policy)
-    keyed = requests.withColumn(SEARCH_KEY, query_key(F.col("query")))
+    keyed = _keyed(requests, SEARCH_KEY, query_key, "query")
     entries = live(cache, as_of).select(SEARCH_KEY, F.lit(True).alias("hit"), (~F.col("empty")).alias("cached_ok"))
     flags = _by_rung(search_flags(outcomes), SEARCH_KEY, [r.rung for r in ladder])
     rows, leaders = _settle(keyed, SEARCH_KEY, entries, flags, ladder, configured, fetch=False)
@@ -388,7 +393,7 @@ def resolve_fetch(
     ``native-thin`` but not stored.
     """
     ladder = rungs("fetch", policy)
-    keyed = requests.withColumn(PAGE_KEY, url_key(F.col("url")))
+    keyed = _keyed(requests, PAGE_KEY, url_key, "url")
     entries = live(cache, as_of).select(
         PAGE_KEY,
         F.lit(True).alias("hit"),
@@ -493,7 +498,7 @@ def with_content(resolved: DataFrame, outcomes: DataFrame, cache: DataFrame) ->
 def _two_sources(requests: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Requests with the flags of the plain and the paid outcome side by side."""
     flags = _by_rung(fetch_flags(outcomes), PAGE_KEY, ["native", "tavily"])
-    keyed = requests.withColumn(PAGE_KEY, url_key(F.col("url")))
+    keyed = _keyed(requests, PAGE_KEY, url_key, "url")
     exhausted = F.coalesce(F.col("tavily_status").isin(*C.COOLDOWN_STATUSES), F.lit(False))
     return keyed.join(flags, PAGE_KEY, "left").withColumn("_exhausted", exhausted)
 
@@ -509,7 +514,7 @@ def _fetch_cheap(requests: DataFrame, outcomes: DataFrame, depth: str, available
     exhausted = F.col("_exhausted") if available else F.lit(False)
     reached = F.col("tier").isin("tavily", "failed")
     return rows.withColumn("tier", tier).select(
-        *requests.columns,
+        *[c for c in requests.columns if c != PAGE_KEY],
         PAGE_KEY,
         "tier",
         F.when(F.col("tier") == "native-thin", _truth("native_answered"))
@@ -532,7 +537,7 @@ def _fetch_paid_first(requests: DataFrame, outcomes: DataFrame, paid_first: bool
     source = source.otherwise("native") if fallback else source.otherwise("tavily" if paid_first else "skipped")
     ok = (paid | _truth("native_answered")) if fallback else paid
     return rows.select(
-        *requests.columns,
+        *[c for c in requests.columns if c != PAGE_KEY],
         PAGE_KEY,
         source.alias("source"),
         ok.alias("ok"),
@@ -630,6 +635,13 @@ def run_resolver(pending: DataFrame, resolver: Resolver, schema: str) -> DataFra
     return pending.mapInPandas(resolver, schema)
 
 
+def model_digests(pages: DataFrame, model: Resolver, threshold: int = C.DIGEST_THRESHOLD) -> DataFrame:
+    """Digests from a model plug-in: ``(url_key, content)`` of long pages in, ``(url_key, digest)``
+    out. Checkpointed, since a model call costs money."""
+    long_ = pages.where(F.length("content") > threshold).select(PAGE_KEY, "content")
+    return cut_lineage(run_resolver(long_, model, "url_key string, digest string"))
+
+
 def collect_outcomes(
     requests: DataFrame,
     resolvers: Mapping[str, Resolver],

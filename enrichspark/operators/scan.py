@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from enrichspark import constants as C
+from enrichspark.functions.keys import bind
 
 
 @dataclass(frozen=True)
@@ -18,20 +21,27 @@ class ScanRule:
     pattern: str
     allowed: str | None = None
     any_case: bool = True
+    # Lower-case texts of which any match holds at least one; a cheap test ahead of the pattern.
+    literals: tuple[str, ...] = ()
 
     def regex(self) -> str:
         # Only a line feed ends a line.
         return f"(?{'i' if self.any_case else ''}d){self.pattern}"
 
 
+_KEY_NAMES = ("api_key", "apikey", "token", "secret", "password", "bearer")
+_NETWORK_LITERALS = ("gh api ", "gh api", "contents/.env")
 DEFAULT_RULES = (
-    ScanRule("private_key", "secret", C.PRIVATE_KEY_RULE),
-    ScanRule("secret", "secret", C.SECRET_RULE, C.SECRET_ALLOWED, any_case=False),
-    ScanRule("home_path", "home_path", C.HOME_PATH_RULE),
-    *(ScanRule(f"network_key_{i}", "network_key", p) for i, p in enumerate(C.NETWORK_KEY_RULES, 1)),
+    ScanRule("private_key", "secret", C.PRIVATE_KEY_RULE, literals=("private key",)),
+    ScanRule("secret", "secret", C.SECRET_RULE, C.SECRET_ALLOWED, any_case=False, literals=_KEY_NAMES),
+    ScanRule("home_path", "home_path", C.HOME_PATH_RULE, literals=("/users/",)),
+    *(
+        ScanRule(f"network_key_{i}", "network_key", pattern, literals=(literal,))
+        for i, (pattern, literal) in enumerate(zip(C.NETWORK_KEY_RULES, _NETWORK_LITERALS, strict=True), 1)
+    ),
 )
 # Wider than the default: key names in any case.
-SECRET_ANY_CASE = ScanRule("secret_any_case", "secret", C.SECRET_RULE, C.SECRET_ALLOWED)
+SECRET_ANY_CASE = ScanRule("secret_any_case", "secret", C.SECRET_RULE, C.SECRET_ALLOWED, literals=_KEY_NAMES)
 
 
 def deny_terms(*patterns: str) -> tuple[ScanRule, ...]:
@@ -46,12 +56,20 @@ def leak_scan(
     Texts that match no rule at all are dropped before lines are exploded. The allow-list is read
     against the line alone.
     """
-    suspect = F.lit(False)
-    for rule in rules:
-        suspect = suspect | F.col(col).rlike(rule.regex())
+    text = F.col(col)
+
+    def suspect(low: Column) -> Column:
+        test = F.lit(False)
+        for rule in rules:
+            hit = text.rlike(rule.regex())
+            if rule.literals:
+                hit = reduce(or_, (F.contains(low, F.lit(t)) for t in rule.literals)) & hit
+            test = test | hit
+        return test
+
     lines = (
         df.select(key, col)
-        .where(suspect)
+        .where(bind(F.lower(text), suspect))
         .select(key, F.posexplode(F.split(col, "\n")).alias("_i", "line"))
         .withColumn("line_no", (F.col("_i") + 1).cast("long"))
     )

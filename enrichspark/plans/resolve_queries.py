@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from enrichspark.functions.keys import register_sql_functions
+from enrichspark.functions.keys import register_sql_functions, with_url_key
 from enrichspark.operators import cache, facts, resolve
 from enrichspark.plans import oracle as q
 from enrichspark.plans.enrich import Enrichment
@@ -238,6 +241,48 @@ def run_after_fetch(d: Derived) -> DataFrame:
     )
 
 
+def _offline(position: int):
+    """A provider that answers where one digit of the key is low."""
+
+    def answer(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in chunks:
+            yield pd.DataFrame({"url_key": rows["url_key"], "ok": rows["url_key"].str[position].isin(list("01234567"))})
+
+    return answer
+
+
+@query(
+    "resolver_hook",
+    """asked as (select distinct url_key, substr(url_key, 1, 1) < '8' as a, substr(url_key, 2, 1) < '8' as b from keyed_request)
+    select url_key, 'native' as rung, a as ok from asked union all select url_key, 'jina', b from asked where not a
+    union all select url_key, 'tavily', true from asked where not a and not b and substr(url_key, 3, 1) < '8'
+    union all select url_key, 'tavily', false from asked where not a and not b and substr(url_key, 3, 1) >= '8'""",
+    "keyed_request",
+)
+def resolver_hook(d: Derived) -> DataFrame:
+    """Three plug-in providers, each asked for what the ones before it left."""
+    pending = with_url_key(d.page_request).select("url_key").distinct()
+    providers = {"native": _offline(0), "jina": _offline(1), "tavily": _offline(2)}
+    return resolve.collect_outcomes(
+        pending, providers, "url_key", "url_key string, ok boolean", lambda got: got.where("ok")
+    )
+
+
+def _first_line(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in chunks:
+        yield pd.DataFrame({"url_key": rows["url_key"], "digest": rows["content"].str.split("\n").str[0]})
+
+
+@query(
+    "digest_hook",
+    "select url_key, split_part(content, chr(10), 1) as digest from page where length(content) > 8000",
+    "page",
+)
+def digest_hook(d: Derived) -> DataFrame:
+    """A stand-in model that quotes a page's first line."""
+    return resolve.model_digests(d.page, _first_line)
+
+
 # --- the whole job ---------------------------------------------------------------------
 
 _KEPT = "kept as (select * from host_xref where internal_status not in ('do-not-contact', 'customer'))"

@@ -16,8 +16,9 @@ from enrichspark.streaming import twins
 
 
 def _events(d: Derived) -> DataFrame:
-    schema = d.given("events").schema
-    return rung_events(twins.read_stream(d.spark, d.sf_dir, schema, "events.parquet"))
+    # As a pattern the path may be one file or a folder of them.
+    stream = twins.read_stream(d.spark, f"{d.sf_dir}/[e]vents.parquet", d.given("events").schema)
+    return rung_events(stream)
 
 
 def _paths(d: Derived, name: str) -> tuple[str, str, str]:

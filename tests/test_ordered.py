@@ -18,16 +18,16 @@ def hot_groups(rows, n=3000, seed=3):
 
 def test_running_equals_a_plain_window(rows):
     df = hot_groups(rows)
-    bucket = F.floor(F.col("t") / 25)
+    df = df.withColumn("b", F.floor(F.col("t") / 25))
     w = Window.partitionBy("g").orderBy("t", "id")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     peak = F.when(F.col("v") > 7, F.col("t"))
-    got = ordered.running(df, ["g"], ["t", "id"], bucket, sums={"s": F.col("v")}, maxes={"m": peak})
+    got = ordered.running(df, ["g"], ["t", "id"], "b", sums={"s": F.col("v")}, maxes={"m": peak})
     want = df.withColumn("s", F.sum("v").over(upto)).withColumn("m", F.max(peak).over(upto))
     cols = ["id", "s", "m"]
     assert {tuple(r) for r in got.select(*cols).collect()} == {tuple(r) for r in want.select(*cols).collect()}
-    got = ordered.running(df, ["g"], ["t", "id"], bucket, sums={"s": F.col("v")}, maxes={"m": peak}, before=True)
+    got = ordered.running(df, ["g"], ["t", "id"], "b", sums={"s": F.col("v")}, maxes={"m": peak}, before=True)
     want = df.withColumn("s", F.coalesce(F.sum("v").over(before), F.lit(0))).withColumn("m", F.max(peak).over(before))
     assert {tuple(r) for r in got.select(*cols).collect()} == {tuple(r) for r in want.select(*cols).collect()}
 
