@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from enrichspark.functions.keys import register_sql_functions, with_url_key
 from enrichspark.operators import cache, facts, resolve
+from enrichspark.operators.ordered import top_one
 from enrichspark.plans import oracle as q
 from enrichspark.plans.enrich import Enrichment
 from enrichspark.plans.registry import query
@@ -241,6 +242,25 @@ def run_after_fetch(d: Derived) -> DataFrame:
     )
 
 
+@query(
+    "sql_check_domains",
+    f"""select e.pos, e.domain as input_domain, coalesce(k.status, 'net-new') as status, k.company_name, k.notes
+    from entity e left join (select * from known where domain_normalized is not null
+      qualify row_number() over (partition by domain_normalized order by id) = 1) k on k.domain_normalized = {q.canon_domain('e.domain')}""",
+    "entity known",
+)
+def sql_check_domains(d: Derived) -> DataFrame:
+    """The batch lookup as a SQL table function, joined laterally to a table of domains. Spark
+    turns it into a plain equi-join."""
+    keyed = d.known.where(F.col("domain_normalized").isNotNull())
+    top_one(keyed, ["domain_normalized"], [F.asc("id")]).createOrReplaceTempView("known_accounts")
+    d.entity.createOrReplaceTempView("asked_entities")
+    register_sql_functions(d.spark, "known_accounts")
+    return d.spark.sql(
+        "SELECT e.pos, c.* FROM asked_entities e, LATERAL check_company_domains(array(e.domain)) c"
+    )
+
+
 def _offline(position: int):
     """A provider that answers where one digit of the key is low."""
 
