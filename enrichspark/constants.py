@@ -1,7 +1,8 @@
 """Fixed values. Results depend on these exact texts and numbers."""
 
 # --- URL keys -------------------------------------------------------------
-TRACKING_PARAMS = r"^(utm_|gclid$|fbclid$|mc_eid$|mc_cid$|_hsenc$|_hsmi$)"
+TRACKING_PREFIXES = ("utm_",)
+TRACKING_NAMES = ("gclid", "fbclid", "mc_eid", "mc_cid", "_hsenc", "_hsmi")
 DEFAULT_PORTS = {"http": 80, "https": 443}
 
 # --- page text ------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +48,11 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+_TRACKING_NAME = rf"^(?:(?:{'|'.join(C.TRACKING_PREFIXES)})|(?:{'|'.join(C.TRACKING_NAMES)})$)"
+_TRACKED = rf"(?:^|&)(?:{'|'.join(C.TRACKING_PREFIXES)}|(?:{'|'.join(C.TRACKING_NAMES)})=)"
+_ALREADY_CLEAN = r"^[A-Za-z0-9_.~\-]+=[A-Za-z0-9_.~\-]*(?:&[A-Za-z0-9_.~\-]+=[A-Za-z0-9_.~\-]*)*$"
+
+
 def _clean_query(query: Column) -> Column:
     pairs = F.transform(
         F.filter(F.split(query, "&"), lambda p: p != ""),
@@ -56,79 +61,110 @@ def _clean_query(query: Column) -> Column:
             url_decode(F.regexp_extract(p, r"(?s)^[^=]*=(.*)$", 1)).alias("v"),
         ),
     )
-    kept = F.filter(pairs, lambda p: ~p["k"].rlike(C.TRACKING_PARAMS))
+    kept = F.filter(pairs, lambda p: ~p["k"].rlike(_TRACKING_NAME))
     encoded = F.transform(kept, lambda p: F.concat(_url_encode(p["k"]), F.lit("="), _url_encode(p["v"])))
-    return F.when(query == "", "").otherwise(F.array_join(encoded, "&"))
-
-
-def _url_parts(url: Column) -> Column:
-    """scheme, authority, path and query; plain string cuts for the usual ``scheme://`` form,
-    the general pattern for the rest."""
-
-    def cut(f: Column) -> Column:
-        scheme = F.substring_index(f["core"], "://", 1)
-        after = F.substring(f["core"], F.length(scheme) + 4, _ALL)
-        authority = F.substring_index(after, "/", 1)
-        return F.struct(
-            F.lower(scheme).alias("scheme"),
-            authority.alias("authority"),
-            F.substring(after, F.length(authority) + 1, _ALL).alias("path"),
-            F.substring(f["full"], F.length(f["core"]) + 2, _ALL).alias("query"),
-        )
+    # Most queries need no work at all; the pattern is kept off very long ones.
+    clean = (F.length(query) < 500) & query.rlike(_ALREADY_CLEAN) & ~query.rlike(_TRACKED)
+    return F.when((query == "") | clean, query).otherwise(F.array_join(encoded, "&"))
 
-    full = F.substring_index(url, "#", 1)
-    usual = bind(
-        F.struct(full.alias("full"), F.substring_index(full, "?", 1).alias("core")), cut
-    )
-    general = F.struct(
-        F.coalesce(non_blank(F.lower(F.regexp_extract(url, _URL, 1))), F.lit("https")).alias("scheme"),
-        F.regexp_extract(url, _URL, 2).alias("authority"),
-        F.regexp_extract(url, _URL, 3).alias("path"),
-        F.regexp_extract(url, _URL, 4).alias("query"),
-    )
-    return F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), usual).otherwise(general)
 
+# --- canonical URL, step by step ------------------------------------------------
+# A step names new values in terms of earlier ones, each computed once. The steps run as columns
+# of a table (compiled by Spark) or, inside one Column, as fields of a bound struct.
 
-def _clean_parts(p: Column) -> Column:
-    return F.struct(
-        p["scheme"].alias("scheme"),
-        F.substring_index(p["authority"], "@", -1).alias("authority"),
-        F.coalesce(non_blank(F.rtrim(p["path"], F.lit("/"))), F.lit("/")).alias("path"),
-        _clean_query(p["query"]).alias("query"),
-    )
+Values = Mapping[str, Column]
 
 
-def _host_and_port(p: Column) -> Column:
-    bracketed = F.contains(p["authority"], F.lit("["))
-    host = F.substring_index(p["authority"], ":", 1)
-    port = F.substring(p["authority"], F.length(host) + 2, _ALL)
-    v6_host = F.regexp_extract(p["authority"], r"\[([^\]]*)", 1)
-    v6_port = F.regexp_extract(p["authority"], r"\][^:]*:(.*)$", 1)
-    return F.struct(
-        *[p[c].alias(c) for c in ("scheme", "path", "query")],
-        F.lower(F.when(bracketed, v6_host).otherwise(host)).alias("host"),
-        F.when(bracketed, v6_port).otherwise(port).alias("port"),
-    )
+def _url_ends(v: Values) -> dict[str, Column]:
+    return {
+        "usual": v["url"].rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"),
+        "full": F.substring_index(v["url"], "#", 1),
+    }
 
 
-def _with_netloc(p: Column) -> Column:
-    number = F.when(p["port"].rlike(r"^[0-9]+$"), p["port"].try_cast("int"))
-    valid = (p["port"] == "") | F.coalesce(number <= 65535, F.lit(False))
-    usual = F.element_at(F.create_map(*[F.lit(x) for kv in C.DEFAULT_PORTS.items() for x in kv]), p["scheme"])
-    shown = F.coalesce((number != 0) & ~number.eqNullSafe(usual), F.lit(False))
-    suffix = F.when(shown, F.concat(F.lit(":"), number.cast("string"))).otherwise("")
-    return F.struct(
-        *[p[c].alias(c) for c in ("scheme", "path", "query")],
-        F.when(valid, F.concat(p["host"], suffix)).alias("netloc"),
-    )
+def _url_core(v: Values) -> dict[str, Column]:
+    return {"core": F.substring_index(v["full"], "?", 1)}
+
+
+def _url_scheme(v: Values) -> dict[str, Column]:
+    """Plain cuts for the usual ``scheme://`` form, the general pattern for the rest."""
+    scheme = F.substring_index(v["core"], "://", 1)
+    general = F.coalesce(non_blank(F.lower(F.regexp_extract(v["url"], _URL, 1))), F.lit("https"))
+    after = F.substring(v["core"], F.length(scheme) + 4, _ALL)
+    query = F.substring(v["full"], F.length(v["core"]) + 2, _ALL)
+    return {
+        "scheme": F.when(v["usual"], F.lower(scheme)).otherwise(general),
+        "after": F.when(v["usual"], after),
+        "query": F.when(v["usual"], query).otherwise(F.regexp_extract(v["url"], _URL, 4)),
+    }
+
+
+def _url_authority(v: Values) -> dict[str, Column]:
+    usual = F.substring_index(v["after"], "/", 1)
+    return {"authority": F.when(v["usual"], usual).otherwise(F.regexp_extract(v["url"], _URL, 2))}
+
+
+def _url_path(v: Values) -> dict[str, Column]:
+    usual = F.substring(v["after"], F.length(v["authority"]) + 1, _ALL)
+    path = F.when(v["usual"], usual).otherwise(F.regexp_extract(v["url"], _URL, 3))
+    return {
+        "path": F.rtrim(path, F.lit("/")),
+        "address": F.substring_index(v["authority"], "@", -1),
+        "kept": _clean_query(v["query"]),
+    }
+
+
+def _url_host(v: Values) -> dict[str, Column]:
+    bracketed = F.contains(v["address"], F.lit("["))
+    v6 = F.regexp_extract(v["address"], r"\[([^\]]*)", 1)
+    host = F.when(bracketed, v6).otherwise(F.substring_index(v["address"], ":", 1))
+    return {"host": F.lower(host), "bracketed": bracketed}
+
 
+def _url_port(v: Values) -> dict[str, Column]:
+    v6 = F.regexp_extract(v["address"], r"\][^:]*:(.*)$", 1)
+    usual = F.substring(v["address"], F.length(v["host"]) + 2, _ALL)
+    return {"port": F.when(v["bracketed"], v6).otherwise(usual)}
 
-def _assemble(p: Column) -> Column:
+
+def _url_number(v: Values) -> dict[str, Column]:
+    return {"number": F.when(v["port"].rlike(r"^[0-9]+$"), v["port"].try_cast("int"))}
+
+
+def _url_netloc(v: Values) -> dict[str, Column]:
+    shown = F.coalesce(v["number"] != 0, F.lit(False))
+    for scheme, port in C.DEFAULT_PORTS.items():
+        shown = shown & ~((v["scheme"] == scheme) & (v["number"] == port))
+    suffix = F.when(shown, F.concat(F.lit(":"), v["number"].cast("string"))).otherwise("")
+    valid = (v["port"] == "") | F.coalesce(v["number"] <= 65535, F.lit(False))
+    return {"netloc": F.when(valid, F.concat(v["host"], suffix))}
+
+
+def _url_whole(v: Values) -> dict[str, Column]:
     # Without a host only the bare root keeps the double slash.
-    slashes = F.when((p["netloc"] != "") | (p["path"] == "/"), "://").otherwise(":")
-    root = F.when((p["netloc"] != "") & ~p["path"].startswith("/"), "/").otherwise("")
-    query = F.when(p["query"] == "", "").otherwise(F.concat(F.lit("?"), p["query"]))
-    return F.concat(p["scheme"], slashes, p["netloc"], root, p["path"], query)
+    rooted = (v["netloc"] != "") | (v["path"] == "")
+    slashes = F.when(rooted, "://").otherwise(":")
+    root = F.when(rooted & ~v["path"].startswith("/"), "/").otherwise("")
+    query = F.when(v["kept"] == "", "").otherwise(F.concat(F.lit("?"), v["kept"]))
+    return {"whole": F.concat(v["scheme"], slashes, v["netloc"], root, v["path"], query)}
+
+
+_URL_STEPS = (
+    _url_ends,
+    _url_core,
+    _url_scheme,
+    _url_authority,
+    _url_path,
+    _url_host,
+    _url_port,
+    _url_number,
+    _url_netloc,
+    _url_whole,
+)
+
+
+def _url_seed(c: Column) -> Column:
+    return F.translate(trim_all(c), "\t\r\n", "")
 
 
 def canon_url(c: Column) -> Column:
@@ -136,16 +172,45 @@ def canon_url(c: Column) -> Column:
 
     Scheme and host lower-cased, user info, default port, fragment, trailing slashes and
     tracking parameters dropped, remaining parameters re-encoded in order. A port that is
-    not a number up to 65535 makes the result NULL.
+    not a number up to 65535 makes the result NULL. ``with_canon_url`` does the same to a table
+    and is the faster of the two.
     """
-    parts = bind(F.translate(trim_all(c), "\t\r\n", ""), _url_parts)
-    for step in (_clean_parts, _host_and_port, _with_netloc, _assemble):
-        parts = bind(parts, step)
-    return parts
+    value, names = F.struct(_url_seed(c).alias("url")), ["url"]
+    for step in _URL_STEPS:
+        made: list[str] = []
+
+        def grown(s: Column) -> Column:
+            have = {n: s[n] for n in names}
+            new = step(have)
+            made.extend(n for n in new if n not in have)
+            return F.struct(*[x.alias(n) for n, x in {**have, **new}.items()])
+
+        value = bind(value, grown)
+        names = names + made
+    return value["whole"]
+
+
+def with_canon_url(df: DataFrame, col: str = "url", out: str = "canon_url") -> DataFrame:
+    """``canon_url`` of a column, as compiled columns of the table."""
+    mark = "__u_"
+    steps = df.withColumn(f"{mark}url", _url_seed(F.col(col)))
+    names = ["url"]
+    for step in _URL_STEPS:
+        new = step({n: F.col(mark + n) for n in names})
+        steps = steps.withColumns({mark + n: x for n, x in new.items()})
+        names += [n for n in new if n not in names]
+    return steps.withColumn(out, F.col(f"{mark}whole")).drop(*[mark + n for n in names])
+
+
+def _key(text: Column, raw: Column) -> Column:
+    """sha256 of a canonical text. A value without one gets a key of its own, so that no row is
+    lost in a join; being never NULL also spares joins a filter that would compute it twice."""
+    named = F.coalesce(text, F.concat(F.lit("not canonical: "), raw), F.lit("not canonical"))
+    return F.coalesce(F.sha2(named, 256), F.lit(""))
 
 
 def url_key(c: Column) -> Column:
-    return F.sha2(canon_url(c), 256)
+    return _key(canon_url(c), c)
 
 
 def canon_query(c: Column) -> Column:
@@ -154,7 +219,7 @@ def canon_query(c: Column) -> Column:
 
 
 def query_key(c: Column, rung: str = C.SEARCH_CACHE_RUNG) -> Column:
-    return F.sha2(F.concat(F.lit(f"{rung}|"), canon_query(c)), 256)
+    return _key(F.concat(F.lit(f"{rung}|"), canon_query(c)), c)
 
 
 def cached_body(digest: Column, excerpt: Column) -> Column:
@@ -181,12 +246,9 @@ def url_host(c: Column) -> Column:
 # --- table jobs -------------------------------------------------------------
 
 
-def with_canon_url(df: DataFrame, col: str = "url") -> DataFrame:
-    return df.withColumn("canon_url", canon_url(F.col(col)))
-
-
-def with_url_key(df: DataFrame, col: str = "url") -> DataFrame:
-    return df.withColumn("url_key", url_key(F.col(col)))
+def with_url_key(df: DataFrame, col: str = "url", out: str = "url_key") -> DataFrame:
+    rows = with_canon_url(df, col, "__canon")
+    return rows.withColumn(out, _key(F.col("__canon"), F.col(col))).drop("__canon")
 
 
 def with_canon_query(df: DataFrame, col: str = "query") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from enrichspark.functions.keys import bind, canon_domain, trim_all, url_host, url_key
+from enrichspark.functions.keys import bind, canon_domain, trim_all, url_host, with_url_key
 from enrichspark.functions.text import squeeze
 from enrichspark.operators.ordered import top_one
 
@@ -23,7 +23,7 @@ def verify_claims(claims: DataFrame, pages: DataFrame) -> DataFrame:
     stored = pages.select("url_key", F.col("content").alias("_page"))
     supported = F.contains(squeeze(F.col("_page")), squeeze(F.col("quote")))
     verified = F.coalesce(supported & (F.col("quote") != ""), F.lit(False))
-    keyed = claims.withColumn("url_key", url_key(F.col("source_url")))
+    keyed = with_url_key(claims, "source_url")
     return keyed.join(stored, "url_key", "left").withColumn("verified", verified).drop("_page")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from enrichspark import constants as C
-from enrichspark.functions.keys import cached_body, query_key, url_key
+from enrichspark.functions.keys import cached_body, with_query_key, with_url_key
 from enrichspark.functions.payloads import RESULT_TYPE
 from enrichspark.functions.policy import (
     DEFAULT_POLICY,
@@ -218,9 +218,9 @@ def _cache_event() -> Column:
     )
 
 
-def _keyed(requests: DataFrame, key: str, build: Callable[[Column], Column], col: str) -> DataFrame:
+def _keyed(requests: DataFrame, key: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Requests with their key; one stored with the requests is taken as it is."""
-    return requests if key in requests.columns else requests.withColumn(key, build(F.col(col)))
+    return requests if key in requests.columns else build(requests)
 
 
 def _flag_columns(requests: DataFrame, ladder: Sequence[Rung]) -> list[str]:
@@ -286,7 +286,7 @@ def resolve_search(
     A result, empty or not, is stored for the whole time to live.
     """
     ladder = rungs("search", policy)
-    keyed = _keyed(requests, SEARCH_KEY, query_key, "query")
+    keyed = _keyed(requests, SEARCH_KEY, with_query_key)
     entries = live(cache, as_of).select(SEARCH_KEY, F.lit(True).alias("hit"), (~F.col("empty")).alias("cached_ok"))
     flags = _by_rung(search_flags(outcomes), SEARCH_KEY, [r.rung for r in ladder])
     rows, leaders = _settle(keyed, SEARCH_KEY, entries, flags, ladder, configured, fetch=False)
@@ -393,7 +393,7 @@ def resolve_fetch(
     ``native-thin`` but not stored.
     """
     ladder = rungs("fetch", policy)
-    keyed = _keyed(requests, PAGE_KEY, url_key, "url")
+    keyed = _keyed(requests, PAGE_KEY, with_url_key)
     entries = live(cache, as_of).select(
         PAGE_KEY,
         F.lit(True).alias("hit"),
@@ -498,7 +498,7 @@ def with_content(resolved: DataFrame, outcomes: DataFrame, cache: DataFrame) ->
 def _two_sources(requests: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Requests with the flags of the plain and the paid outcome side by side."""
     flags = _by_rung(fetch_flags(outcomes), PAGE_KEY, ["native", "tavily"])
-    keyed = _keyed(requests, PAGE_KEY, url_key, "url")
+    keyed = _keyed(requests, PAGE_KEY, with_url_key)
     exhausted = F.coalesce(F.col("tavily_status").isin(*C.COOLDOWN_STATUSES), F.lit(False))
     return keyed.join(flags, PAGE_KEY, "left").withColumn("_exhausted", exhausted)
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from enrichspark import constants as C
-from enrichspark.functions.keys import canon_query, content_key, query_key, url_key
+from enrichspark.functions.keys import canon_query, content_key, query_key, with_url_key
 from enrichspark.functions.text import excerpt, html_text
 from enrichspark.operators.cache import with_expiry
 from enrichspark.operators.ordered import top_one
@@ -90,11 +90,11 @@ class Derived:
     def page_text(self) -> DataFrame:
         """Every page with its key, status and text."""
         status = F.when(_mod("page_id", 17) == 0, 404).when(_mod("page_id", 17) == 1, 403).otherwise(200)
-        return self.given("pages").select(
+        return with_url_key(self.given("pages")).select(
             "page_id",
             "url",
             F.lower(F.regexp_extract("url", r"://([^/?#]+)", 1)).alias("host"),
-            url_key(F.col("url")).alias("url_key"),
+            "url_key",
             status.alias("http_status"),
             html_text(F.col("html"), "named").alias("content"),
         )

@@ -1,6 +1,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from enrichspark.functions import keys
 from enrichspark.sources.derived import AS_OF
@@ -101,3 +102,22 @@ def test_sql_functions(spark, rows):
         ("initech.com", "prior-contact", "Initech", None),
         ("unknown-co.com", "net-new", None, None),
     ]
+
+
+def test_table_form_equals_column_form(rows):
+    df = rows([(u,) for u, _ in URLS] + [("https://a.com:x/",), (None,)], "url string")
+    got = keys.with_url_key(keys.with_canon_url(df)).select(
+        "canon_url", keys.canon_url(F.col("url")).alias("c"), "url_key", keys.url_key(F.col("url")).alias("k")
+    )
+    for r in got.collect():
+        assert r.canon_url == r.c and r.url_key == r.k and len(r.url_key) == 64
+
+
+def test_long_queries(one):
+    query = "&".join(f"a{i}={i}" for i in range(5000))
+    assert one(keys.canon_url, f"https://a.com/?{query}&gclid=1") == f"https://a.com/?{query}"
+
+
+def test_bad_addresses_get_keys_of_their_own(one):
+    got = one(keys.url_key, "https://a.com:x/", "https://a.com:y/", "https://a.com/")
+    assert len(set(got)) == 3
