@@ -39,7 +39,12 @@ def _decode_all_entities(text: pd.Series) -> pd.Series:
     return text.map(_html.unescape, na_action="ignore")
 
 
+# The same names count without their semicolon where no further name character follows.
+_OPEN_ENTITY = r"&(lt|gt|quot|nbsp|copy|middot|amp)(?![A-Za-z0-9;.\-])"
+
+
 def _decode_named(c: Column) -> Column:
+    c = F.regexp_replace(c, _OPEN_ENTITY, "&$1;")
     for entity, char in NAMED_ENTITIES.items():
         c = F.replace(c, F.lit(entity), F.lit(char))
     return c

@@ -58,6 +58,10 @@ def html_text(h: str) -> str:
     for tag in C.DROPPED_SUBTREES:
         t = f"regexp_replace({t}, '(?is)<{tag}\\b[^>]*>.*?(</{tag}\\s*>|\\z)', {LF}, 'g')"
     t = f"regexp_replace({t}, '<[!/?A-Za-z][^>]*>', {LF}, 'g')"
+    # No lookahead here: the character after the name is taken along, so neighbours need a second go.
+    for _ in range(2):
+        names = "lt|gt|quot|nbsp|copy|middot|amp"
+        t = f"regexp_replace({t}, '&({names})([^A-Za-z0-9;.-]|\\z)', '&\\1;\\2', 'g')"
     for entity, char in (
         ("&lt;", "'<'"),
         ("&gt;", "'>'"),

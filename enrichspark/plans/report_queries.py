@@ -14,10 +14,16 @@ from enrichspark.sources.derived import AS_OF, FIELDS, Derived
 NOW = q.NOW
 
 
-def _r6(name: str) -> Column:
+def _usd(name: str) -> Column:
     return F.round(F.col(name).cast("double"), 6)
 
 
+def _ratio(name: str) -> Column:
+    """Ratios are compared to ten digits: at six, quotients that end in a five there are common,
+    and engines round those differently."""
+    return F.round(F.col(name).cast("double"), 10)
+
+
 # --- E: joins ------------------------------------------------------------------------
 
 
@@ -78,7 +84,7 @@ _COST = """select r.run_id, r.model, cast(sum(t.credits_spent) as bigint) as tav
 
 @query("run_cost_split", _COST, "run entity_telemetry")
 def run_cost_split(d: Derived) -> DataFrame:
-    return telemetry.cost_split(d.run, d.entity_telemetry).withColumn("api_usd", _r6("api_usd"))
+    return telemetry.cost_split(d.run, d.entity_telemetry).withColumn("api_usd", _usd("api_usd"))
 
 
 @query(
@@ -108,13 +114,13 @@ def budget_join(d: Derived) -> DataFrame:
 
 @query(
     "finish_runs",
-    f"""select r.run_id, 'done' as status, {NOW} as finished_at, round(t.rate, 6) as verified_rate from run r left join
+    f"""select r.run_id, 'done' as status, {NOW} as finished_at, round(t.rate, 10) as verified_rate from run r left join
     (select run_id, sum(verified_fields) / nullif(sum(verified_fields + unverified_fields), 0) as rate from entity_telemetry group by 1) t using (run_id)""",
     "run entity_telemetry",
 )
 def finish_runs(d: Derived) -> DataFrame:
     done = telemetry.finish_runs(d.run, d.entity_telemetry, AS_OF)
-    return done.select("run_id", "status", "finished_at", _r6("verified_rate").alias("verified_rate"))
+    return done.select("run_id", "status", "finished_at", _ratio("verified_rate").alias("verified_rate"))
 
 
 @query(
@@ -207,12 +213,12 @@ def pending_split(d: Derived) -> DataFrame:
 
 @query(
     "run_verified_rate",
-    """select run_id, round(sum(verified_fields) / nullif(sum(verified_fields + unverified_fields), 0), 6) as verified_rate,
+    """select run_id, round(sum(verified_fields) / nullif(sum(verified_fields + unverified_fields), 0), 10) as verified_rate,
     count(*) as entities from entity_telemetry group by 1""",
     "entity_telemetry",
 )
 def run_verified_rate(d: Derived) -> DataFrame:
-    return telemetry.verified_rate(d.entity_telemetry).withColumn("verified_rate", _r6("verified_rate"))
+    return telemetry.verified_rate(d.entity_telemetry).withColumn("verified_rate", _ratio("verified_rate"))
 
 
 @query("free_pool_month", _BURN, "rung_event")
@@ -228,7 +234,7 @@ def free_pool_month(d: Derived) -> DataFrame:
 )
 def telemetry_fold(d: Derived) -> DataFrame:
     folded = telemetry.fold_telemetry(d.telemetry_delta).drop("rung_hits")
-    return folded.withColumn("usd_spent", _r6("usd_spent"))
+    return folded.withColumn("usd_spent", _usd("usd_spent"))
 
 
 @query(
@@ -257,13 +263,13 @@ def dedupe_by_domain(d: Derived) -> DataFrame:
 @query(
     "rung_success",
     """select waterfall, rung, count(*) as attempts, cast(sum(case when success then 1 else 0 end) as bigint) as successes,
-    round(sum(case when success then 1 else 0 end) / count(*), 6) as success_rate, round(avg(latency_ms), 6) as avg_latency_ms
+    round(sum(case when success then 1 else 0 end) / count(*), 10) as success_rate, round(avg(latency_ms), 10) as avg_latency_ms
     from rung_event group by 1, 2""",
     "rung_event",
 )
 def rung_success(d: Derived) -> DataFrame:
     stats = telemetry.rung_stats(d.rung_event, with_p95=False)
-    return stats.withColumns({"success_rate": _r6("success_rate"), "avg_latency_ms": _r6("avg_latency_ms")})
+    return stats.withColumns({"success_rate": _ratio("success_rate"), "avg_latency_ms": _ratio("avg_latency_ms")})
 
 
 @query("rung_latency_p95")
@@ -276,13 +282,15 @@ def rung_latency_p95(d: Derived) -> DataFrame:
     "tier_cost_rollup",
     """per as (select coalesce(tier, 'total') as tier, count(*) as ops, cast(sum(cost_credits) as bigint) as credits, sum(cost_usd) as low
       from rung_event group by rollup (tier))
-    select tier, ops, round(ops / (select max(ops) from per), 6) as share, credits, round(low, 6) as cost_low,
-      round(low + credits * 0.005, 6) as cost_high, round((low + credits * 0.005) / ops, 6) as unit_cost from per""",
+    select tier, ops, round(ops / (select max(ops) from per), 10) as share, credits, round(low, 6) as cost_low,
+      round(low + credits * 0.005, 6) as cost_high, round((low + credits * 0.005) / ops, 10) as unit_cost from per""",
     "rung_event",
 )
 def tier_cost_rollup(d: Derived) -> DataFrame:
     costs = telemetry.tier_costs(d.rung_event)
-    return costs.withColumns({c: _r6(c) for c in ("share", "cost_low", "cost_high", "unit_cost")})
+    return costs.withColumns(
+        {c: _usd(c) for c in ("cost_low", "cost_high")} | {c: _ratio(c) for c in ("share", "unit_cost")}
+    )
 
 
 @query(
@@ -293,7 +301,7 @@ def tier_cost_rollup(d: Derived) -> DataFrame:
 )
 def baseline_saving(d: Derived) -> DataFrame:
     out = telemetry.saving(d.rung_event)
-    return out.withColumns({"cost": _r6("cost"), "baseline": _r6("baseline"), "ratio": F.round("ratio", 4)})
+    return out.withColumns({"cost": _usd("cost"), "baseline": _usd("baseline"), "ratio": F.round("ratio", 4)})
 
 
 _WATCHDOG = """newest as (select * from entity_telemetry qualify row_number() over (partition by run_id order by created_at desc, entity_name) <= 25),
@@ -334,13 +342,13 @@ def two_source_rule(d: Derived) -> DataFrame:
     "cache_stats",
     f"""select provider, count(*) as entries, count(*) filter (where expires_at > {NOW} and not is_dead) as live,
       count(*) filter (where expires_at > {NOW} and is_dead) as live_dead, count(*) filter (where expires_at <= {NOW}) as expired,
-      round(count(*) filter (where is_dead) / count(*), 6) as negative_ratio,
-      round((sum(fetch_count) - count(*)) / sum(fetch_count), 6) as hit_ratio from page_cache group by 1""",
+      round(count(*) filter (where is_dead) / count(*), 10) as negative_ratio,
+      round((sum(fetch_count) - count(*)) / sum(fetch_count), 10) as hit_ratio from page_cache group by 1""",
     "page_cache",
 )
 def cache_stats(d: Derived) -> DataFrame:
     stats = cache.cache_stats(d.page_cache, AS_OF)
-    return stats.withColumns({c: _r6(c) for c in ("negative_ratio", "hit_ratio")})
+    return stats.withColumns({c: _ratio(c) for c in ("negative_ratio", "hit_ratio")})
 
 
 @query(
@@ -371,25 +379,25 @@ def changed_content(d: Derived) -> DataFrame:
 @query(
     "watchdog",
     _WATCHDOG
-    + """ select run_id, round(rate, 6) as rate, entities, paused,
+    + """ select run_id, round(rate, 10) as rate, entities, paused,
     case when paused then format('verified-rate {:.2f} < 0.55 over trailing {} entities', rate, entities) end as reason,
     case when paused and status = 'running' then 'paused' else status end as status from verdict""",
     "entity_telemetry run",
 )
 def watchdog(d: Derived) -> DataFrame:
-    return telemetry.watchdog(d.entity_telemetry, d.run).withColumn("rate", _r6("rate"))
+    return telemetry.watchdog(d.entity_telemetry, d.run).withColumn("rate", _ratio("rate"))
 
 
 @query(
     "watchdog_trail",
     """select run_id, entity_name, created_at, row_number() over w as nth,
-    round(sum(verified_fields) over t / nullif(sum(verified_fields + unverified_fields) over t, 0), 6) as rate from entity_telemetry
+    round(sum(verified_fields) over t / nullif(sum(verified_fields + unverified_fields) over t, 0), 10) as rate from entity_telemetry
     window w as (partition by run_id order by created_at, entity_name),
       t as (partition by run_id order by created_at, entity_name rows between 24 preceding and current row)""",
     "entity_telemetry",
 )
 def watchdog_trail(d: Derived) -> DataFrame:
-    return telemetry.watchdog_trail(d.entity_telemetry).withColumn("rate", _r6("rate"))
+    return telemetry.watchdog_trail(d.entity_telemetry).withColumn("rate", _ratio("rate"))
 
 
 _LADDER = """ladder as (select url_key, rung, ok, case rung when 'native' then 1 when 'jina' then 2 when 'tavily' then 3 else 4 end as ordinal from page_outcome)"""
@@ -525,7 +533,7 @@ def upsert_telemetry(d: Derived) -> DataFrame:
     delta = d.telemetry_delta
     state = telemetry.fold_telemetry(delta.where(F.col("created_at") < middle))
     merged = telemetry.upsert_telemetry(state, delta.where(F.col("created_at") >= middle))
-    return merged.withColumn("usd_spent", _r6("usd_spent")).withColumn(
+    return merged.withColumn("usd_spent", _usd("usd_spent")).withColumn(
         "n_rungs", F.size("rung_hits").cast("long")
     ).drop("rung_hits")
 

@@ -344,7 +344,7 @@ def enrich_rows(d: Derived) -> DataFrame:
     counts as (select run_id, entity_name, count(*) filter (where verified) as v, count(*) filter (where not verified) as u
       from checked_claim group by 1, 2)
     select run_id, cast(sum(n) as bigint) as attempts, cast(sum(hits) as bigint) as cache_hits, cast(sum(credits) as bigint) as credits,
-      round(sum(usd), 6) as usd, round(sum(coalesce(v, 0)) / nullif(sum(coalesce(v, 0) + coalesce(u, 0)), 0), 6) as verified_rate, count(*) as entities
+      round(sum(usd), 6) as usd, round(sum(coalesce(v, 0)) / nullif(sum(coalesce(v, 0) + coalesce(u, 0)), 0), 10) as verified_rate, count(*) as entities
     from spent left join counts using (run_id, entity_name) group by 1""",
     "checked_claim host_xref fetch_event page_request",
 )
@@ -353,6 +353,6 @@ def enrich_report(d: Derived) -> DataFrame:
     return report.withColumns(
         {
             "usd": F.round(F.col("usd").cast("double"), 6),
-            "verified_rate": F.round("verified_rate", 6),
+            "verified_rate": F.round("verified_rate", 10),
         }
     )

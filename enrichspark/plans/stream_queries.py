@@ -36,14 +36,14 @@ def stream_pool_month(d: Derived) -> DataFrame:
 @query(
     "stream_rung_tumbling",
     """select date_trunc('hour', ts) as window_start, waterfall, rung, count(*) as attempts, count(*) filter (where success) as successes,
-    round(avg(latency_ms), 6) as avg_latency_ms from rung_event group by 1, 2, 3""",
+    round(avg(latency_ms), 10) as avg_latency_ms from rung_event group by 1, 2, 3""",
     "rung_event",
 )
 def stream_rung_tumbling(d: Derived) -> DataFrame:
     out, _, checkpoint = _paths(d, "rung-windows")
     twins.write_batches(twins.rung_windows(_events(d)), out, checkpoint).awaitTermination()
     rows = twins.newest_rows(d.spark, out, ["window_start", "waterfall", "rung"])
-    return rows.withColumn("avg_latency_ms", F.round("avg_latency_ms", 6))
+    return rows.withColumn("avg_latency_ms", F.round("avg_latency_ms", 10))
 
 
 @query(
@@ -74,7 +74,7 @@ def stream_cache_dedupe(d: Derived) -> DataFrame:
 @query(
     "stream_watchdog",
     _WATCHDOG
-    + """ select run_id, round(rate, 6) as rate, entities, paused, case when paused and status = 'running' then 'paused' else status end as status
+    + """ select run_id, round(rate, 10) as rate, entities, paused, case when paused and status = 'running' then 'paused' else status end as status
     from verdict""",
     "entity_telemetry run",
 )
@@ -87,7 +87,7 @@ def stream_watchdog(d: Derived) -> DataFrame:
     q = twins.watchdog_stream(stream, state, checkpoint)
     q.awaitTermination()
     verdict = telemetry.watchdog(twins.last_state(d.spark, q, state), d.run).drop("reason")
-    return verdict.withColumn("rate", F.round("rate", 6))
+    return verdict.withColumn("rate", F.round("rate", 10))
 
 
 _RECORDED = """cum as (select *, count(*) filter (where ok) over w as island

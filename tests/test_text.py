@@ -69,3 +69,9 @@ def test_length_rules(one):
 
 def test_strip_tags(one):
     assert one(text.strip_tags, " <b>a</b> < b ", None) == ["a < b", ""]
+
+
+def test_entities_without_a_semicolon(one):
+    page = "<p>a&amp<b>x</b> &amp&amp &lt; &copy 1 &ampersand</p>"
+    want = "a&\nx\n&& < © 1 &ampersand"
+    assert one(lambda c: text.html_text(c, "named"), page) == want
