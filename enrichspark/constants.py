@@ -43,6 +43,17 @@ BREAKER_FAILURES = 2
 BREAKER_SECONDS = 120
 BATCH_SIZE = 20
 
+# --- fetch errors -----------------------------------------------------------
+DEAD_FRESH = "dead URL (HTTP %d) — re-search, do not retry"
+DEAD_CACHED = "dead URL (HTTP %d) — re-search"
+THIN_ERROR = "thin native body; escalation rungs could not improve it"
+THIN_PAID_ERROR = "thin native body; Tavily could not improve it"
+FAILED_ERROR = "no usable content"
+FAILED_EXHAUSTED_ERROR = "no usable content (Tavily credits exhausted)"
+HTTP_ERROR = "HTTPError %d"
+NOT_EXTRACTED_ERROR = "not extracted (fallback off)"
+MISSING_ERROR = "not a URL and not a file"
+
 # --- search ---------------------------------------------------------------
 SEARCH_JOB_RESULTS = 6
 LIBRARY_RESULTS = 5

@@ -168,6 +168,8 @@ def _walk(
     )
     for r in ladder:
         open_ = F.col("winner").isNull() & ~F.col("dead")
+        if fetch:
+            open_ = open_ & ~F.col("_local")
         if fetch:
             ctx = {"prev_rung_failed": F.col("_failed"), "is_js_shell": F.col("_shell")}
         else:
@@ -246,9 +248,14 @@ def _settle(
     asked = requests.withColumns(
         {c: F.coalesce(F.col(c), F.lit(_FLAG_DEFAULTS.get(c, False))) for c in flags}
     )
+    if fetch:
+        # Anything but a web address is a file or nothing; it neither probes nor asks.
+        web = F.coalesce(F.col("url").rlike(r"(?i)^\s*https?://"), F.lit(False))
+        asked, flags = asked.withColumn("_local", ~web), [*flags, "_local"]
     variants = asked.groupBy(key, *flags).agg(F.min("req").alias("_first"))
     probed = variants.join(entries, key, "left").join(flags_by_rung, key, "left")
-    decided = _walk(probed, ladder, configured, fetch, flags).withColumn("hit", _truth("hit"))
+    decided = _walk(probed, ladder, configured, fetch, flags)
+    decided = decided.withColumn("hit", _truth("hit") & ~F.col("_local") if fetch else _truth("hit"))
     stored = (F.col("winner").isNotNull() | F.col("dead")) if fetch else F.lit(True)
     # Structs compare by their first field, so the least one is the first request's.
     lead = F.struct("_first", "winner", "dead", *(["native_status"] if fetch else []))
@@ -385,12 +392,14 @@ def resolve_fetch(
     as_of: str,
     policy: Iterable[Rung] = DEFAULT_POLICY,
     configured: Iterable[str] = ALL_KEYS,
+    files: DataFrame | None = None,
 ) -> Resolution:
     """``requests(req, run_id, entity_name, url[, allow_parallel, cooling])`` against
     ``outcomes(url_key, rung, ok, status, content, latency_ms)`` and the page cache.
 
     Dead pages stop the walk and are stored as such; a leftover short body is handed out as
-    ``native-thin`` but not stored.
+    ``native-thin`` but not stored. A target that is no web address is looked up in
+    ``files(source, content)``.
     """
     ladder = rungs("fetch", policy)
     keyed = _keyed(requests, PAGE_KEY, with_url_key)
@@ -404,11 +413,18 @@ def resolve_fetch(
     flags = _by_rung(fetch_flags(outcomes), PAGE_KEY, [r.rung for r in ladder])
     rows, leaders = _settle(keyed, PAGE_KEY, entries, flags, ladder, configured, fetch=True)
 
+    if files is None:
+        rows = rows.withColumn("_found", F.lit(False))
+    else:
+        known = files.select(F.col("source").alias("url"), F.lit(True).alias("_is_file"))
+        rows = rows.join(known, "url", "left").withColumn("_found", F.col("_local") & _truth("_is_file"))
     follows = F.coalesce(~F.col("hit") & (F.col("req") > F.col("_lead._first")), F.lit(False))
+    follows = follows & ~F.col("_local")
     rows = rows.withColumns({"_follows": follows, "from_cache": F.col("hit") | follows})
     thin = F.col("winner").isNull() & ~F.col("dead") & _truth("native_has_text")
     tier = (
-        F.when(F.col("hit"), F.when(F.col("cached_dead"), "dead").otherwise("cache"))
+        F.when(F.col("_local"), F.when(F.col("_found"), "file").otherwise("missing"))
+        .when(F.col("hit"), F.when(F.col("cached_dead"), "dead").otherwise("cache"))
         .when(F.col("_follows"), F.when(F.col("_lead.dead"), "dead").otherwise("cache"))
         .when(F.col("dead"), "dead")
         .when(F.col("winner").isNotNull(), F.col("winner"))
@@ -430,11 +446,13 @@ def resolve_fetch(
         .otherwise(F.col("winner"))
     )
     error = (
-        F.when(F.col("tier") == "dead", F.format_string("dead URL (HTTP %d)", "_status"))
-        .when(F.col("tier") == "native-thin", "thin native body; escalation rungs could not improve it")
-        .when(F.col("tier") == "failed", "no usable content")
+        F.when((F.col("tier") == "dead") & F.col("from_cache"), F.format_string(C.DEAD_CACHED, "_status"))
+        .when(F.col("tier") == "dead", F.format_string(C.DEAD_FRESH, "_status"))
+        .when(F.col("tier") == "native-thin", C.THIN_ERROR)
+        .when(F.col("tier") == "failed", C.FAILED_ERROR)
+        .when(F.col("tier") == "missing", C.MISSING_ERROR)
     )
-    fresh_ok = ~F.col("tier").isin("dead", "failed")
+    fresh_ok = ~F.col("tier").isin("dead", "failed", "missing")
 
     def resolved() -> DataFrame:
         return rows.select(
@@ -480,19 +498,26 @@ def resolve_fetch(
     return Resolution(resolved, lambda: _events(rows, "fetch", as_of), writes)
 
 
-def with_content(resolved: DataFrame, outcomes: DataFrame, cache: DataFrame) -> DataFrame:
+def with_content(
+    resolved: DataFrame, outcomes: DataFrame, cache: DataFrame, files: DataFrame | None = None
+) -> DataFrame:
     """Attach text to resolved fetches: full where fresh, the stored part where cached."""
     text = outcomes.select(PAGE_KEY, F.col("rung").alias("content_rung"), F.col("content").alias("_text"))
     stored = cache.select(PAGE_KEY, cached_body(F.col("digest"), F.col("raw_excerpt")).alias("_stored"))
     rows = resolved.join(text, [PAGE_KEY, "content_rung"], "left").join(stored, PAGE_KEY, "left")
     hit = F.col("from_cache") & F.col("content_rung").isNull()
+    of_file = F.lit("")
+    if files is not None:
+        local = files.select(F.col("source").alias("url"), F.col("content").alias("_local_text"))
+        rows, of_file = rows.join(local, "url", "left"), F.col("_local_text")
     content = (
         F.when(F.col("tier") == "dead", "")
+        .when(F.col("tier") == "file", of_file)
         .when(hit, F.col("_stored"))
         .when(F.col("from_cache"), excerpt(F.col("_text")))
         .otherwise(F.col("_text"))
     )
-    return rows.withColumn("content", F.coalesce(content, F.lit(""))).drop("_text", "_stored")
+    return rows.withColumn("content", F.coalesce(content, F.lit(""))).drop("_text", "_stored", "_local_text")
 
 
 def _two_sources(requests: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -526,9 +551,20 @@ def _fetch_cheap(requests: DataFrame, outcomes: DataFrame, depth: str, available
         F.when(F.col("tier") == "tavily", C.EXTRACT_CREDITS[depth]).otherwise(0).cast("long").alias("credits"),
         (reached & exhausted).alias("credits_exhausted"),
         F.when(F.col("tier") != "tavily", F.col("native_status")).alias("status"),
+        _cheap_error(available, exhausted).alias("error"),
     )
 
 
+def _cheap_error(available: bool, exhausted: Column) -> Column:
+    tier = F.col("tier")
+    dead = F.when(tier == "dead", F.format_string(C.DEAD_FRESH, "native_status"))
+    if not available:
+        answered = F.col("native_status").isNotNull() & (tier == "failed")
+        return dead.when(answered, F.format_string(C.HTTP_ERROR, "native_status"))
+    failed = F.when(exhausted, C.FAILED_EXHAUSTED_ERROR).otherwise(C.FAILED_ERROR)
+    return dead.when(tier == "native-thin", C.THIN_PAID_ERROR).when(tier == "failed", failed)
+
+
 def _fetch_paid_first(requests: DataFrame, outcomes: DataFrame, paid_first: bool, fallback: bool) -> DataFrame:
     rows = _two_sources(requests, outcomes)
     paid = _truth("tavily_success") if paid_first else F.lit(False)
@@ -543,7 +579,7 @@ def _fetch_paid_first(requests: DataFrame, outcomes: DataFrame, paid_first: bool
         ok.alias("ok"),
         exhausted.alias("credits_exhausted"),
         F.when(~paid & F.lit(fallback), F.col("native_status")).alias("status"),
-        F.when(~paid & ~F.lit(fallback), "not extracted (fallback off)").alias("error"),
+        F.when(~paid & ~F.lit(fallback), C.NOT_EXTRACTED_ERROR).alias("error"),
     )
 
 

@@ -278,7 +278,11 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
             when tier in ('jina', 'tavily', 'parallel') then 200 end as integer) as status,
           cast(case when tier = 'tavily' and not from_cache then 1 else 0 end as bigint) as credits,
           case when hit then null when follows then case when lead_tier = 'dead' then null else lead_tier end
-            when tier = 'native-thin' then 'native' when tier in ('dead', 'failed') then null else tier end as content_rung
+            when tier = 'native-thin' then 'native' when tier in ('dead', 'failed') then null else tier end as content_rung,
+          case when tier = 'dead' then 'dead URL (HTTP ' || cast(case when hit then cached_status when follows then lead_status else native_status end as varchar)
+              || case when from_cache then ') — re-search' else ') — re-search, do not retry' end
+            when tier = 'native-thin' then 'thin native body; escalation rungs could not improve it'
+            when tier = 'failed' then 'no usable content' end as error
         from fetched""",
     ),
     "fetch_event": (

@@ -77,7 +77,7 @@ def search_attempt_events(d: Derived) -> DataFrame:
 
 @query("resolve_fetch", "select * from fetch_resolved", "fetch_resolved")
 def resolve_fetch(d: Derived) -> DataFrame:
-    return _fetch(d).resolved.drop("error")
+    return _fetch(d).resolved
 
 
 @query("resolve_fetch_content", "select req, tier, content from fetch_content", "fetch_content")
@@ -118,12 +118,16 @@ _CHEAP = """tiers as (select r.req, f.*, case when native_ok then 'native' when
     + """ select req, tier, case when tier = 'native-thin' then native_answered else tier in ('native', 'tavily') end as ok,
       cast(case when tier = 'tavily' then 2 else 0 end as bigint) as credits,
       tier in ('tavily', 'failed') and coalesce(tavily_limited, false) as credits_exhausted,
-      case when tier <> 'tavily' then native_status end as status from tiers""",
+      case when tier <> 'tavily' then native_status end as status,
+      case tier when 'dead' then 'dead URL (HTTP ' || cast(native_status as varchar) || ') — re-search, do not retry'
+        when 'native-thin' then 'thin native body; Tavily could not improve it'
+        when 'failed' then 'no usable content' || case when tavily_limited then ' (Tavily credits exhausted)' else '' end end as error
+    from tiers""",
     "keyed_request page_flags",
 )
 def resolve_fetch_cheap(d: Derived) -> DataFrame:
     got = resolve.fetch_pages(d.page_request, d.page_outcome, mode="cheap", depth="advanced")
-    return got.select("req", "tier", "ok", "credits", "credits_exhausted", "status")
+    return got.select("req", "tier", "ok", "credits", "credits_exhausted", "status", "error")
 
 
 @query(

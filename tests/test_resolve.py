@@ -156,6 +156,23 @@ def test_native_runs_whatever_its_predicate(rows):
     assert got.events.where("rung = 'native'").count() > 0
 
 
+def test_targets_that_are_no_web_address(rows):
+    outcomes, reqs, cached = make_fetches(5)
+    requests, got, stored = fetch_tables(rows, outcomes, reqs[:20], cached)
+    extra = rows(
+        [(9001, "notes/a.txt"), (9002, "nowhere.txt"), (9003, "acme.com/x"), (9004, None)], "req long, url string"
+    ).selectExpr("req", "1 as run_id", "'e' as entity_name", "url", "true as allow_parallel", "false as cooling")
+    files = rows([("notes/a.txt", "kept here"), ("https://h.com/1", "never used")], "source string, content string")
+    done = resolve.resolve_fetch(requests.unionByName(extra), got, stored, AS_OF, files=files)
+    shown = resolve.with_content(done.resolved, got, stored, files)
+    mine = {r.req: (r.tier, r.ok, r.content, r.error) for r in shown.where("req > 9000").collect()}
+    missing = ("missing", False, "", "not a URL and not a file")
+    assert mine == {9001: ("file", True, "kept here", None), 9002: missing, 9003: missing, 9004: missing}
+    assert shown.count() == 24
+    assert done.events.where("req > 9000").count() == 0
+    assert done.writes.where("url not like 'https://h.com/%'").count() == 0
+
+
 def search_walk(outcomes, reqs, cached, configured):
     store, result, events = dict(cached), {}, []
     for req, qn, intent, allow in sorted(reqs):
@@ -232,10 +249,12 @@ def test_fetch_modes(rows):
     cheap = run(mode="cheap", depth="advanced")
     assert [cheap[c].tier for c in "abcde"] == ["native", "dead", "tavily", "native-thin", "failed"]
     assert [cheap[c].credits for c in "abcde"] == [0, 0, 2, 0, 0]
+    assert cheap["e"].error == "no usable content (Tavily credits exhausted)"
+    assert cheap["b"].error.startswith("dead URL (HTTP 404)") and cheap["c"].error is None
     assert cheap["e"].credits_exhausted and cheap["e"].source == "tavily" and cheap["d"].ok
     offline = run(mode="cheap", available=False)
     assert [offline[c].tier for c in "abcde"] == ["native", "dead", "native-thin", "native-thin", "failed"]
-    assert offline["e"].source == "native"
+    assert offline["e"].source == "native" and offline["e"].error == "HTTPError 500"
     paid = run(mode="tavily")
     assert [paid[c].source for c in "abcde"] == ["native", "native", "tavily", "native", "native"]
     bare = run(mode="tavily", fallback=False)
