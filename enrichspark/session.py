@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,13 +35,18 @@ def build_session(app: str = "enrichspark", master: str | None = None, **conf: s
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: the one the cluster names, else (tests) a local one."""
+    """Folder all executors can reach: the one the cluster names, else one beside the warehouse.
+
+    A path without a store, or in a local one, is taken only where executors run in the driver's process:
+    elsewhere each machine would write to a disk of its own.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    fallback = tempfile.mkdtemp(prefix="enrichspark-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if warehouse.split(":", 1)[0] in ("file", warehouse) and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{warehouse}/scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
