@@ -1,0 +1,67 @@
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from enrichspark.llm import common
+
+
+def groups(links):
+    """Smallest node of each node's group, by union and find."""
+    up = {}
+
+    def find(x):
+        up.setdefault(x, x)
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    return {x: find(x) for x in up}
+
+
+GRAPHS = {
+    "path": [(i, i + 1) for i in range(60)],
+    "shuffled path": (lambda p: list(zip(p, p[1:])))(random.Random(1).sample(range(1000), 80)),
+    "star": [(500, i) for i in range(100)],
+    "random": [(random.Random(i).randrange(150), random.Random(i + 999).randrange(150)) for i in range(110)],
+    "repeats and loops": [(1, 2), (2, 1), (1, 2), (3, 3), (2, 4)],
+    "negative": [(-5, 3), (3, 7), (-5, -9)],
+}
+
+
+@pytest.mark.parametrize("name", GRAPHS)
+def test_components(spark, name):
+    links = spark.createDataFrame(GRAPHS[name], "a long, b long")
+    got = {r.node: r.root for r in common.components(links).collect()}
+    want = groups([l for l in GRAPHS[name] if l[0] != l[1]])
+    assert got == want
+
+
+def test_components_of_nothing(spark):
+    assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_spanning():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 300, 260), rng.integers(0, 300, 260)
+    nodes, roots = common.spanning(a, b)
+    want = groups([(int(x), int(y)) for x, y in zip(a, b) if x != y])
+    assert dict(zip(nodes.tolist(), roots.tolist())) == {n: r for n, r in want.items() if n != r}
+
+
+def test_chunks_cover_everything():
+    texts = ["a" * n for n in (5, 0, 100, 3, 3, 3)] + [None, "b" * 500]
+    got = list(common.chunks(texts, 10))
+    assert [i for a, b in got for i in range(a, b)] == list(range(len(texts)))
+    assert list(common.chunks([], 10)) == []
+
+
+def test_map_texts_carries_columns(spark):
+    df = spark.createDataFrame([(1, "ab", None), (None, None, 2.5)], "id long, text string, x double")
+    got = common.map_texts(df, "text", common.every(df), "n long", lambda: lambda ts: [[len(t or "") for t in ts]])
+    assert sorted(map(tuple, got.collect()), key=repr) == [(1, "ab", None, 2), (None, None, 2.5, 0)]
+    assert got.filter(F.col("n") < 0).count() == 0

@@ -1,0 +1,133 @@
+import gzip
+import hashlib
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from enrichspark.llm import warc
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+EVIL = "a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n0\r\n\r\n" * 300
+
+
+def plain_query(rows):
+    sha = lambda b: hashlib.sha1(b).hexdigest()
+    pages = {(i, (h or "").encode()) for i, h in rows}
+    first = {}
+    for i, b in pages:
+        if i is not None and len(b) >= 1000:
+            first[b] = max(first.get(b, i), i)
+    out = []
+    for i, b in pages:
+        again = i is not None and first.get(b, i) != i
+        out.append((i, len(b), sha(b), "revisit" if again else "response", first[b] if again else None))
+    return sorted(out, key=repr)
+
+
+def run(df):
+    got = warc.op1_warc(df).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    return sorted(map(tuple, got), key=repr)
+
+
+def test_given_pages(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    assert run(pages) == plain_query([(r.page_id, r.html) for r in pages.collect()])
+
+
+def test_edge_cases(spark):
+    big = "é<p>text</p>\r\n" * 5000
+    rows = [
+        (1, "u1", big), (2, "u2", big), (3, None, big), (4, "u\r\nX: y", ""), (5, "u", None), (6, "u", "x" * 999), (7, "u", "x" * 999),
+        (8, "u", EVIL), (9, "u9", EVIL), (10, "u", "\r\n"), (2, "u2", big), (None, "n", big), (None, None, None), (11, "u", "\x00\x01\U0001f600"),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as id", "2 as digest", "3 as payload", "4 as uri")
+    assert run(df) == plain_query([(i, h) for i, _, h in rows])
+
+
+def test_empty_table(spark):
+    assert run(spark.createDataFrame([], "page_id long, url string, html string")) == []
+
+
+def test_archives_are_plain_warc(spark, tmp_path):
+    """Read without Spark: version lines, lengths, segments in the files of any partition."""
+    df = spark.createDataFrame([(1, "http://a/é", "é" * 9000), (2, None, "b")], "page_id long, url string, html string")
+    path = str(tmp_path / "w")
+    warc.write_archives(df.repartition(2), path, segment_bytes=700, chunk_bytes=300)
+    heads, blocks = [], {}
+    for name in os.listdir(path):
+        if name.endswith(".gz"):
+            for head, block in warc.parse_records(gzip.decompress((tmp_path / "w" / name).read_bytes())):
+                heads.append(head)
+                origin = head.get("warc-segment-origin-id", head["warc-record-id"])
+                blocks.setdefault(origin, {})[int(head.get("warc-segment-number", 1))] = block
+                assert len(block) <= 700 and int(head["content-length"]) == len(block)
+    assert len({h["warc-record-id"] for h in heads}) == len(heads) > 20
+    whole = {k: b"".join(v[i] for i in sorted(v)) for k, v in blocks.items()}
+    payloads = sorted(warc.decoded(b)[0] for b in whole.values())
+    assert payloads == sorted([("é" * 9000).encode(), b"b"])
+    last = [h for h in heads if "warc-segment-total-length" in h]
+    assert len(last) == 1 and int(last[0]["warc-segment-total-length"]) == max(map(len, whole.values()))
+    assert [h.get("warc-target-uri") for h in heads if h["warc-type"] == "response" and "warc-segment-number" in h] == ["http://a/é"]
+
+
+BODY = warc.HTTP_HEAD.encode() + b"5\r\nhello\r\n6;x=y\r\n world\r\n0\r\n\r\n"
+
+
+def records(spark, rows):
+    fields = ("record_id", "kind", "uri", "refers_to", "origin", "segment", "total", "block")
+    return spark.createDataFrame([tuple(r.get(f) for f in fields) for r in rows], warc.RECORD)
+
+
+def part(origin, n, block, total=None):
+    kind = "response" if n == 1 else "continuation"
+    return {"record_id": f"{origin}{n}" if n > 1 else origin, "kind": kind, "origin": origin, "segment": n, "total": total, "block": block}
+
+
+def test_reassembly(spark):
+    rows = [
+        part("ok", 3, BODY[60:], len(BODY)), part("ok", 1, BODY[:20]), part("ok", 2, BODY[20:60]), part("ok", 2, BODY[20:60]),
+        part("gap", 1, BODY[:20]), part("gap", 3, BODY[60:], len(BODY)),
+        part("open", 1, BODY[:20]), part("open", 2, BODY[20:]),
+        part("long", 1, BODY[:20]), part("long", 2, BODY[20:], len(BODY) + 1),
+        part("headless", 2, BODY[20:], len(BODY)),
+        {"record_id": "whole", "kind": "response", "block": BODY},
+        {"record_id": "bare", "kind": "response", "block": b"HTTP/1.1 200 OK\r\n\r\nplain"},
+        {"record_id": "cut", "kind": "response", "block": BODY[:-9]},
+        {"record_id": "none", "kind": "response", "block": b"nothing"},
+    ]
+    got = {r.record_id: (bytes(r.payload) if r.payload is not None else None, r.problem) for r in warc.reassembled(records(spark, rows)).collect()}
+    assert got == {
+        "ok": (b"hello world", None),
+        "gap": (None, "missing segment"),
+        "open": (None, "missing segment"),
+        "long": (None, "wrong total length"),
+        "headless": (None, "missing segment"),
+        "whole": (b"hello world", None),
+        "bare": (b"plain", None),
+        "cut": (None, "broken chunk framing"),
+        "none": (None, "no HTTP header"),
+    }
+
+
+@pytest.mark.parametrize(
+    "body,want",
+    [(b"0\r\n\r\n", b""), (b"3\r\nabc\r\n0\r\n\r\n", b"abc"), (b"3\r\nabcd\r\n0\r\n\r\n", None), (b"zz\r\n", None), (b"", None), (b"-1\r\n\r\n", None), (b"A\r\n0123456789\r\n0\r\nTrailer: x\r\n\r\n", b"0123456789")],
+)
+def test_chunk_framing(body, want):
+    assert warc.unchunked(body) == want
+
+
+@pytest.mark.parametrize("n", [0, 1, 299, 300, 301, 1000])
+def test_chunks_round_trip(spark, n):
+    data = os.urandom(n)
+    row = spark.createDataFrame([(data,)], "p binary").select(warc.chunked(F.col("p"), 300).alias("c")).first()
+    assert warc.unchunked(bytes(row.c)) == data
+
+
+def test_broken_archives():
+    for bad in (b"nothing", b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"):
+        with pytest.raises(ValueError):
+            list(warc.parse_records(bad))
+    twice = gzip.compress(b"ab") + gzip.compress(b"cd")
+    assert warc.inflated(twice) == b"abcd" and warc.inflated(b"plain") == b"plain"
