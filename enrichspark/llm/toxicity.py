@@ -120,9 +120,10 @@ def train(
     dim: int = 8,
     warm: int = 10,
     rounds: int = 120,
-    patience: int = 15,
+    patience: int = 25,
     min_texts: int = 8,
-    decay: float = 0.02,
+    decay: float = 0.05,
+    drop: float = 0.8,
     rate_of_change: float = 0.6,
     seed: int = 7,
 ) -> Model:
@@ -134,24 +135,37 @@ def train(
     rate = min(max(y.mean(), 1e-3), 1 - 1e-3) if len(y) else 0.5
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(buckets), float(np.log(rate / (1 - rate))))
-    codes = np.frombuffer(normal(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     counts = word_counts(texts)
     # each spelling once: its buckets, and the words that have it
-    spelled = [w for t in texts for w in t.lower().split()]
-    names = {w: i for i, w in enumerate(dict.fromkeys(spelled))}
-    spelling = np.array([names[w] for w in spelled], np.int64)
-    pairs = np.unique(np.repeat(np.arange(len(texts)), counts) * len(names) + spelling)
-    spread = np.bincount(pairs % max(1, len(names)), minlength=len(names))  # texts that hold a spelling
-    del codes, spelled, pairs
+    names: dict[str, int] = {}
+    spelling = np.empty(int(counts.sum()), np.int32)
+    spread: list[int] = []  # texts that hold a spelling
+    at = 0
+    for t in texts:
+        words = [names.setdefault(w, len(names)) for w in t.lower().split()]
+        spelling[at : at + len(words)] = words
+        at += len(words)
+        spread += [0] * (len(names) - len(spread))
+        for w in set(words):
+            spread[w] += 1
+    held, owner, bucket = np.zeros(len(names)), [], []
     flat = np.frombuffer(normal([" ".join(names)]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    bucket, owner = (np.concatenate(x) for x in zip(*grams(flat, buckets)))
-    order = np.argsort(owner, kind="stable")
-    bucket, owner = bucket[order], owner[order]
-    held = np.maximum(1, np.bincount(owner, minlength=len(names)))
+    for b, w in grams(flat, buckets):
+        held += np.bincount(w, minlength=len(names))
+        owner.append(w.astype(np.int32))
+        bucket.append(b.astype(np.int32))
+    held = np.maximum(1, held)
+    owner, bucket, spread = np.concatenate(owner), np.concatenate(bucket), np.array(spread, np.float64)
     wide = np.bincount(bucket, spread[owner], buckets)[bucket] >= min(min_texts, len(texts))
-    bucket, owner = bucket[wide], owner[wide]
-    used, local = np.unique(bucket, return_inverse=True)
-    begin = np.searchsorted(owner, np.arange(len(names)))
+    owner, bucket = owner[wide], bucket[wide]
+    order = np.argsort(owner, kind="stable")
+    owner, bucket = owner[order], bucket[order]
+    used = np.flatnonzero(np.bincount(bucket, minlength=buckets))
+    place = np.zeros(buckets, np.int32)
+    place[used] = np.arange(len(used))
+    local = place[bucket]
+    del names, flat, wide, order, bucket
+    begin = np.searchsorted(owner, np.arange(len(held)))
     text, first, last = windows(counts)
     starts = np.searchsorted(text, np.arange(len(texts)))
     base = np.cumsum(counts) - counts
@@ -159,16 +173,18 @@ def train(
     embed = rng.normal(0, 0.1, (len(used), dim))
     weight = rng.normal(0, 0.5, dim)  # class 1 less class 0 of a two-class softmax
     bias = np.log(rate / (1 - rate))
-    judge = np.arange(len(y)) % 5 == 0 if len(y) >= 50 else np.ones(len(y), bool)
+    judge = rng.random(len(y)) < 0.2 if len(y) >= 50 else np.ones(len(y), bool)
     lowest, lowest_at, kept = np.inf, 0, (embed @ weight, float(bias))
     momentum, size_now, rate_of = [np.zeros_like(embed), np.zeros(dim), 0.0], [0.0, 0.0, 0.0], rate_of_change
     for k in range(1, warm + rounds + 1):
-        word = np.bincount(owner, (embed @ weight)[local], len(names)) / held
+        word = np.bincount(owner, (embed @ weight)[local], len(held)) / held
         scores = word[spelling]
         if k <= warm:
             a, b = base, base + counts
         else:
             means = window_means(scores, first, last)
+            # windows left out by chance: else a text's strongest word keeps its others from being learned
+            means[rng.random(len(means)) < np.where(judge[text], 0, drop)] -= 1e6
             top = np.maximum.reduceat(means, starts)
             best = np.full(len(texts), -1)
             hits = np.flatnonzero(means >= top[text])
@@ -187,7 +203,7 @@ def train(
         n = b - a
         share = np.repeat(error / np.maximum(1, n), n)
         at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
-        per_word = np.bincount(spelling[at], share, len(names)) / held
+        per_word = np.bincount(spelling[at], share, len(held)) / held
         touched = np.flatnonzero(per_word)
         ends = np.append(begin[1:], len(owner))
         size = ends[touched] - begin[touched]
@@ -206,11 +222,10 @@ def train(
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 6000, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 4000, key: str = "doc_id", text: str = "text"
 ) -> Model:
-    """A model from at most `rows` labelled training texts (whole texts, at most `chars` characters in all)."""
+    """A model from at most `rows` labelled training texts."""
     sample = labelled_sample(docs, labels, label, rows, key, text)
-    # windows of whole texts: what leaves the executors is bounded by the number of rows and their length
     got = sorted(((r["id"], r["text"] or "", r["label"]) for r in sample.collect()), key=repr)
     return train([t for _, t, _ in got], [y for _, _, y in got])
 
