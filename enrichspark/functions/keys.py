@@ -50,7 +50,8 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 _TRACKING_NAME = rf"^(?:(?:{'|'.join(C.TRACKING_PREFIXES)})|(?:{'|'.join(C.TRACKING_NAMES)})$)"
 _TRACKED = rf"(?:^|&)(?:{'|'.join(C.TRACKING_PREFIXES)}|(?:{'|'.join(C.TRACKING_NAMES)})=)"
-_ALREADY_CLEAN = r"^[A-Za-z0-9_.~\-]+=[A-Za-z0-9_.~\-]*(?:&[A-Za-z0-9_.~\-]+=[A-Za-z0-9_.~\-]*)*$"
+# A character that needs decoding or encoding, or a pair that is empty or has not exactly one "=" after a name.
+_UNCLEAN = r"[^A-Za-z0-9_.~\-=&]|^&|&$|&&|(?:^|&)=|(?:^|&)[^=&]*(?:&|$)|=[^&]*="
 
 
 def _clean_query(query: Column) -> Column:
@@ -63,8 +64,8 @@ def _clean_query(query: Column) -> Column:
     )
     kept = F.filter(pairs, lambda p: ~p["k"].rlike(_TRACKING_NAME))
     encoded = F.transform(kept, lambda p: F.concat(_url_encode(p["k"]), F.lit("="), _url_encode(p["v"])))
-    # Most queries need no work at all; the pattern is kept off very long ones.
-    clean = (F.length(query) < 500) & query.rlike(_ALREADY_CLEAN) & ~query.rlike(_TRACKED)
+    # Most queries need no work at all.
+    clean = ~query.rlike(_UNCLEAN) & ~query.rlike(_TRACKED)
     return F.when((query == "") | clean, query).otherwise(F.array_join(encoded, "&"))
 
 

@@ -81,9 +81,11 @@ def xref_without_table(entities: DataFrame) -> DataFrame:
 
 
 def attach_xref(rows: DataFrame, xrefs: DataFrame, key: str = "entity_name") -> DataFrame:
-    """Copy an entity's cross-reference onto each of its findings."""
+    """Copy an entity's cross-reference onto each of its findings; a finding stays one row even if
+    the entity is listed twice."""
     cols = ["internal_status", "internal_ref", "internal_note"]
-    return rows.join(xrefs.select(key, *cols), key, "left")
+    one = xrefs.groupBy(key).agg(F.min(F.struct(*cols)).alias("_x"))
+    return rows.join(one, key, "left").select(*rows.columns, *[F.col("_x")[c].alias(c) for c in cols])
 
 
 def suppress(df: DataFrame, statuses: Sequence[str] = C.SUPPRESSED_STATUSES) -> DataFrame:

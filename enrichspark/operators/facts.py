@@ -84,27 +84,69 @@ def rank_sources(facts: DataFrame, entities: DataFrame) -> DataFrame:
     return best.drop("_own")
 
 
+def _chosen(facts: DataFrame, fields: Sequence[str], key: str) -> DataFrame:
+    """One row per entity with a whole finding, as a struct, for each field.
+
+    A trusted finding with a value and a source goes ahead of the others, then by source and value.
+    """
+    text, source = F.coalesce("value", F.lit("")), F.coalesce("source_url", F.lit(""))
+    doubtful = ~(F.coalesce("verified", F.lit(False)) & (text != "") & (source != ""))
+    finding = F.struct(doubtful.alias("doubtful"), "source_url", "value", "verified", "note")
+    # A condition per field, not a pivot over fields: entities without any of them keep their row.
+    return facts.groupBy(key).agg(*[F.min(F.when(F.col("field") == f, finding)).alias(f"_{f}") for f in fields])
+
+
 def pivot_facts(facts: DataFrame, fields: Sequence[str], key: str = "entity_name") -> DataFrame:
-    """One row per entity with the requested fields as columns."""
-    return facts.groupBy(key).pivot("field", list(fields)).agg(F.max("value"))
+    """One row per entity with each requested field and the source of its value: both of one finding."""
+    named = [(F.col(f"_{f}.value").alias(f), F.col(f"_{f}.source_url").alias(f"{f}_source")) for f in fields]
+    return _chosen(facts, fields, key).select(key, *[c for pair in named for c in pair])
+
+
+def output_rows(facts: DataFrame, xrefs: DataFrame, fields: Sequence[str], key: str = "entity_name") -> DataFrame:
+    """The rows a job hands out: entity, fields, source, verdict, note and internal status.
+
+    A field shows its value only if that is verified. The source is that of the first field that has
+    one; the row is verified if every finding shown is; notes are joined in the order of fields.
+    ``xrefs`` may hold an entity more than once; its smallest values count.
+    """
+    internal = ["internal_status", "internal_ref", "internal_note"]
+    known = xrefs.groupBy(key).agg(*[F.min(c).alias(c) for c in internal])
+    got = [F.col(f"_{f}") for f in fields]
+    sure = [F.coalesce(g["verified"], F.lit(False)) for g in got]
+    values = [F.when(s, g["value"]).otherwise("").alias(f) for f, g, s in zip(fields, got, sure, strict=True)]
+    source = F.coalesce(*[F.nullif(g["source_url"], F.lit("")) for g in got], F.lit(""))
+    whole = F.lit(True)
+    for g, s in zip(got, sure, strict=True):
+        whole = whole & (g.isNull() | s)
+    notes = F.concat_ws("; ", *[F.nullif(g["note"], F.lit("")) for g in got])
+    rows = _chosen(facts, fields, key).select(
+        key, *values, source.alias("source_url"), whole.alias("verified"), notes.alias("note")
+    )
+    return rows.join(known, key, "left").withColumnRenamed(key, "entity")
 
 
 def to_canonical(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """Downstream company rows: name, domain, trusted fields as a map, sources as a list.
+    """Downstream company rows: name, domain, trusted fields as a map, all their sources as a list.
 
-    One finding per requested field is chosen first, so map and list hold at most
-    ``len(fields)`` entries however many findings an entity has.
+    The map has one finding per requested field, the first by source and value; the list has the
+    source of every trusted finding. Findings are folded per (entity, field, source) first, so an
+    entity with many is not gathered row by row.
     """
-    picked = top_one(
-        trusted(rows).where(F.col("field").isin(*fields)),
-        ["entity_name", "field"],
-        [F.asc("source_url"), F.asc("value")],
+    named = ["entity_name", "field", "source_url"]
+    folded = trusted(rows).where(F.col("field").isin(*fields)).groupBy(*named).agg(
+        F.min("value").alias("value"), F.min("domain").alias("domain"), F.min("internal_status").alias("internal_status")
+    )
+    by_field = folded.groupBy("entity_name", "field").agg(
+        F.min(F.struct("source_url", "value"))["value"].alias("value"),
+        F.collect_set("source_url").alias("urls"),
+        F.min("domain").alias("domain"),
+        F.min("internal_status").alias("internal_status"),
     )
     entry = F.struct(F.col("field").alias("key"), F.col("value").alias("value"))
-    return picked.groupBy("entity_name").agg(
+    return by_field.groupBy("entity_name").agg(
         F.min("domain").alias("company_domain"),
         F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("intel"),
-        F.array_sort(F.collect_set("source_url")).alias("sources"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("urls")))).alias("sources"),
         F.min("internal_status").alias("db_status"),
     ).withColumnRenamed("entity_name", "company_name")
 

@@ -116,9 +116,11 @@ def fetch_flags(outcomes: DataFrame) -> DataFrame:
 
 
 def search_flags(outcomes: DataFrame) -> DataFrame:
+    engine = F.col("engine") if "engine" in outcomes.columns else F.lit(None).cast("string")
     return outcomes.select(
         SEARCH_KEY,
         "rung",
+        engine.alias("engine"),
         (F.size("results") > 0).alias("success"),
         F.col("latency_ms").cast("long").alias("latency_ms"),
     )
@@ -137,13 +139,14 @@ def _truth(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(False))
 
 
-def _attempt(r: Rung, success: Column) -> Column:
+def _attempt(r: Rung, ran: Column, success: Column) -> Column:
+    """An attempt as it is logged; a rung that was not able to run has no latency."""
     return F.struct(
         F.lit(r.rung).alias("rung"),
         F.lit(r.tier).alias("tier"),
         success.alias("success"),
         F.lit(False).alias("from_cache"),
-        F.col(f"{r.rung}_latency_ms").alias("latency_ms"),
+        F.when(ran, F.col(f"{r.rung}_latency_ms")).alias("latency_ms"),
         F.when(success, r.credits).otherwise(0).cast("long").alias("cost_credits"),
         F.when(success, F.lit(r.usd)).otherwise(F.lit(0.0)).cast("decimal(18,6)").alias("cost_usd"),
     )
@@ -182,7 +185,7 @@ def _walk(
             able = able & ~F.col("cooling")
         logged = tried if r.rung in LOGS_WHEN_UNAVAILABLE else tried & able
         success = tried & able & _truth(f"{r.rung}_success")
-        step = {f"_tried_{r.rung}": logged, f"_won_{r.rung}": success}
+        step = {f"_tried_{r.rung}": logged, f"_won_{r.rung}": success, f"_tried_able_{r.rung}": tried & able}
         if fetch and r.rung == "native":
             step["_dead_native"] = tried & ~success & is_dead(F.col("native_status"))
             step["_shell_native"] = tried & _truth("native_has_text")
@@ -196,7 +199,7 @@ def _walk(
             after["dead"] = F.col("_dead_native")
             after["_shell"] = F.col("_shell_native") & ~won
         df = df.withColumns(after)
-        attempts.append(F.when(F.col(f"_tried_{r.rung}"), _attempt(r, won)))
+        attempts.append(F.when(F.col(f"_tried_{r.rung}"), _attempt(r, F.col(f"_tried_able_{r.rung}"), won)))
     spent = {r.rung: r.credits for r in ladder if r.credits}
     credits = F.lit(0)
     for name, n in spent.items():
@@ -249,24 +252,26 @@ def _settle(
         {c: F.coalesce(F.col(c), F.lit(_FLAG_DEFAULTS.get(c, False))) for c in flags}
     )
     if fetch:
-        # Anything but a web address is a file or nothing; it neither probes nor asks.
-        web = F.coalesce(F.col("url").rlike(r"(?i)^\s*https?://"), F.lit(False))
+        # Anything that does not begin as a lower-case web address is a file or nothing; it neither
+        # probes nor asks.
+        web = F.coalesce(F.col("url").startswith("http://") | F.col("url").startswith("https://"), F.lit(False))
         asked, flags = asked.withColumn("_local", ~web), [*flags, "_local"]
-    variants = asked.groupBy(key, *flags).agg(F.min("req").alias("_first"))
+    text = "url" if fetch else "query"
+    variants = asked.groupBy(key, *flags).agg(F.min("req").alias("_first"), F.min_by(text, "req").alias("_text"))
     probed = variants.join(entries, key, "left").join(flags_by_rung, key, "left")
     decided = _walk(probed, ladder, configured, fetch, flags)
     decided = decided.withColumn("hit", _truth("hit") & ~F.col("_local") if fetch else _truth("hit"))
     stored = (F.col("winner").isNotNull() | F.col("dead")) if fetch else F.lit(True)
     # Structs compare by their first field, so the least one is the first request's.
-    lead = F.struct("_first", "winner", "dead", *(["native_status"] if fetch else []))
+    lead = F.struct("_first", "winner", "dead", "_text", *(["native_status"] if fetch else []))
     # A key has one row per set of clearances here, never one per request.
     of_key = Window.partitionBy(key)
     decided = decided.withColumn("_lead", F.min(F.when(~F.col("hit") & stored, lead)).over(of_key))
     keep = [c for c in decided.columns if not c.startswith(("_tried", "_won", "_dead", "_shell", "_failed"))]
-    keep = [c for c in keep if c not in flags_by_rung.columns or c in (key, "native_has_text", "native_status")]
+    keep = [c for c in keep if c not in flags_by_rung.columns or c in (key, "native_has_text", "native_status", "keyword_engine")]
     decided = decided.select(*keep)
     leaders = decided.where(F.col("_first") == F.col("_lead._first")).select(key, "_lead")
-    return asked.join(decided, [key, *flags]), leaders
+    return asked.join(decided.drop("_text"), [key, *flags]), leaders
 
 
 def _events(rows: DataFrame, waterfall: str, as_of: str) -> DataFrame:
@@ -286,11 +291,13 @@ def resolve_search(
     as_of: str,
     policy: Iterable[Rung] = DEFAULT_POLICY,
     configured: Iterable[str] = ALL_KEYS,
+    n: int = C.SEARCH_JOB_RESULTS,
 ) -> Resolution:
     """``requests(req, run_id, entity_name, query[, query_intent, allow_parallel])`` against
-    ``outcomes(query_key, rung, results, latency_ms)`` and the search cache.
+    ``outcomes(query_key, rung, results, latency_ms[, engine])`` and the search cache.
 
-    A result, empty or not, is stored for the whole time to live.
+    The provider of a keyword answer is the free engine that gave it, where outcomes name one. A
+    result, empty or not, is stored for the whole time to live, its first ``n`` rows at most.
     """
     ladder = rungs("search", policy)
     keyed = _keyed(requests, SEARCH_KEY, with_query_key)
@@ -309,7 +316,10 @@ def resolve_search(
             "run_id",
             "entity_name",
             SEARCH_KEY,
-            F.when(F.col("from_cache"), "cache").otherwise(F.coalesce("winner", F.lit("none"))).alias("provider"),
+            F.when(F.col("from_cache"), "cache")
+            .when(F.col("winner") == "keyword", F.coalesce("keyword_engine", "winner"))
+            .otherwise(F.coalesce("winner", F.lit("none")))
+            .alias("provider"),
             F.when(F.col("hit"), F.col("cached_ok")).otherwise(source.isNotNull()).alias("ok"),
             "from_cache",
             F.when(F.col("from_cache"), 0).otherwise(F.col("credits")).cast("long").alias("credits"),
@@ -318,15 +328,14 @@ def resolve_search(
 
     def writes() -> DataFrame:
         found = outcomes.select(SEARCH_KEY, F.col("rung").alias("_rung"), "results")
-        lead = leaders.select(SEARCH_KEY, F.col("_lead._first").alias("req"), F.col("_lead.winner").alias("_rung"))
+        lead = leaders.select(SEARCH_KEY, F.col("_lead._text").alias("query"), F.col("_lead.winner").alias("_rung"))
         return (
-            lead.join(keyed.select("req", SEARCH_KEY, "query"), ["req", SEARCH_KEY])
-            .join(found, [SEARCH_KEY, "_rung"], "left")
+            lead.join(found, [SEARCH_KEY, "_rung"], "left")
             .select(
                 SEARCH_KEY,
                 "query",
                 F.lit(C.SEARCH_CACHE_RUNG).alias("rung"),
-                F.coalesce("results", F.array().cast(RESULT_TYPE)).alias("result_urls"),
+                F.slice(F.coalesce("results", F.array().cast(RESULT_TYPE)), 1, n).alias("result_urls"),
                 F.col("_rung").isNull().alias("empty"),
                 at(as_of).alias("fetched_at"),
                 (at(as_of) + F.make_dt_interval(days=F.lit(C.TTL_DAYS))).alias("expires_at"),
@@ -336,15 +345,17 @@ def resolve_search(
     return Resolution(resolved, lambda: _events(rows, "search", as_of), writes)
 
 
-def with_results(resolved: DataFrame, outcomes: DataFrame, cache: DataFrame) -> DataFrame:
-    """Attach the result rows: the winning rung's, or the cached list."""
+def with_results(
+    resolved: DataFrame, outcomes: DataFrame, cache: DataFrame, n: int = C.SEARCH_JOB_RESULTS
+) -> DataFrame:
+    """Attach the result rows: the first ``n`` of the winning rung, or the cached list."""
     found = outcomes.select(SEARCH_KEY, F.col("rung").alias("result_rung"), "results")
     stored = cache.select(SEARCH_KEY, F.col("result_urls").alias("_stored"))
     rows = resolved.join(found, [SEARCH_KEY, "result_rung"], "left").join(stored, SEARCH_KEY, "left")
     cached = F.col("from_cache") & F.col("result_rung").isNull()
     none = F.array().cast(RESULT_TYPE)
     return rows.withColumn(
-        "results", F.coalesce(F.when(cached, F.col("_stored")).otherwise(F.col("results")), none)
+        "results", F.coalesce(F.when(cached, F.col("_stored")).otherwise(F.slice("results", 1, n)), none)
     ).drop("_stored")
 
 
@@ -474,15 +485,14 @@ def resolve_fetch(
         text = outcomes.select(PAGE_KEY, F.col("rung").alias("_rung"), excerpt(F.col("content")).alias("_text"))
         lead = leaders.select(
             PAGE_KEY,
-            F.col("_lead._first").alias("req"),
+            F.col("_lead._text").alias("url"),
             F.col("_lead.dead").alias("is_dead"),
             F.col("_lead.native_status").alias("_status"),
             F.when(F.col("_lead.dead"), "native").otherwise(F.col("_lead.winner")).alias("_rung"),
         )
         plain = F.col("_rung") == "native"
         written = (
-            lead.join(keyed.select("req", PAGE_KEY, "url"), ["req", PAGE_KEY])
-            .join(text, [PAGE_KEY, "_rung"], "left")
+            lead.join(text, [PAGE_KEY, "_rung"], "left")
             .select(
                 PAGE_KEY,
                 "url",
@@ -607,30 +617,41 @@ def fetch_pages(
 
 
 def apply_digest(
-    fetched: DataFrame, digests: DataFrame, threshold: int = C.DIGEST_THRESHOLD
+    fetched: DataFrame, digests: DataFrame, threshold: int = C.DIGEST_THRESHOLD, no_digest: bool = False
 ) -> DataFrame:
     """Long fresh pages become their digest where there is one, else their beginning.
 
-    ``digests(url_key, digest)`` come from quotes or from a model hook.
+    ``digests(url_key, digest)`` come from quotes or from a model hook. A digest takes the page's
+    place in the cache, so requests served from what this job fetched (``content_rung`` names the
+    rung) get it too. With ``no_digest`` pages stay as they are.
     """
+    if no_digest:
+        return fetched.withColumns({"digested": F.lit(False), "chars_in": F.length("content").cast("long")})
     long_ = needs_digest(F.col("content"), F.col("from_cache"), threshold)
     joined = fetched.join(digests.select(PAGE_KEY, "digest"), PAGE_KEY, "left")
-    done = long_ & F.coalesce(F.col("digest") != "", F.lit(False))
-    content = F.when(done, F.col("digest")).when(long_, truncated(F.col("content"), threshold))
+    some = F.coalesce(F.col("digest") != "", F.lit(False))
+    done = long_ & some
+    # Only a page of this job that was long enough for a digest has one in the cache.
+    served = joined.where(done).select(PAGE_KEY).distinct().withColumn("_in_cache", F.lit(True))
+    joined = joined.join(served, PAGE_KEY, "left")
+    follows = F.col("from_cache") & F.col("content_rung").isNotNull() & F.coalesce("_in_cache", F.lit(False))
+    content = F.when(done | follows, F.col("digest")).when(long_, truncated(F.col("content"), threshold))
     return (
         joined.withColumns({"digested": done, "chars_in": F.length("content").cast("long")})
         .withColumn("content", content.otherwise(F.col("content")))
-        .drop("digest")
+        .drop("digest", "_in_cache")
     )
 
 
 def digest_writes(digested: DataFrame, as_of: str) -> DataFrame:
     """Cache rows of digested pages; the digest replaces the excerpt."""
-    rows = digested.where("digested").groupBy(PAGE_KEY).agg(
-        F.min("url").alias("url"),
-        F.max("status").alias("http_status"),
-        F.min("tier").alias("provider"),
-        F.min("content").alias("digest"),
+    first = F.min_by(F.struct("url", "status", "tier", "content"), "req")
+    rows = digested.where("digested").groupBy(PAGE_KEY).agg(first.alias("_d")).select(
+        PAGE_KEY,
+        F.col("_d.url").alias("url"),
+        F.col("_d.status").alias("http_status"),
+        F.col("_d.tier").alias("provider"),
+        F.col("_d.content").alias("digest"),
     )
     return page_writes(
         rows.withColumns(

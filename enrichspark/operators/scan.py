@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -45,7 +46,12 @@ SECRET_ANY_CASE = ScanRule("secret_any_case", "secret", C.SECRET_RULE, C.SECRET_
 
 
 def deny_terms(*patterns: str) -> tuple[ScanRule, ...]:
-    return tuple(ScanRule(f"deny_{i}", "private_terms", p) for i, p in enumerate(patterns, 1))
+    """Private terms as rules; a pattern of plain ASCII words is its own literal."""
+
+    def literals(pattern: str) -> tuple[str, ...]:
+        return (pattern.lower(),) if re.fullmatch(r"[A-Za-z0-9_ ]+", pattern) else ()
+
+    return tuple(ScanRule(f"deny_{i}", "private_terms", p, literals=literals(p)) for i, p in enumerate(patterns, 1))
 
 
 def leak_scan(
@@ -53,34 +59,30 @@ def leak_scan(
 ) -> DataFrame:
     """One row per (document, line, rule) found.
 
-    Texts that match no rule at all are dropped before lines are exploded. The allow-list is read
-    against the line alone.
+    Patterns are tried on lines only, so anchors mean line ends everywhere. Texts that hold none of
+    the rules' literals are dropped before lines are exploded, unless a rule has no literal. The
+    allow-list is read against the line alone.
     """
-    text = F.col(col)
 
-    def suspect(low: Column) -> Column:
-        test = F.lit(False)
-        for rule in rules:
-            hit = text.rlike(rule.regex())
-            if rule.literals:
-                hit = reduce(or_, (F.contains(low, F.lit(t)) for t in rule.literals)) & hit
-            test = test | hit
-        return test
+    def holds(rule: ScanRule, low: Column) -> Column:
+        return reduce(or_, (F.contains(low, F.lit(t)) for t in rule.literals)) if rule.literals else F.lit(True)
 
+    texts = df.select(key, col)
+    if all(rule.literals for rule in rules):
+        texts = texts.where(bind(F.lower(col), lambda low: reduce(or_, (holds(r, low) for r in rules))))
     lines = (
-        df.select(key, col)
-        .where(bind(F.lower(text), suspect))
+        texts
         .select(key, F.posexplode(F.split(col, "\n")).alias("_i", "line"))
         .withColumn("line_no", (F.col("_i") + 1).cast("long"))
     )
 
-    def found(rule: ScanRule):
-        hit = F.col("line").rlike(rule.regex())
+    def found(rule: ScanRule, low: Column) -> Column:
+        hit = holds(rule, low) & F.col("line").rlike(rule.regex())
         if rule.allowed:
             hit = hit & ~F.col("line").rlike(f"(?i){rule.allowed}")
         return F.when(hit, F.lit(rule.name))
 
-    hits = F.array_compact(F.array(*[found(r) for r in rules]))
+    hits = bind(F.lower("line"), lambda low: F.array_compact(F.array(*[found(r, low) for r in rules])))
     return lines.select(key, "line_no", F.explode(hits).alias("rule"), "line")
 
 

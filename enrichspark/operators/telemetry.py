@@ -36,13 +36,17 @@ def at(as_of: str) -> Column:
 # --- rates, pools, costs ------------------------------------------------------
 
 
-def verified_rate(tel: DataFrame) -> DataFrame:
-    return tel.groupBy("run_id").agg(
+def rate_of_entities() -> tuple[Column, Column]:
+    return (
         _rate(F.sum("verified_fields"), F.sum("unverified_fields")).alias("verified_rate"),
         F.count(F.lit(1)).alias("entities"),
     )
 
 
+def verified_rate(tel: DataFrame) -> DataFrame:
+    return tel.groupBy("run_id").agg(*rate_of_entities())
+
+
 def free_pool_month(events: DataFrame) -> DataFrame:
     """Calls per free rung and calendar month, cache hits and failures included."""
     month = F.date_trunc("month", "ts").cast("timestamp_ntz").alias("month")
@@ -61,16 +65,33 @@ def cost_split(runs: DataFrame, tel: DataFrame) -> DataFrame:
     return runs.select("run_id", "model").join(per_run, "run_id")
 
 
-def rung_stats(events: DataFrame, with_p95: bool = True) -> DataFrame:
-    aggs = [
+def rung_stats(events: DataFrame) -> DataFrame:
+    return events.groupBy("waterfall", "rung").agg(
         F.count(F.lit(1)).alias("attempts"),
         F.count_if("success").alias("successes"),
         (F.count_if("success") / F.count(F.lit(1))).alias("success_rate"),
         F.avg("latency_ms").alias("avg_latency_ms"),
-    ]
-    if with_p95:
-        aggs.append(F.percentile_approx("latency_ms", 0.95).alias("p95_latency_ms"))
-    return events.groupBy("waterfall", "rung").agg(*aggs)
+    )
+
+
+def rung_percentile(events: DataFrame, share: float = 0.95) -> DataFrame:
+    """Per rung the smallest latency that at least ``share`` of its timed attempts stay within.
+
+    Exact: attempts are counted per whole millisecond first, on the map side too, so the running
+    count goes over the latencies seen and not over the attempts.
+    """
+    rung = ["waterfall", "rung"]
+    timed = events.where(F.col("latency_ms").isNotNull()).groupBy(*rung, "latency_ms").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*rung).orderBy("latency_ms"))
+    total = F.sum("_n").over(Window.partitionBy(*rung))
+    return (
+        timed.select(*rung, "latency_ms", upto.alias("_upto"), total.alias("_total"))
+        .groupBy(*rung)
+        .agg(
+            F.max("_total").alias("timed"),
+            F.min(F.when(F.col("_upto") >= F.ceil(F.col("_total") * F.lit(share)), F.col("latency_ms"))).alias("latency_ms"),
+        )
+    )
 
 
 def tier_costs(events: DataFrame, credit_usd: float = C.GATED_REQUEST_USD) -> DataFrame:

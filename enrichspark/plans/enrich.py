@@ -46,15 +46,18 @@ class Enrichment:
             requests.join(wanted, "entity_name", "left_semi"), outcomes, page_cache, as_of, policy, configured
         )
 
+    @cached_property
+    def checked(self) -> DataFrame:
+        return facts.verify_claims(self.claims, self.pages)
+
     @cached_property
     def rows(self) -> DataFrame:
         """Findings: verified and sourced, or blank with a note, each with the entity's status."""
-        checked = facts.blank_unverified(facts.verify_claims(self.claims, self.pages))
-        return accounts.attach_xref(checked.drop("quote", "url_key"), self.entities)
+        return accounts.attach_xref(facts.blank_unverified(self.checked).drop("quote", "url_key"), self.entities)
 
     @cached_property
     def telemetry(self) -> DataFrame:
-        """Per run and entity: attempts, spend and field counts."""
+        """Per run and entity: attempts, spend and field counts. An entity with either kind of row counts."""
         key = ["run_id", "entity_name"]
         spent = self.fetches.events.groupBy(*key).agg(
             F.count(F.lit(1)).alias("orchestrator_turns"),
@@ -62,19 +65,21 @@ class Enrichment:
             F.sum("cost_usd").alias("usd_spent"),
             F.count_if("from_cache").alias("cache_hits"),
         )
-        counts = telemetry.field_counts(self.rows)
-        return spent.join(counts, key, "left").fillna(0, ["verified_fields", "unverified_fields"])
+        # Counted from the claims themselves: neither the account columns nor the texts travel with them.
+        counts = telemetry.field_counts(self.checked)
+        numbers = ["orchestrator_turns", "credits_spent", "usd_spent", "cache_hits", "verified_fields", "unverified_fields"]
+        return spent.join(counts, key, "full").fillna(0, numbers)
 
     @cached_property
     def report(self) -> DataFrame:
         """Per run: what was done, what it cost, how much of it held."""
-        spent = self.telemetry.groupBy("run_id").agg(
+        return self.telemetry.groupBy("run_id").agg(
             F.sum("orchestrator_turns").alias("attempts"),
             F.sum("cache_hits").alias("cache_hits"),
             F.sum("credits_spent").alias("credits"),
             F.sum("usd_spent").alias("usd"),
+            *telemetry.rate_of_entities(),
         )
-        return spent.join(telemetry.verified_rate(self.telemetry), "run_id")
 
     @cached_property
     def page_cache_after(self) -> DataFrame:

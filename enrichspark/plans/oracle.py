@@ -206,7 +206,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
             when 3 then head || path || '/' || tail
             when 4 then head || path || case when starts_with(tail, '?') then '?utm_x=1&' || substr(tail, 2) else '?utm_x=1' || tail end
             when 5 then base || '#part' else head || '/missing/' || cast(page_id as varchar) end as url,
-          (page_id + v) % 2 = 0 as allow_parallel
+          (page_id + v) % 2 = 0 as allow_parallel, (page_id + v) % 5 = 0 as cooling
         from (select page_id, url as base, {_HEAD} as head, {_PATH} as path, {_TAIL} as tail, unnest(range(7)) as v from pages)""",
     ),
     "keyed_request": (("page_request",), f"select *, {url_key('url')} as url_key from page_request"),
@@ -243,45 +243,46 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "fetch_alone": (
         ("keyed_request", "page_flags", "live"),
         """
-        select r.*, c.url_key is not null as hit, c.is_dead as cached_dead, c.http_status as cached_status,
+        select r.*, web and c.url_key is not null as hit, c.is_dead as cached_dead, c.http_status as cached_status,
           coalesce(nullif(c.digest, ''), nullif(c.raw_excerpt, ''), '') <> '' as cached_ok,
           f.native_status, f.base_ms, coalesce(f.native_text, false) as native_text,
           case when f.native_ok then 'native' when f.native_status in (401, 404, 410) then 'dead'
-            when f.jina_ok then 'jina' when f.tavily_ok then 'tavily'
+            when f.jina_ok then 'jina' when f.tavily_ok and not r.cooling then 'tavily'
             when r.allow_parallel and f.parallel_ok then 'parallel'
             when f.native_text then 'native-thin' else 'failed' end as alone
-        from keyed_request r left join page_flags f using (url_key) left join live c using (url_key)""",
+        from (select *, starts_with(url, 'http://') or starts_with(url, 'https://') as web from keyed_request) r left join page_flags f using (url_key) left join live c using (url_key)""",
     ),
     "fetch_lead": (
         ("fetch_alone",),
         """
         select url_key, min(req) as lead_req, arg_min(alone, req) as lead_tier, arg_min(native_status, req) as lead_status
-        from fetch_alone where not hit and alone not in ('native-thin', 'failed') group by url_key""",
+        from fetch_alone where web and not hit and alone not in ('native-thin', 'failed') group by url_key""",
     ),
     "fetched": (
         ("fetch_alone", "fetch_lead"),
         """
         select *, hit or follows as from_cache,
-          case when hit then case when cached_dead then 'dead' else 'cache' end
+          case when not web then 'missing' when hit then case when cached_dead then 'dead' else 'cache' end
             when follows then case when lead_tier = 'dead' then 'dead' else 'cache' end else alone end as tier
-        from (select a.*, l.lead_req, l.lead_tier, l.lead_status, coalesce(not a.hit and a.req > l.lead_req, false) as follows
+        from (select a.*, l.lead_req, l.lead_tier, l.lead_status, coalesce(a.web and not a.hit and a.req > l.lead_req, false) as follows
           from fetch_alone a left join fetch_lead l using (url_key))""",
     ),
     "fetch_resolved": (
         ("fetched",),
         """
         select req, run_id, entity_name, url_key, url, tier, from_cache,
-          case when hit then not cached_dead and cached_ok else tier not in ('dead', 'failed') end as ok,
+          case when hit then not cached_dead and cached_ok else tier not in ('dead', 'failed', 'missing') end as ok,
           cast(case when hit then cached_status
             when follows then case when lead_tier in ('dead', 'native') then lead_status else 200 end
             when tier in ('dead', 'native') then native_status
             when tier in ('jina', 'tavily', 'parallel') then 200 end as integer) as status,
           cast(case when tier = 'tavily' and not from_cache then 1 else 0 end as bigint) as credits,
           case when hit then null when follows then case when lead_tier = 'dead' then null else lead_tier end
-            when tier = 'native-thin' then 'native' when tier in ('dead', 'failed') then null else tier end as content_rung,
+            when tier = 'native-thin' then 'native' when tier in ('dead', 'failed', 'missing') then null else tier end as content_rung,
           case when tier = 'dead' then 'dead URL (HTTP ' || cast(case when hit then cached_status when follows then lead_status else native_status end as varchar)
               || case when from_cache then ') — re-search' else ') — re-search, do not retry' end
             when tier = 'native-thin' then 'thin native body; escalation rungs could not improve it'
+            when tier = 'missing' then 'not a URL and not a file'
             when tier = 'failed' then 'no usable content' end as error
         from fetched""",
     ),
@@ -290,13 +291,13 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         """
         select req, 'cache' as rung, 'free' as tier, true as success, true as from_cache,
           cast(null as bigint) as latency_ms, 0 as cost_credits, 0.0 as cost_usd from fetched where from_cache
-        union all select req, 'native', 'free', alone = 'native', false, base_ms, 0, 0.0 from fetched where not from_cache
+        union all select req, 'native', 'free', alone = 'native', false, base_ms, 0, 0.0 from fetched where web and not from_cache
         union all select req, 'jina', 'free', alone = 'jina', false, base_ms + 1, 0, 0.0 from fetched
-          where not from_cache and alone not in ('native', 'dead')
-        union all select req, 'tavily', 'credit', alone = 'tavily', false, base_ms + 2, case when alone = 'tavily' then 1 else 0 end, 0.0
-          from fetched where not from_cache and alone not in ('native', 'dead', 'jina')
+          where web and not from_cache and alone not in ('native', 'dead')
+        union all select req, 'tavily', 'credit', alone = 'tavily', false, case when not cooling then base_ms + 2 end, case when alone = 'tavily' then 1 else 0 end, 0.0
+          from fetched where web and not from_cache and alone not in ('native', 'dead', 'jina')
         union all select req, 'parallel', 'gated', alone = 'parallel', false, base_ms + 3, 0, case when alone = 'parallel' then 0.005 else 0.0 end
-          from fetched where not from_cache and allow_parallel and alone in ('parallel', 'native-thin', 'failed')""",
+          from fetched where web and not from_cache and allow_parallel and alone in ('parallel', 'native-thin', 'failed')""",
     ),
     "fetch_content": (
         ("fetch_resolved", "page_outcome", "page_cache"),
@@ -382,7 +383,9 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         ("searched",),
         """
         select req, run_id, entity_name, query_key, from_cache,
-          case when from_cache then 'cache' else coalesce(alone, 'none') end as provider,
+          case when from_cache then 'cache' when alone = 'keyword' then
+            case cid % 4 when 0 then 'ddg' when 1 then 'brave' when 2 then 'claude_cli' else 'serper' end
+            else coalesce(alone, 'none') end as provider,
           case when hit then not cached_empty when follows then lead_rung is not null else alone is not null end as ok,
           cast(case when not from_cache and alone = 'tavily' then 1 else 0 end as bigint) as credits,
           case when hit then null when follows then lead_rung else alone end as result_rung
@@ -419,9 +422,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         select page_id as claim_id, page_id % 6 as run_id, host as entity_name,
           case page_id % 3 when 0 then 'hq_city' when 1 then 'employee_count' else 'ceo' end as field,
           concat('v', cast(page_id as varchar)) as value, content, url_key,
-          case when page_id % 4 = 0 then substr(content, 11, 60) || ' zz' else substr(content, 11, 60) end as quote,
-          url || '#cited' as source_url
-        from page""",
+          case when page_id % 4 = 0 then said || ' zz' else said end as quote, url || '#cited' as source_url
+        from (select *, substr(content, 1 + page_id * 37 % greatest(length(content) - 60, 1), 60) as said from page)""",
     ),
     "checked_claim": (
         ("claim",),

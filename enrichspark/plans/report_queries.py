@@ -268,14 +268,17 @@ def dedupe_by_domain(d: Derived) -> DataFrame:
     "rung_event",
 )
 def rung_success(d: Derived) -> DataFrame:
-    stats = telemetry.rung_stats(d.rung_event, with_p95=False)
+    stats = telemetry.rung_stats(d.rung_event)
     return stats.withColumns({"success_rate": _ratio("success_rate"), "avg_latency_ms": _ratio("avg_latency_ms")})
 
 
-@query("rung_latency_p95")
+@query(
+    "rung_latency_p95",
+    """select waterfall, rung, count(latency_ms) as timed, quantile_disc(latency_ms, 0.95) as p95_latency_ms from rung_event group by 1, 2""",
+    "rung_event",
+)
 def rung_latency_p95(d: Derived) -> DataFrame:
-    """With the 95th percentile, which is approximate and so has no SQL twin."""
-    return telemetry.rung_stats(d.rung_event)
+    return telemetry.rung_percentile(d.rung_event).withColumnRenamed("latency_ms", "p95_latency_ms")
 
 
 @query(
@@ -596,14 +599,43 @@ def blank_unverified(d: Derived) -> DataFrame:
 
 @query(
     "rows_wide",
-    """select entity_name, max(value) filter (where field = 'hq_city') as hq_city, max(value) filter (where field = 'employee_count') as employee_count,
-    max(value) filter (where field = 'ceo') as ceo from fact group by 1""",
+    """best as (select * from fact qualify row_number() over (partition by entity_name, field
+      order by verified and value <> '' and source_url <> '' desc, source_url, value, verified, note) = 1)
+    select entity_name, max(value) filter (where field = 'hq_city') as hq_city, max(source_url) filter (where field = 'hq_city') as hq_city_source,
+      max(value) filter (where field = 'employee_count') as employee_count,
+      max(source_url) filter (where field = 'employee_count') as employee_count_source,
+      max(value) filter (where field = 'ceo') as ceo, max(source_url) filter (where field = 'ceo') as ceo_source from best group by 1""",
     "fact",
 )
 def rows_wide(d: Derived) -> DataFrame:
     return facts.pivot_facts(d.fact, FIELDS)
 
 
+_BEST = """best as (select * from fact qualify row_number() over (partition by entity_name, field
+      order by verified and value <> '' and source_url <> '' desc, source_url, value, verified, note) = 1),
+    one as (select name, min(internal_status) as internal_status, min(internal_ref) as internal_ref, min(internal_note) as internal_note
+      from xref group by 1),
+    shown as (select entity_name as entity,
+      coalesce(max(case when verified then value else '' end) filter (where field = 'hq_city'), '') as hq_city,
+      coalesce(max(case when verified then value else '' end) filter (where field = 'employee_count'), '') as employee_count,
+      coalesce(max(case when verified then value else '' end) filter (where field = 'ceo'), '') as ceo,
+      coalesce(max(nullif(source_url, '')) filter (where field = 'hq_city'), max(nullif(source_url, '')) filter (where field = 'employee_count'),
+        max(nullif(source_url, '')) filter (where field = 'ceo'), '') as source_url, bool_and(verified) as verified,
+      concat_ws('; ', max(nullif(note, '')) filter (where field = 'hq_city'), max(nullif(note, '')) filter (where field = 'employee_count'),
+        max(nullif(note, '')) filter (where field = 'ceo')) as note from best group by 1)"""
+
+
+@query(
+    "output_rows",
+    _BEST + " select s.*, o.internal_status, o.internal_ref, o.internal_note from shown s left join one o on o.name = s.entity",
+    "fact xref",
+)
+def output_rows(d: Derived) -> DataFrame:
+    """What a job hands out: one row per entity."""
+    known = accounts.xref(d.entity, d.known).withColumnRenamed("name", "entity_name")
+    return facts.output_rows(d.fact, known, FIELDS)
+
+
 @query(
     "verified_counts",
     """select run_id, entity_name, count(*) filter (where verified) as verified_fields, count(*) filter (where not verified) as unverified_fields
@@ -631,9 +663,9 @@ def primary_source_pref(d: Derived) -> DataFrame:
 @query(
     "map_canonical",
     """one as (select name, min(internal_status) as internal_status from xref group by 1),
-    picked as (select * from fact where verified qualify row_number() over (partition by entity_name, field order by source_url, value) = 1)
+    picked as (select *, row_number() over (partition by entity_name, field order by source_url, value) as nth from fact where verified)
     select p.entity_name as company_name, min(p.domain) as company_domain,
-      max(value) filter (where field = 'hq_city') as hq_city, max(value) filter (where field = 'ceo') as ceo,
+      max(value) filter (where field = 'hq_city' and nth = 1) as hq_city, max(value) filter (where field = 'ceo' and nth = 1) as ceo,
       string_agg(distinct source_url, '|' order by source_url) as sources, min(one.internal_status) as db_status
     from picked p left join one on one.name = p.entity_name group by 1""",
     "fact xref",

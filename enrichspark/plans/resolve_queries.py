@@ -35,11 +35,11 @@ def resolve_search(d: Derived) -> DataFrame:
 
 @query(
     "resolve_search_results",
-    f"""ranked as (select r.req, case when s.hit then case when s.cached_empty then null else 'keyword' end else r.result_rung end as rung, s.cid, s.canon
-      from search_resolved r join searched s using (req))
+    f"""ranked as (select r.req, case when s.hit then case when s.cached_empty then null else 'keyword' end else r.result_rung end as rung,
+        case when s.hit then 8 else 6 end as most, s.cid, s.canon from search_resolved r join searched s using (req))
     select req, nth, rung || ' result ' || cast(nth as varchar) as title,
       'https://r' || cast(nth as varchar) || '.example.com/' || cast(cid as varchar) as url, canon as content
-    from (select *, unnest(range(1, 4)) as nth from ranked where rung is not null)""",
+    from (select *, unnest(range(1, most + 1)) as nth from ranked where rung is not null)""",
     "search_resolved searched",
 )
 def resolve_search_results(d: Derived) -> DataFrame:
@@ -191,16 +191,52 @@ _QUOTES = """sentences as (select url_key, nth, sentence from (
     "digest_apply",
     _QUOTES
     + """ select f.req, not f.from_cache and length(f.content) > 8000 and coalesce(d.digest, '') <> '' as digested, length(f.content) as chars_in,
-      case when f.from_cache or length(f.content) <= 8000 then f.content when coalesce(d.digest, '') <> '' then d.digest
+      case when f.from_cache and f.content_rung is not null and url_key in (select url_key from fetch_content join digests using (url_key)
+          where not from_cache and length(content) > 8000 and coalesce(digest, '') <> '') then d.digest
+        when f.from_cache or length(f.content) <= 8000 then f.content when coalesce(d.digest, '') <> '' then d.digest
         else substr(f.content, 1, 8000) || chr(10) || chr(10) || '[...truncated; digest unavailable...]' end as content
     from fetch_content f left join digests d using (url_key)""",
     "fetch_content page",
 )
 def digest_apply(d: Derived) -> DataFrame:
     """Long fresh pages become the sentences that hold a wanted word."""
+    return _digested(d).select("req", "digested", "chars_in", "content")
+
+
+def _digested(d: Derived) -> DataFrame:
     wants = d.page.select("url_key", F.lit("article").alias("field"), F.array(F.lit("the ")).alias("terms"))
     digests = facts.quotes_as_digest(facts.extract_quotes(d.page, wants).where("found"))
-    return resolve.apply_digest(fetched_content(d), digests).select("req", "digested", "chars_in", "content")
+    return resolve.apply_digest(fetched_content(d), digests)
+
+
+_DIGESTED = _QUOTES + """, digested as (select f.*, d.digest as got from fetch_content f join digests d using (url_key)
+    where not f.from_cache and length(f.content) > 8000 and coalesce(d.digest, '') <> '')"""
+
+
+@query(
+    "digest_event",
+    _DIGESTED + " select req, 'digest' as rung, 'cheap_model' as tier, true as success, round(0.002, 6) as cost_usd from digested",
+    "fetch_content page",
+)
+def digest_event(d: Derived) -> DataFrame:
+    """One paid event for each page a digest was made of."""
+    events = resolve.digest_events(_digested(d), AS_OF)
+    return events.select("req", "rung", "tier", "success", F.round(F.col("cost_usd").cast("double"), 6).alias("cost_usd"))
+
+
+@query(
+    "digest_upsert",
+    _DIGESTED
+    + """ select c.url_key, case when g.url_key is null then c.provider else g.tier end as provider,
+      case when g.url_key is null then c.digest else g.got end as digest, case when g.url_key is null then c.raw_excerpt end as raw_excerpt
+    from page_cache_after c left join (select url_key, arg_min(tier, req) as tier, min(got) as got from digested group by 1) g using (url_key)""",
+    "fetch_content page page_cache_after",
+)
+def digest_upsert(d: Derived) -> DataFrame:
+    """The page cache after a job whose long pages were digested: the digest stands, the excerpt is gone."""
+    fetched = cache.upsert_pages(d.page_cache, _fetch(d).writes)
+    after = cache.upsert_pages(fetched, resolve.digest_writes(_digested(d), AS_OF))
+    return after.select("url_key", "provider", "digest", "raw_excerpt")
 
 
 @query(
@@ -346,10 +382,10 @@ def enrich_rows(d: Derived) -> DataFrame:
     + """, spent as (select r.run_id, r.entity_name, count(*) as n, count(*) filter (where e.from_cache) as hits, sum(e.cost_credits) as credits,
       sum(e.cost_usd) as usd from fetch_event e join page_request r using (req) join kept k on k.entity_name = r.entity_name group by 1, 2),
     counts as (select run_id, entity_name, count(*) filter (where verified) as v, count(*) filter (where not verified) as u
-      from checked_claim group by 1, 2)
-    select run_id, cast(sum(n) as bigint) as attempts, cast(sum(hits) as bigint) as cache_hits, cast(sum(credits) as bigint) as credits,
-      round(sum(usd), 6) as usd, round(sum(coalesce(v, 0)) / nullif(sum(coalesce(v, 0) + coalesce(u, 0)), 0), 10) as verified_rate, count(*) as entities
-    from spent left join counts using (run_id, entity_name) group by 1""",
+      from checked_claim join kept using (entity_name) group by 1, 2)
+    select run_id, cast(sum(coalesce(n, 0)) as bigint) as attempts, cast(sum(coalesce(hits, 0)) as bigint) as cache_hits, cast(sum(coalesce(credits, 0)) as bigint) as credits,
+      round(sum(coalesce(usd, 0)), 6) as usd, round(sum(coalesce(v, 0)) / nullif(sum(coalesce(v, 0) + coalesce(u, 0)), 0), 10) as verified_rate, count(*) as entities
+    from spent full join counts using (run_id, entity_name) group by 1""",
     "checked_claim host_xref fetch_event page_request",
 )
 def enrich_report(d: Derived) -> DataFrame:

@@ -113,16 +113,6 @@ def stream_breaker(d: Derived) -> DataFrame:
     return d.spark.read.parquet(out).select("event_id", "provider", "ok", "streak", "opens")
 
 
-@query("stream_breaker_replay")
-def stream_breaker_replay(d: Derived) -> DataFrame:
-    """Which of the wished attempts a breaker per provider and run lets through; stateful, so
-    checked against a plain fold in the tests."""
-    out, _, checkpoint = _paths(d, "breaker-replay")
-    replayed = twins.breaker_replay(_attempts(_events(d)))
-    twins.write_batches(replayed, out, checkpoint, "append").awaitTermination()
-    return d.spark.read.parquet(out).select("event_id", "provider", "run_id", "ok", "ran", "opens")
-
-
 @query(
     "stream_event_append",
     "select rung, count(*) as events, count(*) filter (where success) as successes from rung_event group by 1",

@@ -142,18 +142,22 @@ def sink_event_append(d: Derived) -> DataFrame:
 
 @query(
     "sink_rows",
-    "select entity_name, max(value) filter (where field = 'hq_city') as hq_city, "
-    "max(value) filter (where field = 'employee_count') as employee_count, "
-    "max(value) filter (where field = 'ceo') as ceo from fact where verified group by 1",
+    """best as (select * from fact where verified qualify row_number() over (partition by entity_name, field
+      order by value <> '' and source_url <> '' desc, source_url, value, note) = 1)
+    select entity_name, max(value) filter (where field = 'hq_city') as hq_city, max(value) filter (where field = 'employee_count') as employee_count,
+      max(value) filter (where field = 'ceo') as ceo, cast(null as bigint) as verified, cast(null as bigint) as unverified from best group by 1
+    union all select null, null, null, null, count(*) filter (where verified), count(*) filter (where not verified) from fact""",
     "fact",
 )
 def sink_rows(d: Derived) -> DataFrame:
+    """Result rows and their summary, both written and read back."""
     path = scratch_path(d.spark, "rows")
     wide = facts.pivot_facts(facts.trusted(d.fact), ("hq_city", "employee_count", "ceo"))
     counts = d.fact.agg(F.count_if("verified").alias("verified"), F.count_if(~F.col("verified")).alias("unverified"))
     sinks.write_rows(wide, counts, path, "json")
-    schema = "entity_name string, hq_city string, employee_count string, ceo string"
-    return d.spark.read.schema(schema).json(f"{path}/rows")
+    rows = d.spark.read.schema("entity_name string, hq_city string, employee_count string, ceo string").json(f"{path}/rows")
+    summary = d.spark.read.schema("verified long, unverified long").json(f"{path}/summary")
+    return rows.unionByName(summary, allowMissingColumns=True)
 
 
 # --- B: row predicates ---------------------------------------------------------------
@@ -446,7 +450,7 @@ def _scan_sql(rules: tuple) -> str:
     return f"with {lines}, found as ({' union all '.join(parts)})"
 
 
-SCAN_RULES = (*scan.DEFAULT_RULES, scan.SECRET_ANY_CASE, *scan.deny_terms(r"api_key\s*=", "lorem"))
+SCAN_RULES = (*scan.DEFAULT_RULES, scan.SECRET_ANY_CASE, *scan.deny_terms(r"api_key\s*=", "lorem", r"^licensed under", r"version 2\.0\.$"))
 
 
 @query("leak_scan", _scan_sql(SCAN_RULES) + " select doc_id, line_no, rule, line from found")

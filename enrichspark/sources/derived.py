@@ -27,8 +27,8 @@ FIELDS = ("hq_city", "employee_count", "ceo")
 ANCHOR = r'<a href="([^"]+)">([^<]*)</a>'
 
 
-def _mod(c: str | Column, n: int) -> Column:
-    return F.pmod(F.col(c) if isinstance(c, str) else c, F.lit(n))
+def _mod(c: str | Column, n: int | Column) -> Column:
+    return F.pmod(F.col(c) if isinstance(c, str) else c, n if isinstance(n, Column) else F.lit(n))
 
 
 def _days(n: Column) -> Column:
@@ -149,7 +149,7 @@ class Derived:
         tail = F.regexp_extract("url", r"([?#].*)$", 1)
         port = F.when(F.col("url").startswith("https"), ":443").otherwise(":80")
         mark = F.when(
-            tail.startswith("?"), F.concat(F.lit("?utm_x=1&"), F.substring(tail, 2, 10_000))
+            tail.startswith("?"), F.concat(F.lit("?utm_x=1&"), F.substr(tail, F.lit(2)))
         ).otherwise(F.concat(F.lit("?utm_x=1"), tail))
         spellings = F.array(
             F.col("url"),
@@ -168,6 +168,7 @@ class Derived:
             "entity_name",
             "url",
             (_mod(F.col("page_id") + F.col("v"), 2) == 0).alias("allow_parallel"),
+            (_mod(F.col("page_id") + F.col("v"), 5) == 0).alias("cooling"),
         )
 
     @cached_property
@@ -234,7 +235,7 @@ class Derived:
 
         def answer(n: int, rung: str, empty: Column) -> Column:
             results = F.transform(
-                F.sequence(F.lit(1), F.lit(3)),
+                F.sequence(F.lit(1), F.lit(8)),
                 lambda i: F.struct(
                     F.concat(F.lit(f"{rung} result "), i.cast("string")).alias("title"),
                     F.concat(
@@ -247,6 +248,7 @@ class Derived:
                 F.lit(rung).alias("rung"),
                 F.when(empty, F.slice(results, 1, 0)).otherwise(results).alias("results"),
                 (_mod(cid, 50) + n).alias("latency_ms"),
+                (_pick(C.FREE_ENGINES, _mod(cid, 4)) if rung == "keyword" else F.lit(None).cast("string")).alias("engine"),
             )
 
         answers = F.array(
@@ -324,8 +326,9 @@ class Derived:
 
     @cached_property
     def claim(self) -> DataFrame:
-        """A quote from every page, cited by another spelling; every fourth is altered."""
-        quote = F.substring("content", 11, 60)
+        """A quote from anywhere in every page, cited by another spelling; every fourth is altered."""
+        place = _mod(F.col("page_id") * 37, F.greatest(F.length("content") - 60, F.lit(1))) + 1
+        quote = F.substring("content", place.cast("int"), F.lit(60))
         return self.page.select(
             F.col("page_id").alias("claim_id"),
             _mod("page_id", 6).alias("run_id"),

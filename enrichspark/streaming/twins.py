@@ -6,13 +6,11 @@ retried batch replaces its own rows, and read back with the newest batch winning
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from enrichspark import constants as C
 from enrichspark.operators import health, telemetry
@@ -51,11 +49,15 @@ def pool_month(events: DataFrame) -> DataFrame:
     return telemetry.free_pool_month(events)
 
 
-def rung_windows(events: DataFrame, late: str = "1 hour", size: str = "1 hour", slide: str | None = None) -> DataFrame:
-    """Attempts and successes per rung in event-time windows; windows older than ``late`` leave
-    the state."""
+def rung_windows(events: DataFrame, late: str | None = None, size: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """Attempts and successes per rung in event-time windows.
+
+    Every row counts, in whatever order files arrive; state is one row per rung and window. With
+    ``late`` windows older than that leave the state, and rows that come later still are dropped.
+    """
     # Watermarks want a zoned timestamp; the session runs in UTC, so nothing moves.
-    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    timed = timed.withWatermark("ts", late) if late else timed
     window = F.window("ts", size, slide) if slide else F.window("ts", size)
     counted = timed.groupBy(window, "waterfall", "rung")
     return counted.agg(
@@ -148,47 +150,3 @@ def breaker_stream(
         now.write.mode("overwrite").parquet(f"{state}/v={batch}")
 
     return _start(attempts, checkpoint, each, "append")
-
-
-REPLAY_SCHEMA = "event_id bigint, ts timestamp_ntz, ok boolean, ran boolean, opens boolean"
-
-
-def breaker_replay(
-    attempts: DataFrame,
-    by: Sequence[str] = ("provider", "run_id"),
-    failures: int = C.BREAKER_FAILURES,
-    seconds: int = C.BREAKER_SECONDS,
-) -> DataFrame:
-    """What a breaker would have let through of a stream of wished attempts.
-
-    State per key is the failure count and the time it rests until. Rows of a micro-batch are
-    taken in time order; the source's file limit bounds them.
-    """
-    rest = pd.Timedelta(seconds=seconds)
-    keys = list(by)
-    types = dict(attempts.dtypes)
-    out = ", ".join(f"{k} {types[k]}" for k in keys) + ", " + REPLAY_SCHEMA
-
-    def run(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(chunks)).sort_values(["ts", "event_id"], kind="stable")
-        failed, until = state.get if state.exists else (0, None)
-        open_until = pd.Timestamp(until) if until else None
-        ran, opens = [], []
-        for ts, ok in zip(rows["ts"], rows["ok"], strict=True):
-            awake = open_until is None or ts >= open_until
-            failed = failed if not awake else 0 if ok else failed + 1
-            trips = awake and failed >= failures
-            if awake:
-                open_until = ts + rest if trips else None if ok else open_until
-                failed = 0 if trips else failed
-            ran.append(awake)
-            opens.append(trips)
-        state.update((failed, open_until.isoformat() if open_until is not None else None))
-        result = rows[["event_id", "ts", "ok"]].assign(ran=ran, opens=opens)
-        for name, value in zip(reversed(keys), reversed(key), strict=True):
-            result.insert(0, name, value)
-        yield result
-
-    return attempts.groupBy(*keys).applyInPandasWithState(
-        run, out, "failed int, until string", "append", GroupStateTimeout.NoTimeout
-    )

@@ -86,12 +86,12 @@ def test_output_shapes(rows):
         ],
         SCHEMA,
     )
-    wide = {r.entity_name: (r.hq, r.ceo) for r in X.pivot_facts(df, ["hq", "ceo"]).collect()}
-    assert wide == {"e1": ("Oslo", "Zoe"), "e2": ("Rome", None)}
+    wide = {r.entity_name: (r.hq, r.hq_source, r.ceo, r.ceo_source) for r in X.pivot_facts(df, ["hq", "ceo"]).collect()}
+    assert wide == {"e1": ("Oslo", "u1", "Jane", "u2"), "e2": ("Rome", "u1", None, None)}
     full = df.withColumns({"domain": F.lit("e1.com"), "internal_status": F.lit("net-new")})
     canon = X.to_canonical(full, ["hq", "ceo"]).collect()
     assert len(canon) == 1 and canon[0].intel == {"hq": "Oslo", "ceo": "Jane"}
-    assert canon[0].sources == ["u1", "u2"] and canon[0].db_status == "net-new"
+    assert canon[0].sources == ["u1", "u2", "u3"] and canon[0].db_status == "net-new"
 
 
 def test_quotes(rows, pages):

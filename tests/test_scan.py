@@ -45,3 +45,24 @@ def test_verdict_is_closed(rows):
     assert got["secret"] == (0, True)
     clean = scan.leak_verdict(scan.leak_scan(df.where("doc_id = 1")))
     assert clean.where("not passed").count() == 0
+
+
+def test_anchors_mean_lines(rows):
+    """A rule with an anchor finds first, middle and last lines alike."""
+    lines = ["name-x", "a name-x", "name-x b", "name-x"]
+    df = rows([(1, "\n".join(lines))], "doc_id long, text string")
+
+    def found(pattern):
+        return sorted(r.line_no for r in scan.leak_scan(df, scan.deny_terms(pattern)).collect())
+
+    assert found("^name-x") == [1, 3, 4]
+    assert found("name-x$") == [1, 2, 4]
+    assert found(r"\Aname-x\z") == [1, 4]
+    assert found(r"\bname-x\b") == [1, 2, 3, 4]
+    assert found(r"name-x\s*+$") == [1, 2, 4]
+    assert found("(?<!a )name-x(?! b)") == [1, 4]
+
+
+def test_plain_terms_are_their_own_literal():
+    plain, pattern = scan.deny_terms("Internal Name", "a.c")
+    assert plain.literals == ("internal name",) and pattern.literals == ()

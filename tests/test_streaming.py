@@ -77,23 +77,18 @@ def test_breaker(spark, parts, stream, tmp_path):
     same(spark.read.parquet(paths[0]).drop("batch"), health.breaker(attempts(parts[1])))
 
 
-def test_breaker_replay(spark, parts, stream, tmp_path):
+def test_rung_windows_count_rows_in_any_order(spark, tmp_path):
+    """Newest files first, one per micro-batch: nothing is late."""
+    events = Derived(spark, SF).given("events")
+    src = str(tmp_path / "src")
+    days = [r.d for r in events.select(F.to_date("ts").alias("d")).distinct().orderBy(F.desc("d")).limit(4).collect()]
+    for day in days:
+        events.where(F.to_date("ts") == F.lit(day)).coalesce(1).write.mode("append").parquet(src)
+    stream = twins.read_stream(spark, src, events.schema, files=1)
     out = str(tmp_path / "out")
-    replay = twins.breaker_replay(attempts(stream), by=["provider"], seconds=7200)
-    twins.write_batches(replay, out, str(tmp_path / "ck"), "append").awaitTermination()
-    got = {r.event_id: (r.ran, r.opens) for r in spark.read.parquet(out).collect()}
-    fails, wake, want = {}, {}, {}
-    for r in attempts(parts[1]).orderBy("ts", "event_id").collect():
-        if r.provider in wake and r.ts < wake[r.provider]:
-            want[r.event_id] = (False, False)
-            continue
-        fails[r.provider] = 0 if r.ok else fails.get(r.provider, 0) + 1
-        opened = fails[r.provider] == 2
-        if opened:
-            fails[r.provider] = 0
-            wake[r.provider] = r.ts + dt.timedelta(seconds=7200)
-        want[r.event_id] = (True, opened)
-    assert got == want and sum(o for _, o in want.values()) > 5 and sum(not ran for ran, _ in want.values()) > 5
+    twins.write_batches(twins.rung_windows(rung_events(stream)), out, str(tmp_path / "ck")).awaitTermination()
+    got = twins.newest_rows(spark, out, ["window_start", "waterfall", "rung"]).agg(F.sum("attempts")).first()[0]
+    assert got == events.where(F.to_date("ts").isin(days)).count()
 
 
 def test_watchdog(spark, tmp_path):
