@@ -68,6 +68,7 @@ LITE_BLOCK_WORDS = ("anomaly", "botnet", "challenge-form")
 GATED_REQUEST_USD = 0.005
 DIGEST_USD = 0.002
 EXTRACT_CREDITS = {"basic": 1, "advanced": 2}
+ONE_TIME_FREE = {"parallel": 18_000}
 MONTHLY_FREE = {
     "brave": 2000,
     "serper": 2500,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from enrichspark import constants as C
-from enrichspark.functions.keys import trim_all
+from enrichspark.functions.keys import bind, trim_all
 
 # Entities the JVM-only mode decodes; the ampersand comes last so that nothing is decoded twice.
 NAMED_ENTITIES = {
@@ -34,6 +34,29 @@ _MARKUP = (
 _LINE_BREAKS = r"[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]+"
 
 
+# Subtrees of these may hold others of their kind; a plain pattern would end at the first closing tag.
+_NESTING_TAG = r"(?i)</?(?:svg|template)\b[^>]*+>"
+_NESTING_OPEN = r"(?i)<(?:svg|template)\b"
+
+
+def _drop_nested(c: Column) -> Column:
+    """Leave out subtrees that may be nested: text counts only outside of any. An unclosed one
+    reaches to the end."""
+
+    def deeper(depths: Column, tag: Column) -> Column:
+        step = F.when(tag.startswith("</"), -1).when(tag.endswith("/>"), 0).otherwise(1)
+        return F.concat(depths, F.array(F.greatest(F.lit(0), F.element_at(depths, -1) + step)))
+
+    def outside(markup: Column) -> Column:
+        depths = F.aggregate(F.regexp_extract_all(markup, F.lit(_NESTING_TAG), F.lit(0)), F.array(F.lit(0)), deeper)
+        parts = F.zip_with(F.split(markup, _NESTING_TAG), depths, lambda t, d: F.when(d == 0, t))
+        return F.array_join(parts, "\n")
+
+    # Comments and raw text first: tags inside them are none.
+    bare = F.regexp_replace(c, r"(?is)<!--.*?(?:-->|\z)|<(script|style|noscript)\b[^>]*+>.*?(?:</\1\s*+>|\z)", "\n")
+    return F.when(F.regexp_count(c, F.lit(_NESTING_OPEN)) > 1, bind(bare, outside)).otherwise(c)
+
+
 @F.pandas_udf(StringType())
 def _decode_all_entities(text: pd.Series) -> pd.Series:
     return text.map(_html.unescape, na_action="ignore")
@@ -58,7 +81,7 @@ def html_text(c: Column, mode: str = "full") -> Column:
     """
     if mode == "raw":
         return c
-    t = F.regexp_replace(c, _MARKUP, "\n")
+    t = F.regexp_replace(_drop_nested(c), _MARKUP, "\n")
     t = _decode_all_entities(t) if mode == "full" else _decode_named(t)
     lines = F.transform(F.split(t, _LINE_BREAKS), trim_all)
     return F.array_join(F.filter(lines, lambda line: line != ""), "\n")

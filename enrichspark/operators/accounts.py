@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from enrichspark import constants as C
 from enrichspark.functions.keys import canon_domain, non_blank, trim_all
-from enrichspark.operators.ordered import numbered, spread_nulls
+from enrichspark.operators.ordered import SLICE_ROWS, numbered, spread_nulls
 
 
 def by_domain(known: DataFrame) -> DataFrame:
@@ -112,12 +112,12 @@ def raw_domain(col: str = "domain") -> Column:
     return non_blank(F.lower(trim_all(F.col(col))))
 
 
-def group_by_domain(entities: DataFrame, bucket_rows: int = 100_000) -> DataFrame:
+def group_by_domain(entities: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Every entity with the key and size of its group.
 
     Entities without a domain are groups of their own, named by how many groups stood before
-    them. That count is a running number over first positions, cut into ranges of
-    ``bucket_rows`` positions; positions are distinct, so no range holds more rows than that.
+    them. That count is a running number over first positions, cut into slices of about
+    ``slice_rows`` rows.
     Members stay rows: a group is never gathered into one value.
     """
     dom = raw_domain()
@@ -132,8 +132,7 @@ def group_by_domain(entities: DataFrame, bucket_rows: int = 100_000) -> DataFram
         F.lit(1).cast("long").alias("group_size"),
     )
     firsts = named.unionByName(alone)
-    bucket = F.floor(F.col("_first") / bucket_rows)
-    ranked = numbered(firsts, [], ["_first"], bucket, "_nth").select(
+    ranked = numbered(firsts, [], ["_first"], slice_rows, "_nth").select(
         F.coalesce("_dom", F.concat(F.lit("_nodomain_"), (F.col("_nth") - 1).cast("string"))).alias("group_key"),
         F.coalesce("_dom", F.concat(F.lit("\u0000"), F.col("_first").cast("string"))).alias("_join"),
         "group_size",

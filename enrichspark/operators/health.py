@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from enrichspark import constants as C
-from enrichspark.operators.ordered import running, time_bucket
+from enrichspark.operators.ordered import SLICE_ROWS, running, sliced
 
 
 def breaker(
@@ -17,19 +18,19 @@ def breaker(
     order: Sequence[str] = ("ts", "event_id"),
     failures: int = C.BREAKER_FAILURES,
     seconds: int = C.BREAKER_SECONDS,
-    bucket_seconds: int = 3600,
+    slice_rows: int = SLICE_ROWS,
     carried: DataFrame | None = None,
 ) -> DataFrame:
     """Where the breaker opened in a log of attempts that really ran.
 
     Opening resets the counter, so of the failures since the last success every
-    ``failures``-th opens it. Runs as two bucketed scans: failures so far, and that count as it
+    ``failures``-th opens it. Runs as two sliced scans: failures so far, and that count as it
     stood at the last success. ``carried`` holds the streak each provider came in with.
     """
     by, order = list(by), list(order)
-    sliced = attempts.withColumn("_slice", time_bucket(F.col("ts"), bucket_seconds))
+    cut = sliced(attempts, by, order, slice_rows)
     failed = F.when(F.col("ok"), 0).otherwise(1)
-    counted = running(sliced, by, order, "_slice", sums={"_failed": failed})
+    counted = running(cut, by, order, "_slice", sums={"_failed": failed})
     at_success = F.when(F.col("ok"), F.col("_failed"))
     streaks = running(counted, by, order, "_slice", maxes={"_cleared": at_success})
     came_in = F.lit(0)
@@ -52,18 +53,14 @@ def cooldowns(
     by: Sequence[str] = ("provider",),
     order: Sequence[str] = ("ts", "event_id"),
     seconds: int = C.COOLDOWN_SECONDS,
-    bucket_seconds: int = 3600,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Merged intervals in which a provider rests after limit responses; a trip inside an
     interval extends it."""
     by, order = list(by), list(order)
     trips = attempts.where(F.col("status").isin(*C.COOLDOWN_STATUSES)).select(*by, *order)
-    trips = trips.withColumns(
-        {
-            "until": F.col("ts") + F.make_dt_interval(secs=F.lit(seconds)),
-            "_slice": time_bucket(F.col("ts"), bucket_seconds),
-        }
-    )
+    trips = sliced(trips, by, order, slice_rows)
+    trips = trips.withColumn("until", F.col("ts") + F.make_dt_interval(secs=F.lit(seconds)))
     seen = running(trips, by, order, "_slice", maxes={"_latest": F.col("until")}, before=True)
     starts = F.when(F.coalesce(F.col("_latest") > F.col("ts"), F.lit(False)), 0).otherwise(1)
     islands = running(seen, by, order, "_slice", sums={"_island": starts})
@@ -78,12 +75,16 @@ def cooldowns(
     )
 
 
-def assign_batches(df: DataFrame, n: int = C.BATCH_SIZE, key: str = "url_key", digits: int = 2) -> DataFrame:
+def assign_batches(
+    df: DataFrame, n: int = C.BATCH_SIZE, key: str = "url_key", bucket_rows: int = 100_000
+) -> DataFrame:
     """Number the distinct pending keys into batches of at most ``n``.
 
-    Numbering runs inside buckets given by the first hex digits of the key (16 ** ``digits`` of
-    them). Keys are hashes and distinct, so buckets are even; take more digits for more rows.
+    Numbering runs inside buckets given by the first hex digits of the key, one digit at least and
+    as many as leave about ``bucket_rows`` rows in each. Keys are hashes and distinct, so buckets
+    are even.
     """
     w = Window.partitionBy("batch_bucket").orderBy(key)
+    digits = max(1, math.ceil(math.log(max(df.count(), 1) / bucket_rows, 16)))
     pending = df.select(key).distinct().withColumn("batch_bucket", F.substring(key, 1, digits))
     return pending.withColumn("batch_no", F.floor((F.row_number().over(w) - 1) / n).cast("long"))

@@ -1,7 +1,7 @@
 """Running totals and row numbers over groups too large for one task.
 
 A plain window puts a whole group in one task. Here a group is cut into ordered buckets (a time
-slice, a range of positions): rows are scanned inside their bucket, and each bucket receives what
+slice, a range of positions, ``sliced``): rows are scanned inside their bucket, and each bucket receives what
 came before it from a small per-bucket summary.
 """
 
@@ -12,10 +12,25 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from enrichspark.session import cut_lineage
 
-def time_bucket(ts: Column, seconds: int = 3600) -> Column:
-    """Number of the time slice a timestamp falls in."""
-    return F.floor(F.unix_micros(ts.cast("timestamp")) / (seconds * 1_000_000)).cast("long")
+
+SLICE_ROWS = 1_000_000
+
+
+def sliced(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], rows: int = SLICE_ROWS, out: str = "_slice"
+) -> DataFrame:
+    """Add the number of the slice a row is in: about ``rows`` neighbours along ``by`` and ``order``.
+
+    Slices follow the data, so neither a hot group nor a burst at one instant makes a large one, as
+    long as ``order`` tells rows apart. The table is checkpointed once it has more than one slice,
+    so that all later scans see the same cuts.
+    """
+    n = 1 + df.count() // rows
+    if n == 1:
+        return df.withColumn(out, F.lit(0))
+    return cut_lineage(df.repartitionByRange(n, *by, *order).withColumn(out, F.spark_partition_id()))
 
 
 def running(
@@ -57,9 +72,11 @@ def running(
     return scanned.join(carried, keys).withColumns(out).drop(*helpers)
 
 
-def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], bucket: Column, out: str = "rn") -> DataFrame:
+def numbered(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], rows: int = SLICE_ROWS, out: str = "rn"
+) -> DataFrame:
     """Row numbers from 1 inside each group, whatever the group's size."""
-    return running(df.withColumn("_bucket", bucket), by, order, "_bucket", sums={out: F.lit(1)}).drop("_bucket")
+    return running(sliced(df, by, order, rows), by, order, "_slice", sums={out: F.lit(1)}).drop("_slice")
 
 
 def trailing_blocks(df: DataFrame, rn: str, rows: int, block: int = 50_000) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from enrichspark import constants as C
-from enrichspark.operators.ordered import numbered, time_bucket, trailing_blocks
+from enrichspark.operators.ordered import SLICE_ROWS, numbered, trailing_blocks
 
 COUNTERS = (
     "orchestrator_turns",
@@ -147,6 +147,21 @@ def budget_status(burn: DataFrame, budgets: Mapping[str, int | None] = C.MONTHLY
     )
 
 
+def one_time_status(events: DataFrame, budgets: Mapping[str, int] = C.ONE_TIME_FREE) -> DataFrame:
+    """Every pool that is granted once: calls so far and what is left of it."""
+    spark = events.sparkSession
+    pools = spark.createDataFrame(list(budgets.items()), "rung string, one_time_free long")
+    asked = events.where(F.col("rung").isin(*budgets) & ~F.col("from_cache")).groupBy("rung")
+    calls = F.coalesce("calls", F.lit(0)).cast("long")
+    return pools.join(asked.agg(F.count(F.lit(1)).alias("calls")), "rung", "left").select(
+        "rung",
+        "one_time_free",
+        calls.alias("calls"),
+        F.greatest(F.col("one_time_free") - calls, F.lit(0)).alias("remaining"),
+        (calls >= F.col("one_time_free")).alias("used_up"),
+    )
+
+
 def run_summary(entities: DataFrame, rows: DataFrame, runs: DataFrame) -> DataFrame:
     """Per run: entities in and returned, verified and unverified facts, paused."""
     given = entities.groupBy("run_id").agg(F.count(F.lit(1)).alias("entities_in"))
@@ -327,12 +342,12 @@ def pause_runs(runs: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def watchdog_trail(
-    tel: DataFrame, window: int = C.WATCHDOG_WINDOW, bucket_seconds: int = 3600, block: int = 50_000
+    tel: DataFrame, window: int = C.WATCHDOG_WINDOW, slice_rows: int = SLICE_ROWS, block: int = 50_000
 ) -> DataFrame:
     """The trailing rate as it was after each entity, for runs of any length."""
     order = ["created_at", "entity_name"]
     slim = tel.select("run_id", *order, "verified_fields", "unverified_fields")
-    rows = numbered(slim, ["run_id"], order, time_bucket(F.col("created_at"), bucket_seconds))
+    rows = numbered(slim, ["run_id"], order, slice_rows)
     w = Window.partitionBy("run_id", "_block").orderBy("rn").rowsBetween(-(window - 1), 0)
     return (
         trailing_blocks(rows, "rn", window, block)

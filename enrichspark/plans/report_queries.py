@@ -112,6 +112,16 @@ def budget_join(d: Derived) -> DataFrame:
     return telemetry.budget_status(telemetry.free_pool_month(d.rung_event))
 
 
+@query(
+    "one_time_pool",
+    """select 'parallel' as rung, 18000 as one_time_free, count(*) as calls, greatest(18000 - count(*), 0) as remaining, count(*) >= 18000 as used_up
+    from rung_event where rung = 'parallel' and not from_cache""",
+    "rung_event",
+)
+def one_time_pool(d: Derived) -> DataFrame:
+    return telemetry.one_time_status(d.rung_event)
+
+
 @query(
     "finish_runs",
     f"""select r.run_id, 'done' as status, {NOW} as finished_at, round(t.rate, 10) as verified_rate from run r left join
@@ -257,7 +267,7 @@ def rung_hits_merge(d: Derived) -> DataFrame:
     "entity",
 )
 def dedupe_by_domain(d: Derived) -> DataFrame:
-    return accounts.group_by_domain(d.entity, bucket_rows=1000).select("pos", "group_key", "group_size")
+    return accounts.group_by_domain(d.entity).select("pos", "group_key", "group_size")
 
 
 @query(
@@ -476,7 +486,7 @@ def cooldown_intervals(d: Derived) -> DataFrame:
     "keyed_request",
 )
 def batch_of_20(d: Derived) -> DataFrame:
-    return health.assign_batches(with_url_key(d.page_request), digits=1)
+    return health.assign_batches(with_url_key(d.page_request))
 
 
 @query(

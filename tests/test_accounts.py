@@ -72,7 +72,7 @@ def test_suppress_domains(rows, known):
 def test_groups(rows, width):
     """Same key for the same raw domain only; lone entities are numbered by groups before them."""
     domains = ["acme.com", None, " ACME.com ", "www.acme.com", "", "b.com", "  ", "acme.com", None]
-    got = A.group_by_domain(rows([(i, "n", d) for i, d in enumerate(domains)], ENT), bucket_rows=width)
+    got = A.group_by_domain(rows([(i, "n", d) for i, d in enumerate(domains)], ENT), slice_rows=width)
     keys = ["acme.com", "_nodomain_1", "acme.com", "www.acme.com", "_nodomain_3", "b.com", "_nodomain_5", "acme.com", "_nodomain_6"]
     sizes = [3, 1, 3, 1, 1, 1, 1, 3, 1]
     assert sorted((r.pos, r.group_key, r.group_size) for r in got.collect()) == list(zip(range(9), keys, sizes, strict=True))

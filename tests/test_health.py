@@ -32,7 +32,7 @@ def test_breaker_equals_a_sequential_count(rows):
         if opened:
             fails[p] = 0
         want[i] = (streaks[p], opened)
-    got = health.breaker(df.drop("status"), bucket_seconds=300).collect()
+    got = health.breaker(df.drop("status"), slice_rows=100).collect()
     assert {r.event_id: (r.streak, r.opens) for r in got} == want
     assert all((r.open_until == r.ts + dt.timedelta(seconds=120)) if r.opens else r.open_until is None for r in got)
 
@@ -50,7 +50,7 @@ def test_cooldowns_merge(rows):
         else:
             spans.append((ts, end, 1))
     got = {}
-    for r in health.cooldowns(df, bucket_seconds=1800).collect():
+    for r in health.cooldowns(df, slice_rows=90).collect():
         got.setdefault(r.provider, []).append((r.cooling_from, r.cooling_until, r.trips))
     assert {p: sorted(s) for p, s in got.items()} == want
 
@@ -59,7 +59,7 @@ def test_batches_hold_at_most_twenty(rows):
     import hashlib
 
     keys = [(hashlib.sha256(str(i % 900).encode()).hexdigest(),) for i in range(2000)]
-    got = health.assign_batches(rows(keys, "url_key string"), digits=1).collect()
+    got = health.assign_batches(rows(keys, "url_key string")).collect()
     assert len(got) == 900
     sizes = {}
     for r in got:

@@ -160,15 +160,16 @@ def test_targets_that_are_no_web_address(rows):
     outcomes, reqs, cached = make_fetches(5)
     requests, got, stored = fetch_tables(rows, outcomes, reqs[:20], cached)
     extra = rows(
-        [(9001, "notes/a.txt"), (9002, "nowhere.txt"), (9003, "acme.com/x"), (9004, None)], "req long, url string"
+        [(9001, "notes/a.txt"), (9002, "nowhere.txt"), (9003, "acme.com/x"), (9004, None), (9005, "HTTPS://h.com/1"), (9006, " https://h.com/1")],
+        "req long, url string",
     ).selectExpr("req", "1 as run_id", "'e' as entity_name", "url", "true as allow_parallel", "false as cooling")
     files = rows([("notes/a.txt", "kept here"), ("https://h.com/1", "never used")], "source string, content string")
     done = resolve.resolve_fetch(requests.unionByName(extra), got, stored, AS_OF, files=files)
     shown = resolve.with_content(done.resolved, got, stored, files)
     mine = {r.req: (r.tier, r.ok, r.content, r.error) for r in shown.where("req > 9000").collect()}
     missing = ("missing", False, "", "not a URL and not a file")
-    assert mine == {9001: ("file", True, "kept here", None), 9002: missing, 9003: missing, 9004: missing}
-    assert shown.count() == 24
+    assert mine == {9001: ("file", True, "kept here", None), 9002: missing, 9003: missing, 9004: missing, 9005: missing, 9006: missing}
+    assert shown.count() == 26
     assert done.events.where("req > 9000").count() == 0
     assert done.writes.where("url not like 'https://h.com/%'").count() == 0
 
@@ -315,15 +316,19 @@ def test_resolver_asks_for_pending_only(spark, rows, tmp_path):
 def test_digest(rows):
     page = "x" * 9000
     fetched = rows(
-        [(1, "k1", page, False), (2, "k2", page, False), (3, "k1", page, True), (4, "k1", "short", False), (5, "k3", page, False)],
+        [(1, "k1", page, False), (2, "k2", page, False), (3, "k1", page, True), (4, "k1", "short", False), (5, "k3", page, False), (6, "k1", "old", True)],
         "req long, url_key string, content string, from_cache boolean",
-    ).selectExpr("*", "1 as run_id", "'e' as entity_name", "'u' as url", "'jina' as tier", "200 as status")
+    ).selectExpr("*", "case when req = 6 then null else 'jina' end as content_rung", "1 as run_id", "'e' as entity_name", "'u' as url", "'jina' as tier", "200 as status")
     digests = rows([("k1", "facts"), ("k3", "")], "url_key string, digest string")
     done = resolve.apply_digest(fetched, digests)
     got = {r.req: r for r in done.collect()}
     assert got[1].digested and got[1].content == "facts" and got[1].chars_in == 9000
     assert not got[2].digested and got[2].content.startswith("x" * 8000 + "\n\n[...truncated")
-    assert got[3].content == page and got[4].content == "short" and got[5].content.startswith("x" * 8000 + "\n\n")
+    # Whoever follows within the job is served the digest; an older cache entry and a short page stay.
+    assert got[3].content == "facts" and not got[3].digested and got[6].content == "old"
+    assert got[4].content == "short" and got[5].content.startswith("x" * 8000 + "\n\n")
+    plain = resolve.apply_digest(fetched, digests, no_digest=True).collect()
+    assert all(r.content in (page, "short", "old") and not r.digested for r in plain)
     write = resolve.digest_writes(done, AS_OF).collect()
     assert [(w.url_key, w.digest, w.raw_excerpt, w.provider) for w in write] == [("k1", "facts", None, "jina")]
     event = resolve.digest_events(done, AS_OF).collect()
@@ -352,3 +357,29 @@ def test_first_success_and_context(rows):
 def test_schemas_cover_the_tables():
     assert {"page_cache", "search_cache", "run", "entity_telemetry", "rung_event", "known_companies"} == set(SCHEMAS)
     assert len(DEFAULT_POLICY) == 8
+
+
+def test_a_rung_that_cannot_run_has_no_latency(rows):
+    out = rows(
+        [("https://a.com/", "native", False, 500, "", 3), ("https://a.com/", "tavily", True, 200, LONG, 13)],
+        "url string, rung string, ok boolean, status int, content string, latency_ms int",
+    )
+    out = out.select(url_key(F.col("url")).alias("url_key"), *out.columns[1:])
+    cached = rows([], SCHEMAS["page_cache"])
+    for cooling, want in ((True, [("native", False, 3), ("tavily", False, None)]), (False, [("native", False, 3), ("tavily", True, 13)])):
+        req = rows([(1, 1, "e", "https://a.com/", False, cooling)], "req long, run_id long, entity_name string, url string, allow_parallel boolean, cooling boolean")
+        events = resolve.resolve_fetch(req, out, cached, AS_OF).events.where("rung in ('native', 'tavily')")
+        assert sorted((e.rung, e.success, e.latency_ms) for e in events.collect()) == want
+
+
+def test_search_names_the_engine_and_keeps_n_results(rows):
+    results = [("t", f"u{i}", "c") for i in range(9)]
+    out = rows([("q", "keyword", results, 1, "brave")], f"q string, rung string, results {RESULT_TYPE}, latency_ms int, engine string")
+    out = out.select(query_key(F.col("q")).alias("query_key"), "rung", "results", "latency_ms", "engine")
+    req = rows([(1, 1, "e", "q"), (2, 1, "e", " Q "), (3, 1, "e", "other")], "req long, run_id long, entity_name string, query string")
+    done = resolve.resolve_search(req, out, rows([], SCHEMAS["search_cache"]), AS_OF)
+    assert [(r.req, r.provider) for r in done.resolved.orderBy("req").collect()] == [(1, "brave"), (2, "cache"), (3, "none")]
+    shown = resolve.with_results(done.resolved, out, rows([], SCHEMAS["search_cache"])).orderBy("req").collect()
+    assert [len(r.results) for r in shown] == [6, 6, 0]
+    writes = {r.query: len(r.result_urls) for r in done.writes.collect()}
+    assert writes == {"q": 6, "other": 0}

@@ -72,7 +72,7 @@ def test_watchdog_limits_rows_ahead_of_the_shuffle(tel):
 def test_trail_equals_plain_loops(rows):
     rng = random.Random(1)
     pairs = {"hot": [(rng.randrange(3), rng.randrange(3)) for _ in range(300)], "b": [(0, 0), (1, 1)]}
-    got = T.watchdog_trail(entities(rows, pairs), window=25, bucket_seconds=600, block=40).collect()
+    got = T.watchdog_trail(entities(rows, pairs), window=25, slice_rows=30, block=40).collect()
     want = {}
     for run, seq in pairs.items():
         for i in range(len(seq)):

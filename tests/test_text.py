@@ -75,3 +75,18 @@ def test_entities_without_a_semicolon(one):
     page = "<p>a&amp<b>x</b> &amp&amp &lt; &copy 1 &ampersand</p>"
     want = "a&\nx\n&& < © 1 &ampersand"
     assert one(lambda c: text.html_text(c, "named"), page) == want
+
+
+def test_nested_subtrees_leave_no_text(one):
+    from enrichspark.functions.text import html_text
+
+    for mode in ("full", "named"):
+        got = one(
+            lambda c: html_text(c, mode),
+            "a<svg><svg>x</svg>LEAK</svg>b",
+            "a<template><p>x<template>y</template>z</p></template>b<svg>q</svg>c",
+            "a<svg><g/><svg/>x</svg>b<svg>open<svg>",
+            "a<!-- <svg><svg> -->b<script>'<svg><svg>'</script>c",
+            "a<SVG w='1'>x<Svg>y</sVG>z</svg >b",
+        )
+        assert got == ["a\nb", "a\nb\nc", "a\nb", "a\nb\nc", "a\nb"]
