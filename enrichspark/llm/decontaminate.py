@@ -3,8 +3,8 @@
 Texts are compared as lower-case words joined by single blanks. A passage of m characters that occurs with
 at most k edits shares at least m - q + 1 - k * q of its q-grams with the place it occurs at, and those
 q-grams lie on neighbouring diagonals (position in text minus position in passage), k apart at most on
-either side. So every shared q-gram is counted in two overlapping bands of diagonals, bands with fewer
-q-grams than the lemma's bound are dropped, and each region left is verified by aligning the passage
+either side. So every shared q-gram is counted, once for each place in the passage, in two overlapping bands of
+diagonals, bands with fewer q-grams than the lemma's bound are dropped, and each region left is verified by aligning the passage
 within its band. The edit budget k is a share of the passage's length.
 
 The passages form a dictionary that goes to the executors in blocks of a set size; a larger benchmark takes
@@ -13,6 +13,7 @@ more passes over the documents, never a larger broadcast. Documents are neither
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -35,6 +36,25 @@ def plain(text: str | None) -> str:
     return BREAK.sub(" ", (text or "").lower()).strip()
 
 
+@functools.cache
+def letters(size: int) -> np.ndarray:
+    """Which of the first code points belong to words."""
+    return np.fromiter((chr(c).isalnum() for c in range(size)), bool, size)
+
+
+def plain_batch(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the plain texts, each followed by a blank (empty ones are nothing), and where each begins;
+    the last entry is the end."""
+    low = [(t or "").lower() for t in texts]
+    raw = characters("\n".join([*low, ""]))
+    word = letters(min(0x110000, 1 << int(raw.max()).bit_length()))[raw]
+    kept = word.copy()
+    kept[1:] |= word[:-1]  # the first mark after a word stands for all up to the next
+    ends = np.cumsum(np.array([len(t) + 1 for t in low], np.int64))
+    until = np.concatenate([[0], np.cumsum(kept)])
+    return np.where(word, raw, np.uint32(32))[kept], until[np.concatenate([[0], ends])]
+
+
 def original_span(text: str, start: int, stop: int) -> tuple[int, int]:
     """The range of `text` that characters start to stop of plain(text) come from."""
     low = text.lower()
@@ -114,16 +134,18 @@ class Passages:
         n = self.count[where]
         total = int(n.sum())
         offset = np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[where], n)
-        item = self.item[offset].astype(np.int64)
-        diagonal = np.repeat(hit, n) - self.at[offset] + self.shift
+        item, place = self.item[offset].astype(np.int64), self.at[offset].astype(np.int64)
+        diagonal = np.repeat(hit, n) - place + self.shift
         band = diagonal // self.width
         # each diagonal counts in its band and the one before: band b covers diagonals b * w to (b + 2) * w
         bands = int(band.max(initial=0)) + 2
         key = np.concatenate([item * bands + band, item * bands + band - 1]).astype(np.uint64)
         slot = ((key * MIX) >> np.uint64(64 - SLOTS)).astype(np.int64)
         enough = np.bincount(slot, minlength=1 << SLOTS)[slot] >= np.concatenate([self.least[item]] * 2)
-        key, counts = np.unique(key[enough], return_counts=True)
-        found = key.astype(np.int64)
+        # an occurrence shares q-grams at that many places of the passage: one place met again and again is one
+        span = int(self.at.max()) + 1
+        places = np.unique(key[enough].astype(np.int64) * span + np.concatenate([place, place])[enough])
+        found, counts = np.unique(places // span, return_counts=True)
         good = counts >= self.least[found // bands]
         found = found[good]
         return found // bands, (found % bands) * self.width - self.shift
@@ -172,21 +194,20 @@ class Passages:
 
     def search(self, ids: list, texts: list[str | None]) -> Iterator[tuple]:
         """(id, item, edits, start, stop) of the best occurrence of each passage in each text."""
-        joined = [plain(t) for t in texts]
-        sizes = np.array([len(t) for t in joined], np.int64)
-        if not sizes.sum() or not self.ids:
+        codes, bounds = plain_batch(texts)
+        if not len(codes) or not self.ids:
             return
-        gap = " " * self.q
-        ends = np.cumsum(sizes + self.q)
-        starts = ends - sizes - self.q
-        codes = gram_codes(characters(gap.join(joined) + gap), self.q)
-        item, low = self.regions(codes)
+        starts, ends = bounds[:-1], bounds[1:]
+        item, low = self.regions(gram_codes(codes, self.q))
+        joined: dict[int, str] = {}
         best: dict[tuple[int, int], tuple] = {}
         for i, at in zip(item.tolist(), low.tolist()):
             # a band may touch two texts
             m, k = len(self.texts[i]), int(self.edits[i])
             doc = int(np.searchsorted(ends, max(at, 0), "right"))
-            while doc < len(joined) and starts[doc] <= at + 2 * self.width:
+            while doc < len(texts) and starts[doc] <= at + 2 * self.width:
+                if doc not in joined:
+                    joined[doc] = plain(texts[doc])
                 from_, to = at - int(starts[doc]) - k, at + 2 * self.width - int(starts[doc]) + k
                 base = max(0, from_ - k)
                 piece = joined[doc][base : max(0, to + m + 2 * k)]
