@@ -57,7 +57,7 @@ def src_pages(d: Derived) -> DataFrame:
 
 @query(
     "src_search",
-    "select query_key, query, empty, cast(case when empty then 0 else 3 end as integer) as results, expires_at from search_cache",
+    "select query_key, query, empty, cast(case when empty then 0 else 8 end as integer) as results, expires_at from search_cache",
     "search_cache",
 )
 def src_search(d: Derived) -> DataFrame:
