@@ -1,0 +1,70 @@
+"""Near copies by 5-word shingles beside plain Python, and that the pipeline's stage takes them."""
+
+import itertools
+import random
+
+import corpus_pipeline
+from enrichspark.llm import simhash
+from test_llm_common import groups
+
+SCHEMA = "doc_id long, text string"
+
+
+def plain_shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_components(docs):
+    sets = {i: plain_shingles(t) for i, t in docs}
+    links = [
+        (a, b)
+        for a, b in itertools.combinations(sets, 2)
+        if sets[a] == sets[b] or 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])
+    ]
+    root = groups(links)
+    return {i: root.get(i, i) for i in sets}, links
+
+
+def edited(rng, words, changes):
+    words = list(words)
+    for at in rng.sample(range(len(words)), changes):
+        words[at] = f"other{rng.randrange(1 << 30)}"
+    return words
+
+
+def corpus():
+    rng = random.Random(3)
+    docs = []
+    for _ in range(30):  # chains of edits: similar ones, and others just below the bound
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice((60, 300, 900)))]
+        for _ in range(6):
+            docs.append(" ".join(words))
+            words = edited(rng, words, max(1, int(len(words) * rng.choice((0.005, 0.015, 0.02, 0.025, 0.04)))))
+    docs += [docs[3], docs[3].upper(), "", None, "three short words", "Three  short words"]
+    ids = rng.sample(range(1000), len(docs))
+    return list(zip(ids, docs))
+
+
+def test_near_copies_equal_brute_force(spark):
+    docs = corpus()
+    want, links = plain_components(docs)
+    text = dict(docs)
+    far = [1 for a, b in links if (simhash.fingerprint(text[a], 3) ^ simhash.fingerprint(text[b], 3)).bit_count() > 3]
+    assert len(far) > 20  # what three bits of 64 lose
+    frame = spark.createDataFrame(docs, SCHEMA)
+    assert {r.id: r.component for r in simhash.near_copies(frame).collect()} == want
+    kept = corpus_pipeline.distinct(spark, frame, "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(i for i, root in want.items() if i == root)
+
+
+def test_rows_without_id_and_repeated_ids(spark):
+    words = [f"w{i}" for i in range(200)]
+    near = words[:-1] + ["x"]
+    rows = [(5, " ".join(words)), (5, "something else"), (None, " ".join(words)), (9, " ".join(near)), (7, "alone")]
+    got = sorted(map(tuple, simhash.near_copies(spark.createDataFrame(rows, SCHEMA)).collect()), key=repr)
+    assert got == sorted([(5, 5), (5, 5), (None, None), (9, 5), (7, 7)], key=repr)
+
+
+def test_empty_table(spark):
+    assert simhash.near_copies(spark.createDataFrame([], SCHEMA)).count() == 0
