@@ -7,6 +7,10 @@ softmax are trained jointly in numpy. Misspellings never seen share most n-grams
 A few words among thousands vanish in the mean of a whole text, so a text is read in windows of `WINDOW` words, all of
 it, and has the score of its worst window. In training the gradient goes to the same windows (after a warm-up over
 plain means of whole texts).
+
+Mild words that make a text toxic only by how often they come do not show in so short a window. So there are models for
+two more scales, trained on the clean texts and on the toxic ones that the window misses: one for the mean of the whole
+text, and one that reads the same n-grams in windows of `PASSAGE` words. A text has the score of its worst scale.
 """
 
 from __future__ import annotations
@@ -17,10 +21,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from enrichspark.llm.common import every, fresh, labelled_sample, map_texts, remainder
+from enrichspark.llm.common import chunks, every, fresh, labelled_sample, map_texts, remainder
 
 SIZES = (3, 4, 5)
 WINDOW = 8
+PASSAGE = 128
+WHOLE = 1 << 40
 SPACE = 32
 
 
@@ -66,28 +72,28 @@ def grams(codes: np.ndarray, buckets: int):
             yield (mixed >> np.uint32(8)).astype(np.int64) % buckets, word[at + 1]
 
 
-def word_scores(texts: list[str | None], table: np.ndarray) -> np.ndarray:
-    """Mean over each word's n-grams of a number per bucket."""
+def word_scores(texts: list[str | None], *tables: np.ndarray) -> list[np.ndarray]:
+    """For each table, the mean over each word's n-grams of a number per bucket."""
     codes = np.frombuffer(normal(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    total = held = np.zeros(0)
     n = int(np.count_nonzero((codes[1:] != SPACE) & (codes[:-1] == SPACE)))
-    total, held = np.zeros(n), np.zeros(n)
+    total, held = [np.zeros(n) for _ in tables], np.zeros(n)
     if n:
-        for bucket, word in grams(codes, len(table)):
-            total += np.bincount(word, table[bucket], n)
+        for bucket, word in grams(codes, len(tables[0])):
+            for t, table in zip(total, tables):
+                t += np.bincount(word, table[bucket], n)
             held += np.bincount(word, minlength=n)
-    return total / np.maximum(held, 1)
+    return [t / np.maximum(held, 1) for t in total]
 
 
-def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(counts: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, first word, last word + 1) of the windows that cover every word; the last one of a text reaches back, so
     that only texts shorter than a window have a smaller one."""
-    n = np.maximum(1, -(-counts // WINDOW))
+    n = np.maximum(1, -(-counts // size))
     text = np.repeat(np.arange(len(counts)), n)
     k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    size = counts[text]
-    first = np.maximum(0, np.minimum(k * WINDOW, size - WINDOW))
-    last = np.minimum(first + WINDOW, size)
+    held = counts[text]
+    first = np.maximum(0, np.minimum(k * size, held - size))
+    last = np.minimum(first + size, held)
     base = (np.cumsum(counts) - counts)[text]
     return text, base + first, base + last
 
@@ -99,18 +105,40 @@ def window_means(scores: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.
 
 @dataclass
 class Model:
-    """A number per bucket (its embedding through the softmax, class 1 less class 0) and a bias."""
+    """A number per bucket (its embedding through the softmax, class 1 less class 0) and a bias; for one scale."""
 
     table: np.ndarray
     bias: float
+    window: int = WINDOW
+    gain: float = 1.0
+
+    def worst(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Mean of the worst window of each text, from the scores of its words."""
+        text, first, last = windows(counts, self.window)
+        worst = np.full(len(counts), -np.inf)
+        np.maximum.at(worst, text, window_means(words, first, last))
+        return worst
+
+    def means(self, texts: list[str | None]) -> np.ndarray:
+        return self.worst(word_scores(texts, self.table)[0], word_counts(texts))
+
+    def chance(self, worst: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.gain * worst + self.bias, -50, 50)))
+
+    def score(self, texts: list[str | None]) -> np.ndarray:
+        return self.chance(self.means(texts))
+
+
+@dataclass
+class Scales:
+    """Models of several scales; the worst one counts."""
+
+    models: list[Model]
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         counts = word_counts(texts)
-        text, first, last = windows(counts)
-        means = window_means(word_scores(texts, self.table), first, last)
-        worst = np.full(len(texts), -np.inf)
-        np.maximum.at(worst, text, means)
-        return 1 / (1 + np.exp(-np.clip(worst + self.bias, -50, 50)))
+        words = word_scores(texts, *(m.table for m in self.models))
+        return np.max([m.chance(m.worst(w, counts)) for m, w in zip(self.models, words)], axis=0)
 
 
 def train(
@@ -221,16 +249,112 @@ def train(
     return Model(table, bias)
 
 
+def shares(texts: list[str], buckets: int):
+    """(first text, share of each n-gram bucket in each text) of runs of texts; the shares of a text have sum 1."""
+    for a, b in chunks(texts, 1 << 20):
+        for k in range(a, b, 32):
+            some = texts[k : min(k + 32, b)]
+            counts = word_counts(some)
+            of = np.repeat(np.arange(len(some)), counts)
+            codes = np.frombuffer(normal(some).encode("utf-32-le", "surrogatepass"), np.uint32)
+            got = list(grams(codes, buckets)) if len(of) else []
+            held = sum(np.bincount(word, minlength=len(of)) for _, word in got)
+            out = np.zeros(len(some) * buckets)
+            for bucket, word in got:
+                out += np.bincount(of[word] * buckets + bucket, 1 / (held[word] * counts[of[word]]), len(out))
+            yield k, out.reshape(len(some), buckets)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> tuple[np.ndarray, float]:
+    """Weights and bias of the least log loss with a ridge on the weights, by Newton steps."""
+    x = np.column_stack([x, np.ones(len(x))])
+    hold = np.append(np.full(x.shape[1] - 1, ridge), 1e-6)
+    w = np.zeros(x.shape[1])
+
+    def loss(w):
+        z = x @ w
+        return float(np.sum(np.logaddexp(0, z) - y * z) + 0.5 * hold @ (w * w))
+
+    now = loss(w)
+    for _ in range(50):
+        chance = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+        slope = x.T @ (chance - y) + hold * w
+        step = np.linalg.solve((x * (chance * (1 - chance))[:, None]).T @ x + np.diag(hold), slope)
+        while loss(w - step) > now and np.abs(step).max() > 1e-9:
+            step /= 2
+        w, before = w - step, now
+        now = loss(w)
+        if before - now < 1e-7 * (1 + now):
+            break
+    return w[:-1], float(w[-1])
+
+
+def train_whole(
+    texts: list[str], labels: list[int], buckets: int = 1 << 17, kept: int = 256, min_texts: int = 8, ridge: float = 5.0
+) -> Model:
+    """A softmax over the n-gram shares of whole texts. Of all n-grams those `kept` have weights whose share goes with
+    the label most closely."""
+    y = np.asarray(labels, np.float64)
+    total, square, both, spread = (np.zeros(buckets) for _ in range(4))
+    for k, share in shares(texts, buckets):
+        total += share.sum(axis=0)
+        square += (share * share).sum(axis=0)
+        both += y[k : k + len(share)] @ share
+        spread += (share > 0).sum(axis=0)
+    n = len(y)
+    dev = np.sqrt(np.maximum(square / n - (total / n) ** 2, 1e-30))
+    goes = np.where(spread >= min(min_texts, n), (both / n - total / n * y.mean()) / dev, 0)
+    best = np.sort(np.argsort(-np.abs(goes), kind="stable")[:kept])
+    x = np.zeros((n, len(best)))
+    for k, share in shares(texts, buckets):
+        x[k : k + len(share)] = share[:, best]
+    mean, dev = total[best] / n, dev[best]
+    weight, bias = logistic((x - mean) / dev, y, ridge)
+    table = np.zeros(buckets)
+    table[best] = weight / dev
+    return Model(table, bias - float(mean @ (weight / dev)), WHOLE)
+
+
+def train_scales(texts: list[str], labels: list[int]) -> Scales:
+    """A model for each scale; the longer scales learn from the clean texts and those toxic ones the window misses."""
+    y = np.asarray(labels, np.int64)
+    short = train(texts, labels)
+    models, left = [short], np.ones(len(y), bool)
+
+    def leave():
+        for a, b in chunks(texts, 1 << 21):
+            left[a:b] &= (models[-1].score(texts[a:b]) < 0.5) | (y[a:b] == 0)
+        at = np.flatnonzero(left)
+        return [texts[i] for i in at], y[at]
+
+    some, mine = leave() if len(y) else ([], y)
+    if mine.sum() < 8 or mine.all():  # nothing a model could be learned from
+        return Scales(models)
+    whole = train_whole(some, mine.tolist(), len(short.table))
+    models.append(whole)
+    some, mine = leave()
+    if mine.sum() < 8:
+        return Scales(models)
+    # the same n-grams, read in passages
+    worst = np.empty(len(some))
+    for a, b in chunks(some, 1 << 21):
+        worst[a:b] = Model(whole.table, 0.0, PASSAGE).means(some[a:b])
+    gain, bias = logistic(worst[:, None], mine.astype(np.float64), 1e-3)
+    if gain[0] > 0:
+        models.append(Model(whole.table, bias, PASSAGE, float(gain[0])))
+    return Scales(models)
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 4000, key: str = "doc_id", text: str = "text"
-) -> Model:
-    """A model from at most `rows` labelled training texts."""
+) -> Scales:
+    """Models from at most `rows` labelled training texts."""
     sample = labelled_sample(docs, labels, label, rows, key, text)
     got = sorted(((r["id"], r["text"] or "", r["label"]) for r in sample.collect()), key=repr)
-    return train([t for _, t, _ in got], [y for _, _, y in got])
+    return train_scales([t for _, t, _ in got], [y for _, _, y in got])
 
 
-def toxicity(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+def toxicity(docs: DataFrame, model: Model | Scales, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, score): the probability that a text is toxic, for every row of `docs`.
 
     NULL, empty and blank texts have no word and score the model's bias. Rows without id and repeated rows are scored
