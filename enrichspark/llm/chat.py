@@ -20,6 +20,13 @@ from pyspark.sql import types as T
 from enrichspark.llm.common import fresh
 
 TOKEN = r"(OBJECT<|ARRAY<|>|`(?:[^`]|``)*`: |[^<>,:` ]+: |[A-Z_]+(?:\([0-9,]*\))?)"  # of a variant's schema
+# A JSON reader takes 20 million characters of one text, a variant 128 MB in all; beyond, both give NULL. So the layout
+# of a record of more than LONG characters is read from a copy whose texts are blank and whose equal turns are one.
+LONG = 1 << 24
+STRING = r'"(?:[^"\\\x00-\x1f]|\\["\\/bfnrt]|\\u[0-9a-fA-F]{4})*+"'
+BLANK = rf'({STRING}\s*+:)|(")(?:{STRING[1:-1]})(")'  # $1$2$3: a name stays, a text becomes ""
+TURNS = r'(\{[^{}]*+\}\s*+,\s*+)\1++'
+READ = "map('maxStringLen', '2147483647')"
 OPEN, MIDDLE, CLOSE = "### ", ": ", "</turn>\n"
 # A backslash always begins a code of two characters, so codes never overlap; a text's backslash is a code itself.
 ESCAPES = (("\\", "\\b"), ("#", "\\h"), ("<", "\\l"), (":", "\\c"))
@@ -92,10 +99,19 @@ def field_paths(tokens: str) -> Column:
     )
 
 
+def outline(record: Column) -> Column:
+    """A JSON text with the same field paths; a long one has blank texts, and runs of equal turns only once."""
+    short = F.regexp_replace(F.regexp_replace(record, F.lit(BLANK), F.lit("$1$2$3")), F.lit(TURNS), F.lit("$1"))
+    checked = F.when(
+        (F.length(short) > LONG) & F.try_parse_json(short).isNull(), F.raise_error(F.lit("a record is too large to be read as JSON")).cast("string")
+    ).otherwise(short)
+    return F.when(F.length(record) > LONG, checked).otherwise(record)
+
+
 def with_fingerprint(records: DataFrame, record: str, name: str = "fingerprint") -> DataFrame:
     """`records` with the fingerprint of a column of JSON texts; NULL where that is no JSON."""
     tokens = fresh(records, "schema_tokens")
-    schema = F.schema_of_variant(F.try_parse_json(F.col(record)))
+    schema = F.schema_of_variant(F.try_parse_json(outline(F.col(record))))
     joined = F.array_join(F.array_sort(field_paths(tokens)), "\n")
     return (
         records.withColumn(tokens, F.regexp_extract_all(schema, F.lit(TOKEN), F.lit(1)))
@@ -107,19 +123,23 @@ def with_fingerprint(records: DataFrame, record: str, name: str = "fingerprint")
 def canonical_turns(records: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """`records` with (fingerprint, layout, turns): turns is array<struct<role, text>>, NULL roles and texts empty.
 
-    A record that is NULL, no JSON or of no declared layout has NULL layout and turns. Columns of the table named
-    fingerprint, layout or turns are replaced.
+    A record that is NULL, no JSON or of no declared layout has NULL layout and turns. Records may be of any length a
+    row can have; a long one that cannot be read is an error. Columns of the table named fingerprint, layout or turns
+    are replaced.
     """
     held = fresh(records, "given_record")
     marked = with_fingerprint(records.withColumn(held, F.col(record)), held)
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
     for each in layouts:
         mine = F.col("fingerprint").isin(declared_fingerprints(each))
-        read = f"transform(array(from_json(`{held}`, '{each.fields}')), r -> {each.turns})[0]"
+        read = f"transform(array(from_json(`{held}`, '{each.fields}', {READ})), r -> {each.turns})[0]"
         layout = F.when(mine, each.name).otherwise(layout)
         turns = F.when(mine, F.expr(read)).otherwise(turns)
-    clean = F.transform(turns, lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
-    return marked.withColumn("turns", clean).withColumn("layout", layout).drop(held)
+    lost = F.col("layout").isNotNull() & F.col("turns").isNull() & (F.length(held) > LONG)
+    clean = F.transform(F.col("turns"), lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
+    failed = F.raise_error(F.lit("a long record of a known layout cannot be read")).cast("array<struct<role:string,text:string>>")
+    read = marked.withColumn("turns", turns).withColumn("layout", layout)
+    return read.withColumn("turns", F.when(lost, failed).otherwise(clean)).drop(held)
 
 
 def escape(text: Column) -> Column:
