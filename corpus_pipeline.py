@@ -23,8 +23,8 @@ def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near copies (0.8 of their 5-word shingles and more)."""
-    return simhash.first_of_groups(docs, simhash.near_copies(docs))
+    """One document, that with the smallest id, of each group whose fingerprints of 3-word shingles differ in 3 bits at most."""
+    return simhash.deduplicate(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
