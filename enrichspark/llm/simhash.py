@@ -9,11 +9,6 @@ list. A pair is taken from the first list it meets in, its shared positional byt
 below the minimum go, and the rest are verified by counting differing bits. No pair is lost.
 
 Equal fingerprints are folded to one before anything is paired, so copies never meet as pairs.
-
-`near_copies` asks for another contract: sets of 5-word shingles with a Jaccard similarity of 0.8 or more. At 0.8 some
-15 % of a SimHash's bits differ, however long it is. Bytes share a position for certain only while fewer than one bit
-in eight differs, so the byte index cannot reach that far. Texts meet there under bands of min-hashes instead, a
-256-bit sketch drops most pairs far below 0.8, and what is left is verified on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -25,13 +20,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from enrichspark.llm.common import components, map_texts, stored
+from enrichspark.llm.common import components, every, stored
 
 SEED = 42
 BLOCK = 1 << 15  # shingles hashed at a time, which bounds memory on very long texts
-HASHES, BANDS, ROWS = 256, 24, 5  # at 0.8 a pair meets in no band with a chance of (1 - 0.8^5)^24, 7 in 100,000
-FAR = 45  # bits of a sketch that may differ: at 0.8 26 do, more than 45 with a chance of some 3 in 100,000
-FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 TRIPLES = [t for half in (range(4), range(4, 8)) for t in itertools.combinations(half, 3)]
 
 
@@ -125,144 +117,22 @@ def near_duplicates(
     )
 
 
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """Hashes of the distinct word shingles of one text, in order."""
-    import xxhash
-
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    width = min(width, len(words))
-    hashes = (xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(len(words) - width + 1))
-    return np.unique(np.fromiter(hashes, np.uint64))
-
-
-def name_of(held: np.ndarray) -> str:
-    import xxhash
-
-    return xxhash.xxh128_hexdigest(held.tobytes())
-
-
-def sketch(held: np.ndarray) -> tuple[list[int], list[int]]:
-    """Bands of min-hashes, and one bit of every min-hash as four numbers; no bands for a set without shingles."""
-    import xxhash
-
-    least = np.full(HASHES, np.iinfo(np.uint64).max)
-    for k in range(0, len(held), 1024):
-        least = np.minimum(least, (held[k : k + 1024, None] * FACTORS).min(axis=0))
-    rows = least[: BANDS * ROWS].reshape(BANDS, ROWS)
-    bands = [xxhash.xxh64_intdigest(r.tobytes(), k) - (1 << 63) for k, r in enumerate(rows)] if len(held) else []
-    return bands, np.packbits((least >> np.uint64(20) & np.uint64(1)).astype(np.uint8)).view(np.int64).tolist()
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """Of pairs (name_a, a, name_b, b) those with a Jaccard similarity of 0.8 or more, on the shingles themselves."""
-    asked = pairs.select(F.col("name_a").alias("asked"), F.col("a").alias("rep")).union(pairs.select("name_b", "b")).distinct()
-
-    def make():
-        def work(texts):
-            held = [shingles(t, width) for t in texts]
-            return [[name_of(h) for h in held], [h.view(np.int64) for h in held]]
-
-        return work
-
-    texts = docs.join(asked.select(F.col("rep").alias(key)).distinct(), key, "left_semi")
-    held = map_texts(texts, text, [F.col(key).alias("id")], "name string, held array<long>", make)
-    # an id may have several texts
-    held = held.join(asked, (F.col("id") == F.col("rep")) & (F.col("name") == F.col("asked"))).dropDuplicates(["name"])
-    held = stored(held.select("name", "held"), "near-copies-shingles")
-    one = held.select(F.col("name").alias("name_a"), F.col("held").alias("held_a"))
-    two = held.select(F.col("name").alias("name_b"), F.col("held").alias("held_b"))
-    both = F.size(F.array_intersect("held_a", "held_b"))
-    return (
-        pairs.join(one, "name_a").join(two, "name_b").filter(9 * both >= 4 * (F.size("held_a") + F.size("held_b"))).select("a", "b")
-    )
-
-
-def _same_size(a: Column, b: Column) -> Column:
-    return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
-
-
-def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
-    """(id, component) for every row of `docs`: component is the smallest id reachable by links.
-
-    Texts are linked whose sets of word shingles have a Jaccard similarity of 0.8 or more; texts without words are
-    equal. Every link taken is verified; a pair at 0.8 is missed with a chance of some 1 in 10,000, a closer one with
-    less. A group's texts first meet only the one with the smallest id in each band; then those meet that are not yet in
-    one group. Rows without id link nothing and have a NULL component. An empty table gives an empty one.
-    """
-
-    def make():
-        def work(texts):
-            held = [shingles(t, width) for t in texts]
-            made = [sketch(h) for h in held]
-            return [[name_of(h) for h in held], [len(h) for h in held], [b for b, _ in made], *zip(*(s for _, s in made))]
-
-        return work
-
-    fields = "name string, size long, bands array<long>, s0 long, s1 long, s2 long, s3 long"
-    marked = stored(map_texts(docs, text, [F.col(key).alias("id")], fields, make), "near-copies")
-    fixed = ["name", "size", "bands", "s0", "s1", "s2", "s3"]
-    classes = stored(
-        marked.filter("id is not null").groupBy(*fixed).agg(F.min("id").alias("rep")), "near-copies-classes"
-    )
-    posted = classes.select("rep", *fixed, F.posexplode("bands").alias("k", "band")).drop("bands")
-    # a text beside the smallest id of each of its bands
-    shared = posted.groupBy("k", "band").agg(F.min("name").alias("least"), F.max("name").alias("most")).filter("least < most")
-    posted = stored(posted.join(shared.select("k", "band"), ["k", "band"], "left_semi"), "near-copies-bands")
-    head = posted.groupBy("k", "band").agg(F.min(F.struct("rep", "name", "size")).alias("head"))
-    star = (
-        posted.join(head, ["k", "band"])
-        .filter((F.col("name") != F.col("head.name")) & _same_size(F.col("size"), F.col("head.size")))
-        .select("name", "rep", F.col("head.name").alias("name_b"), F.col("head.rep").alias("b"))
-        .distinct()
-    )
-    star = stored(star.select(F.col("name").alias("name_a"), F.col("rep").alias("a"), "name_b", "b"), "near-copies-pairs")
-    links = stored(_verified(star, docs, key, text, width), "near-copies-links")
-    # then what shares a band and is in different groups
-    roots = components(links, "near-copies-stars")
-    rooted = posted.join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep")).drop("node")
-    mixed = rooted.groupBy("k", "band").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
-    open_ = stored(rooted.join(mixed.select("k", "band"), ["k", "band"], "left_semi"), "near-copies-open")
-    a, b = open_.alias("a"), open_.alias("b")
-    apart = sum(F.bit_count(F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}"))) for s in fixed[3:])
-    pairs = (
-        a.join(
-            b,
-            (F.col("a.k") == F.col("b.k"))
-            & (F.col("a.band") == F.col("b.band"))
-            & (F.col("a.name") < F.col("b.name"))
-            & (F.col("a.root") != F.col("b.root"))
-            & _same_size(F.col("a.size"), F.col("b.size"))
-            & (apart <= FAR),
-        )
-        .select(F.col("a.name").alias("name_a"), F.col("a.rep").alias("a"), F.col("b.name").alias("name_b"), F.col("b.rep").alias("b"))
-        .distinct()
-    )
-    pairs = stored(pairs.join(star, ["name_a", "name_b"], "left_anti"), "near-copies-pairs")
-    late = _verified(pairs, docs, key, text, width)
-    roots = components(links.union(late), "near-copies-links")
-    named = classes.join(roots, F.col("rep") == F.col("node"), "left").select(
-        F.col("name").alias("class"), F.coalesce("root", "rep").alias("component")
-    )
-    return marked.join(named, F.col("name") == F.col("class"), "left").select(
-        "id", F.when(F.col("id").isNotNull(), F.col("component")).alias("component")
-    )
-
-
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, bits: int = 3) -> DataFrame:
     """The rows of `docs` that stand for their group: of each component the row with the smallest id, once.
 
-    Rows without id are in no group; all of them stay.
+    Of rows that share that id one with the least text stays. Rows without id are in no group; all of them stay. What
+    goes is found on ids alone: texts are read once more and meet only the ids that go.
     """
-    return first_of_groups(docs, near_duplicates(docs, key, text, width, bits), key)
-
-
-def first_of_groups(docs: DataFrame, groups: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of `docs` whose id is that of their group in `groups` (id, component), once; and those without id."""
-    first = groups.filter(F.col("id") == F.col("component")).select(F.col("id").alias(key)).distinct()
-    kept = docs.join(first, key, "left_semi").dropDuplicates([key])
-    return kept.union(docs.filter(F.col(key).isNull()))
+    groups = near_duplicates(docs, key, text, width, bits).filter("id is not null")
+    ids = groups.groupBy("id").agg(F.max(F.col("id") == F.col("component")).alias("stands"), F.count("*").alias("n"))
+    gone = stored(ids.filter("not stands or n > 1"), "simhash-gone").withColumnRenamed("id", "gone_id")
+    kept = docs.join(gone.select("gone_id"), docs[key] == F.col("gone_id"), "left_anti")
+    again = gone.filter("stands and n > 1").select("gone_id")
+    if again.isEmpty():
+        return kept
+    rows = docs.join(again, docs[key] == F.col("gone_id"), "left_semi").select(F.struct(*every(docs)).alias("row"), F.col(key).alias("id"), F.col(text).alias("text"))
+    one = rows.groupBy("id").agg(F.min_by("row", F.coalesce("text", F.lit(""))).alias("row"))
+    return kept.union(one.select("row.*"))
 
 
 def op7_simhash_near_dedup(docs: DataFrame) -> DataFrame:
