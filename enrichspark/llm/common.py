@@ -132,7 +132,10 @@ def map_texts(df: DataFrame, text: str, carry: list[Column], fields: str, make,
     source = df.select(F.col(text).cast("string").alias(f"text_{uuid.uuid4().hex}"), *carry)
     kept = source.columns[1:]
     schema = df.sparkSession.createDataFrame([], fields).schema
-    out = type(schema)([*source.schema.fields[1:], *schema.fields])
+    names = [*kept, *schema.names]
+    # plain names on the way: a Python map takes none with a dot, and carried names may be alike
+    source = source.toDF("text", *(f"c{i}" for i in range(len(kept))))
+    out = type(schema)([*source.schema.fields[1:], *(type(f)(f"f{i}", f.dataType) for i, f in enumerate(schema.fields))])
 
     def run(batches):
         import pyarrow as pa
@@ -148,7 +151,7 @@ def map_texts(df: DataFrame, text: str, carry: list[Column], fields: str, make,
                 columns += [pa.array(v, given.field(len(kept) + i).type) for i, v in enumerate(got)]
                 yield pa.RecordBatch.from_arrays(columns, names=given.names)
 
-    return source.mapInArrow(run, out)
+    return source.mapInArrow(run, out).toDF(*names)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, key: str, text: str) -> DataFrame:

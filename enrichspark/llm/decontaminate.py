@@ -15,20 +15,19 @@ from __future__ import annotations
 
 import functools
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from enrichspark.llm.common import chunks, stored
+from enrichspark.llm.common import chunks, every, fresh, map_texts, stored
 
 BREAK = re.compile(r"[\W_]+")
 BATCH_CHARS = 1 << 20  # characters matched at a time
 MIX = np.uint64(0x9E3779B97F4A7C15)
-SLOTS = 20  # bits of the first, hashed count of bands
-MATCH = "id long, item long, edits int, start long, stop long"
+SPREAD = 1 << 20  # shared q-grams laid out at a time
 
 
 def plain(text: str | None) -> str:
@@ -84,6 +83,11 @@ def gram_codes(codes: np.ndarray, q: int) -> np.ndarray:
     return out
 
 
+def ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... n[0] numbers, then those of the next."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+
+
 def characters(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -91,7 +95,7 @@ def characters(text: str) -> np.ndarray:
 class Passages:
     """An index of passages by q-gram, with the lemma's bound for each."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int, share: float):
+    def __init__(self, items: list[tuple], q: int, share: float):
         self.q = q
         kept = [(i, plain(t)) for i, t in items]
         kept = [(i, t) for i, t in kept if len(t) >= q]
@@ -123,32 +127,80 @@ class Passages:
 
     def regions(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(item, first diagonal) of the bands that hold enough shared q-grams. Diagonals run over the whole batch;
-        q-grams that reach from one text into the next can only add regions."""
+        q-grams that reach from one text into the next can only add regions.
+
+        A posting is a place of an item with its q-gram. Places count once for each band, so counts add up over
+        postings, however these are split: items are taken in runs that meet `SPREAD` q-grams of the text, and an item
+        that meets more by itself in runs of its places. Memory follows the batch and the items, not their product.
+        """
         hit = np.flatnonzero(self.seen[self._slot(codes)])
+        nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if not len(hit) or not len(self.codes):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return nothing
         where = np.searchsorted(self.codes, codes[hit])
         where[where == len(self.codes)] = 0
         same = self.codes[where] == codes[hit]
         hit, where = hit[same], where[same]
-        n = self.count[where]
-        total = int(n.sum())
-        offset = np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[where], n)
-        item, place = self.item[offset].astype(np.int64), self.at[offset].astype(np.int64)
-        diagonal = np.repeat(hit, n) - place + self.shift
-        band = diagonal // self.width
-        # each diagonal counts in its band and the one before: band b covers diagonals b * w to (b + 2) * w
-        bands = int(band.max(initial=0)) + 2
-        key = np.concatenate([item * bands + band, item * bands + band - 1]).astype(np.uint64)
-        slot = ((key * MIX) >> np.uint64(64 - SLOTS)).astype(np.int64)
-        enough = np.bincount(slot, minlength=1 << SLOTS)[slot] >= np.concatenate([self.least[item]] * 2)
+        if not len(hit):
+            return nothing
+        hit = hit[np.argsort(where, kind="stable")]
+        met, begin, times = np.unique(np.sort(where), return_index=True, return_counts=True)
+        # postings of the q-grams met, by item
+        owner = np.repeat(np.arange(len(met)), self.count[met])
+        posting = ranges(self.first[met], self.count[met])
+        order = np.argsort(self.item[posting], kind="stable")
+        owner, posting = owner[order], posting[order]
+        item, place, n = self.item[posting].astype(np.int64), self.at[posting].astype(np.int64), times[owner]
+        # of an item that meets no more than its bound nothing can come
+        total = np.bincount(item, n, len(self.ids))
+        live = total[item] >= self.least[item]
+        owner, item, place, n = owner[live], item[live], place[live], n[live]
+        if not len(item):
+            return nothing
+        cuts = np.flatnonzero(np.diff(item)) + 1
+        starts, ends = np.append(0, cuts), np.append(cuts, len(item))
+        sums = np.add.reduceat(n, starts)
+        found = [nothing]
+        k = 0
+        while k < len(starts):
+            last = max(k + 1, int(np.searchsorted(np.cumsum(sums[k:]), SPREAD, "right")) + k)
+            some = slice(starts[k], ends[last - 1])
+            given = (item[some], place[some], n[some], begin[owner[some]], hit)
+            found.append(self._bands(*given) if sums[k:last].sum() <= SPREAD else self._heavy(*given, len(codes)))
+            k = last
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def _keys(self, place, n, begin, hit) -> tuple[np.ndarray, np.ndarray]:
+        """(band, index of the posting) of each meeting: a diagonal counts in its band and in the one before, as band b
+        covers diagonals b * w to (b + 2) * w."""
+        of = np.repeat(np.arange(len(place)), n)
+        band = (hit[ranges(begin, n)] - place[of] + self.shift) // self.width
+        return np.concatenate([band, band - 1]), np.concatenate([of, of])
+
+    def _bands(self, item, place, n, begin, hit) -> tuple[np.ndarray, np.ndarray]:
+        band, of = self._keys(place, n, begin, hit)
+        bands = int(band.max()) + 1
+        key = item[of] * bands + band
+        slot = ((key.astype(np.uint64) * MIX) >> np.uint64(44)).astype(np.int64)
+        enough = np.bincount(slot, minlength=1 << 20)[slot] >= self.least[item[of]]
         # an occurrence shares q-grams at that many places of the passage: one place met again and again is one
-        span = int(self.at.max()) + 1
-        places = np.unique(key[enough].astype(np.int64) * span + np.concatenate([place, place])[enough])
-        found, counts = np.unique(places // span, return_counts=True)
-        good = counts >= self.least[found // bands]
-        found = found[good]
-        return found // bands, (found % bands) * self.width - self.shift
+        once = np.unique(of[enough] * bands + band[enough])
+        key, counts = np.unique(item[once // bands] * bands + once % bands, return_counts=True)
+        key = key[counts >= self.least[key // bands]]
+        return key // bands, (key % bands) * self.width - self.shift
+
+    def _heavy(self, item, place, n, begin, hit, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """One item that meets more than `SPREAD` q-grams: counts by band are added up over runs of its places."""
+        counts = np.zeros((length + self.shift) // self.width + 2, np.int64)
+        k, run = 0, np.cumsum(n)
+        while k < len(place):
+            last = max(k + 1, int(np.searchsorted(run, (run[k - 1] if k else 0) + SPREAD, "right")))
+            band, of = self._keys(place[k:last], n[k:last], begin[k:last], hit)
+            once = np.unique(of * len(counts) + band)
+            counts += np.bincount(once % len(counts), minlength=len(counts))
+            k = last
+        good = np.flatnonzero(counts >= self.least[item[0]])
+        return np.full(len(good), item[0]), good * self.width - self.shift
 
     def align(self, item: int, text: str, low: int, high: int) -> tuple[int, int, int] | None:
         """The best occurrence of a passage in `text` that starts from low to high and needs no more edits than its
@@ -192,8 +244,8 @@ class Passages:
         best = min(zip(cost.tolist(), (end - start).tolist(), start.tolist(), end.tolist()))
         return (int(best[0]), int(best[2]), int(best[3])) if best[0] <= k else None
 
-    def search(self, ids: list, texts: list[str | None]) -> Iterator[tuple]:
-        """(id, item, edits, start, stop) of the best occurrence of each passage in each text."""
+    def search(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int]]:
+        """(text, passage, edits, start, stop) of the best occurrence of each passage in each text, by their numbers."""
         codes, bounds = plain_batch(texts)
         if not len(codes) or not self.ids:
             return
@@ -218,24 +270,55 @@ class Passages:
                 doc += 1
         for (doc, i), (edits, start, stop) in sorted(best.items()):
             start, stop = original_span(texts[doc] or "", start, stop)
-            yield ids[doc], self.ids[i], edits, start, stop
+            yield doc, i, edits, start, stop
+
+
+_INDEX: dict[str, Passages] = {}  # of the block in use; Python workers serve many tasks
 
 
-def _block_matches(docs: DataFrame, key: str, text: str, items: list[tuple[int, str]], q: int, share: float) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+def _index(name: str, items: list[tuple], q: int, share: float) -> Passages:
+    if name not in _INDEX:
+        _INDEX.clear()
+        _INDEX[name] = Passages(items, q, share)
+    return _INDEX[name]
 
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        passages = Passages(shared.value, q, share)
+
+def _blocks(benchmark: DataFrame, item_key: str, item_text: str, q: int, share: float, block_chars: int):
+    """The passages in blocks of about `block_chars` characters: for each a function that gives its index in a task."""
+    if q * share >= 1:
+        raise ValueError("no q-gram need be shared: take a smaller q or fewer edits")
+    items = benchmark.filter(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(
+        F.col(item_key).alias("item"), F.col(item_text).alias("words")
+    )
+    size = items.agg(F.sum(F.length("words")).alias("n")).first()
+    blocks = 1 + int(((size and size["n"]) or 0) // block_chars)
+    for b in range(blocks):
+        part = items.filter(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == b).distinct()
+        # bounded: a block holds about block_chars characters
+        shared = benchmark.sparkSession.sparkContext.broadcast([(r["item"], r["words"]) for r in part.collect()])
+        yield functools.partial(lambda name, held: _index(name, held.value, q, share), uuid.uuid4().hex, shared)
+
+
+def _block_matches(docs: DataFrame, key: str, text: str, item_kind: str, index) -> DataFrame:
+    wanted = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
+    out = docs.sparkSession.createDataFrame([], f"id {wanted.schema['id'].dataType.simpleString()}, item {item_kind}, edits int, start long, stop long").schema
+
+    def match(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema, passages = to_arrow_schema(out), index()
         for batch in batches:
-            ids, texts = batch["id"].tolist(), batch["text"].tolist()
-            rows = []
+            texts = batch.column(1).to_pylist()
             for a, b in chunks(texts, BATCH_CHARS):
-                rows += passages.search(ids[a:b], texts[a:b])
-            if rows:
-                yield pd.DataFrame(rows, columns=["id", "item", "edits", "start", "stop"])
+                rows = list(passages.search(texts[a:b]))
+                if rows:
+                    doc, item, *rest = zip(*rows)
+                    columns = [batch.column(0).take(pa.array([a + d for d in doc])), pa.array([passages.ids[i] for i in item], schema.field(1).type)]
+                    columns += [pa.array(x, f.type) for x, f in zip(rest, list(schema)[2:])]
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    wanted = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return wanted.mapInPandas(match, MATCH)
+    return wanted.mapInArrow(match, out)
 
 
 def benchmark_matches(
@@ -254,24 +337,16 @@ def benchmark_matches(
 
     Edits count characters of the plain texts; a passage of m characters may take m * max_edit_share of them, fewer if
     it is shorter than q / (1 - q * max_edit_share), none below 2 * q. Passages with fewer than q plain characters, NULL
-    ones included, hold no q-gram and match nothing; nor do empty or NULL texts. Rows without id are left out.
-    Repeated documents and items each give their rows once per distinct result. Empty tables give no rows.
-    `block_chars` bounds the characters of passages sent to the executors at once.
+    ones included, hold no q-gram and match nothing; nor do empty or NULL texts. Ids of documents and items may be of
+    any type; rows without id are left out. Repeated documents and items each give their rows once per distinct result.
+    Empty tables give no rows. `block_chars` bounds the characters of passages sent to the executors at once.
     """
-    if q * max_edit_share >= 1:
-        raise ValueError("no q-gram need be shared: take a smaller q or fewer edits")
-    items = benchmark.filter(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(
-        F.col(item_key).cast("long").alias("item"), F.col(item_text).alias("words")
-    )
-    size = items.agg(F.sum(F.length("words")).alias("n"), F.max(F.length("words")).alias("most")).first() or Row(n=0, most=0)
-    blocks = 1 + int((size["n"] or 0) // block_chars)
+    kind = benchmark.schema[item_key].dataType.simpleString()
     found = None
-    for b in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == b).distinct()
-        # bounded: a block holds about block_chars characters
-        rows = [(r["item"], r["words"]) for r in part.collect()]
-        got = _block_matches(docs, key, text, rows, q, max_edit_share)
-        if blocks > 1:
+    indexes = list(_blocks(benchmark, item_key, item_text, q, max_edit_share, block_chars))
+    for index in indexes:
+        got = _block_matches(docs, key, text, kind, index)
+        if len(indexes) > 1:
             got = stored(got, "decontaminate")
         found = got if found is None else found.union(got)
     return found.distinct()
@@ -286,10 +361,39 @@ def contaminated(matches: DataFrame) -> DataFrame:
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of `docs` whose text holds no passage; rows without id are not judged and stay."""
-    bad = benchmark_matches(docs, benchmark, key, **options).select(F.col("id").alias(key)).distinct()
-    return docs.join(bad, key, "left_anti")
+def decontaminate(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text: str = "text",
+    item_key: str = "item_id",
+    item_text: str = "text",
+    q: int = 8,
+    max_edit_share: float = 1 / 12,
+    block_chars: int = 16_000_000,
+) -> DataFrame:
+    """The rows of `docs` whose text holds no passage, with their columns as they were.
+
+    Each row is judged by its own text as it passes, whatever its id, so nothing is joined or shuffled; a benchmark of
+    several blocks is passed block by block, and each sees only what the one before left. NULL and empty texts stay.
+    """
+    name = fresh(docs, "holds_passage")
+
+    def judge(index):
+        def make():
+            def work(texts):
+                held = np.zeros(len(texts), bool)
+                held[[row[0] for row in index().search(texts)]] = True
+                return [held]
+
+            return work
+
+        return make
+
+    kept = docs
+    for index in _blocks(benchmark, item_key, item_text, q, max_edit_share, block_chars):
+        marked = map_texts(kept, text, every(docs), f"`{name}` boolean", judge(index), BATCH_CHARS)
+        kept = marked.filter(~F.col(name)).select(*every(docs))
+    return kept
 
 
 def op10_benchmark_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
