@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from enrichspark.llm import chat, decontaminate, embeddings, language, packing, quality, sharding, simhash, toxicity, warc
+from enrichspark.llm import chat, decontaminate, embeddings, language, packing, periodic, quality, repair, sharding, simhash, tokens, toxicity, warc
 from enrichspark.llm.common import table
 
 QUERIES = {
@@ -17,6 +17,9 @@ QUERIES = {
     "op8_sharding": lambda spark, d: sharding.op8_sharding(table(spark, d, "documents")),
     "op9_toxicity": lambda spark, d: toxicity.op9_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
     "op10_benchmark_decontamination": lambda spark, d: decontaminate.op10_benchmark_decontamination(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op11_token_counts": lambda spark, d: tokens.op11_token_counts(table(spark, d, "documents")),
+    "op12_periodic_runs": lambda spark, d: periodic.op12_periodic_runs(table(spark, d, "documents")),
+    "op13_conversation_repair": lambda spark, d: repair.op13_conversation_repair(table(spark, d, "conversations")),
     "pipeline": corpus_pipeline.run,
 }
 
