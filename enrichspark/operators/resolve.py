@@ -28,6 +28,7 @@ from enrichspark.functions.policy import (
 )
 from enrichspark.functions.text import body_length, excerpt, is_dead, long_enough, needs_digest, truncated, usable
 from enrichspark.operators.cache import PAGE_KEY, SEARCH_KEY, live, page_writes
+from enrichspark.operators.ordered import SLICE_ROWS, numbered
 from enrichspark.operators.telemetry import at
 from enrichspark.session import cut_lineage
 
@@ -530,23 +531,64 @@ def with_content(
     return rows.withColumn("content", F.coalesce(content, F.lit(""))).drop("_text", "_stored", "_local_text")
 
 
-def _two_sources(requests: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Requests with the flags of the plain and the paid outcome side by side."""
+def _two_sources(requests: DataFrame, outcomes: DataFrame, call: Sequence[str]) -> DataFrame:
+    """Requests with the flags of the plain and the paid outcome side by side, and the call they belong to."""
     flags = _by_rung(fetch_flags(outcomes), PAGE_KEY, ["native", "tavily"])
     keyed = _keyed(requests, PAGE_KEY, with_url_key)
-    exhausted = F.coalesce(F.col("tavily_status").isin(*C.COOLDOWN_STATUSES), F.lit(False))
-    return keyed.join(flags, PAGE_KEY, "left").withColumn("_exhausted", exhausted)
+    # JSON of a struct is never NULL, whatever its fields are
+    return keyed.join(flags, PAGE_KEY, "left").withColumn("_call", F.to_json(F.struct(*call)) if call else F.lit(None))
 
 
-def _fetch_cheap(requests: DataFrame, outcomes: DataFrame, depth: str, available: bool) -> DataFrame:
-    rows = _two_sources(requests, outcomes)
+def _paid_answers(
+    rows: DataFrame, asked: DataFrame, call: Sequence[str], order: str, size: int, slice_rows: int
+) -> DataFrame:
+    """Add to ``rows`` whether the paid extract gave their page (``_paid``) and ran into a limit (``_exhausted``).
+
+    A call asks for the pages of its rows in ``asked`` in batches of ``size``, in order. The first batch answered with
+    anything but 200 ends the call: neither it nor what comes later gives pages, and a limit status marks the whole call
+    as exhausted. Without call columns every request is a call of its own. Calls of any size are numbered in slices.
+    """
+    success, status = _truth("tavily_success"), F.col("tavily_status")
+    limited = F.coalesce(status.isin(*C.COOLDOWN_STATUSES), F.lit(False))
+    if not call:
+        return rows.withColumns({"_paid": success, "_exhausted": limited})
+    placed = numbered(asked, ["_call"], [order], slice_rows, "_place").withColumn(
+        "_batch", F.floor((F.col("_place") - 1) / size)
+    )
+    ends = placed.groupBy("_call").agg(
+        F.min(F.when(status != 200, F.col("_batch"))).alias("_end"), F.min(F.when(limited, F.col("_batch"))).alias("_limit")
+    )
+    pages = placed.groupBy("_call", "url").agg(F.max(success).alias("_given"), F.min("_batch").alias("_batch"))
+    answers = pages.join(ends, "_call").select(
+        F.col("_call").alias("_c"),
+        F.col("url").alias("_u"),
+        (F.col("_given") & F.coalesce(F.col("_batch") < F.col("_end"), F.lit(True))).alias("_paid"),
+        F.coalesce(F.col("_end") == F.col("_limit"), F.lit(False)).alias("_exhausted"),
+    )
+    return rows.join(answers, (F.col("_call") == F.col("_c")) & F.col("url").eqNullSafe(F.col("_u")), "left")
+
+
+def _fetch_cheap(
+    requests: DataFrame, outcomes: DataFrame, depth: str, available: bool, call: Sequence[str], order: str, slice_rows: int
+) -> DataFrame:
+    rows = _two_sources(requests, outcomes, call)
     native, thin = _truth("native_success"), _truth("native_has_text")
     dead = ~native & is_dead(F.col("native_status"))
-    paid = _truth("tavily_success") if available else F.lit(False)
+    if not available:
+        rows = rows.withColumns({"_paid": F.lit(False), "_exhausted": F.lit(False)})
+    else:
+        # a page is asked for once a call, where it first comes, and only if the plain fetch left it
+        flags = [F.max(c).alias(c) for c in ("tavily_success", "tavily_status")]
+        asked = rows.where(~native & ~dead).groupBy("_call", "url").agg(F.min(order).alias(order), *flags) if call else rows
+        rows = _paid_answers(rows, asked, call, order, C.BATCH_SIZE, slice_rows)
+    exhausted = _truth("_exhausted")
     tier = (
-        F.when(native, "native").when(dead, "dead").when(paid, "tavily").when(thin, "native-thin").otherwise("failed")
+        F.when(native, "native")
+        .when(dead, "dead")
+        .when(_truth("_paid"), "tavily")
+        .when(thin, "native-thin")
+        .otherwise("failed")
     )
-    exhausted = F.col("_exhausted") if available else F.lit(False)
     reached = F.col("tier").isin("tavily", "failed")
     return rows.withColumn("tier", tier).select(
         *[c for c in requests.columns if c != PAGE_KEY],
@@ -575,9 +617,13 @@ def _cheap_error(available: bool, exhausted: Column) -> Column:
     return dead.when(tier == "native-thin", C.THIN_PAID_ERROR).when(tier == "failed", failed)
 
 
-def _fetch_paid_first(requests: DataFrame, outcomes: DataFrame, paid_first: bool, fallback: bool) -> DataFrame:
-    rows = _two_sources(requests, outcomes)
-    paid = _truth("tavily_success") if paid_first else F.lit(False)
+def _fetch_paid_first(
+    requests: DataFrame, outcomes: DataFrame, paid_first: bool, fallback: bool, call: Sequence[str], order: str, slice_rows: int
+) -> DataFrame:
+    rows = _two_sources(requests, outcomes, call)
+    if paid_first:
+        rows = _paid_answers(rows, rows, call, order, C.BATCH_SIZE, slice_rows)
+    paid = F.col("_paid") if paid_first else F.lit(False)
     exhausted = F.col("_exhausted") if paid_first else F.lit(False)
     source = F.when(paid, "tavily")
     source = source.otherwise("native") if fallback else source.otherwise("tavily" if paid_first else "skipped")
@@ -600,16 +646,22 @@ def fetch_pages(
     depth: str = "basic",
     fallback: bool = True,
     available: bool = True,
+    call: Sequence[str] = (),
+    order: str = "req",
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """The library fetch, without cache or policy.
 
     ``cheap``: plain first, paid extract only for what is left. ``tavily``: paid first, plain
-    fills the gaps unless ``fallback`` is off. ``fallback``: plain only.
+    fills the gaps unless ``fallback`` is off. ``fallback``: plain only. The columns in ``call``
+    say which requests are fetched in one call, in the order of ``order``: they share paid batches,
+    and once one is refused the rest of the call goes without. The status of a paid outcome is that
+    of the batch the page was asked for in.
     """
     if mode == "cheap":
-        return _fetch_cheap(requests, outcomes, depth, available)
+        return _fetch_cheap(requests, outcomes, depth, available, call, order, slice_rows)
     if mode in ("tavily", "fallback"):
-        return _fetch_paid_first(requests, outcomes, mode == "tavily" and available, fallback)
+        return _fetch_paid_first(requests, outcomes, mode == "tavily" and available, fallback, call, order, slice_rows)
     raise ValueError(f"unknown mode {mode!r}")
 
 

@@ -235,6 +235,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
           bool_or(rung = 'jina' and ok and length({strip('content')}) >= 500) as jina_ok,
           bool_or(rung = 'tavily' and ok and content <> '') as tavily_ok,
           bool_or(rung = 'tavily' and status in (429, 432, 433)) as tavily_limited,
+          max(case when rung = 'tavily' then status end) as tavily_status,
           bool_or(rung = 'parallel' and ok and length({strip('content')}) >= 200) as parallel_ok,
           max(case when rung = 'native' then latency_ms end) as base_ms
         from page_outcome group by url_key""",

@@ -107,9 +107,21 @@ def upsert_page(d: Derived) -> DataFrame:
     return cache.upsert_pages(d.page_cache, _fetch(d).writes).drop("content_hash")
 
 
-_CHEAP = """tiers as (select r.req, f.*, case when native_ok then 'native' when native_status in (401, 404, 410) then 'dead'
-    when tavily_ok then 'tavily' when native_text then 'native-thin' else 'failed' end as tier
-  from keyed_request r left join page_flags f using (url_key))"""
+# The pages of one entity in one run are fetched in one call: paid batches of 20 in order, the first refused one ends it.
+_CALL = ["run_id", "entity_name"]
+_ENDS = """ends as (select run_id, entity_name, min(batch) filter (tavily_status <> 200) as stop, min(batch) filter (tavily_limited) as lim
+    from asked group by run_id, entity_name)"""
+_CHEAP = f"""flagged as (select r.*, f.* exclude (url_key), coalesce(native_ok, false) or coalesce(native_status in (401, 404, 410), false) as settled
+    from keyed_request r left join page_flags f using (url_key)),
+  firsts as (select run_id, entity_name, url, min(req) as req, bool_or(tavily_limited) as tavily_limited, max(tavily_status) as tavily_status
+    from flagged where not settled group by run_id, entity_name, url),
+  asked as (select *, (row_number() over (partition by run_id, entity_name order by req) - 1) // 20 as batch from firsts),
+  {_ENDS},
+  answers as (select a.run_id, a.entity_name, a.url, coalesce(a.batch < e.stop, true) as given, coalesce(e.stop = e.lim, false) as exhausted
+    from asked a join ends e using (run_id, entity_name)),
+  tiers as (select f.*, coalesce(a.exhausted, false) as exhausted, case when native_ok then 'native' when native_status in (401, 404, 410) then 'dead'
+    when tavily_ok and a.given then 'tavily' when native_text then 'native-thin' else 'failed' end as tier
+  from flagged f left join answers a using (run_id, entity_name, url))"""
 
 
 @query(
@@ -117,41 +129,51 @@ _CHEAP = """tiers as (select r.req, f.*, case when native_ok then 'native' when
     _CHEAP
     + """ select req, tier, case when tier = 'native-thin' then native_answered else tier in ('native', 'tavily') end as ok,
       cast(case when tier = 'tavily' then 2 else 0 end as bigint) as credits,
-      tier in ('tavily', 'failed') and coalesce(tavily_limited, false) as credits_exhausted,
+      tier in ('tavily', 'failed') and exhausted as credits_exhausted,
       case when tier <> 'tavily' then native_status end as status,
       case tier when 'dead' then 'dead URL (HTTP ' || cast(native_status as varchar) || ') — re-search, do not retry'
         when 'native-thin' then 'thin native body; Tavily could not improve it'
-        when 'failed' then 'no usable content' || case when tavily_limited then ' (Tavily credits exhausted)' else '' end end as error
+        when 'failed' then 'no usable content' || case when exhausted then ' (Tavily credits exhausted)' else '' end end as error
     from tiers""",
     "keyed_request page_flags",
 )
 def resolve_fetch_cheap(d: Derived) -> DataFrame:
-    got = resolve.fetch_pages(d.page_request, d.page_outcome, mode="cheap", depth="advanced")
+    """Calls that hit a limit buy nothing more, and all their paid rows say so."""
+    got = resolve.fetch_pages(d.page_request, d.page_outcome, mode="cheap", depth="advanced", call=_CALL)
     return got.select("req", "tier", "ok", "credits", "credits_exhausted", "status", "error")
 
 
+_PAID_FIRST = f"""asked as (select r.*, f.* exclude (url_key), (row_number() over (partition by run_id, entity_name order by req) - 1) // 20 as batch
+    from keyed_request r left join page_flags f using (url_key)),
+  {_ENDS},
+  paid as (select a.*, coalesce(tavily_ok, false) and coalesce(min(a.batch) over (partition by run_id, entity_name, url) < e.stop, true) as bought, coalesce(e.stop = e.lim, false) as exhausted
+    from asked a join ends e using (run_id, entity_name))"""
+
+
 @query(
     "resolve_fetch_paidfirst",
-    """select r.req, case when tavily_ok then 'tavily' else 'native' end as source, coalesce(tavily_ok or native_answered, false) as ok,
-      coalesce(tavily_limited, false) as credits_exhausted, case when coalesce(tavily_ok, false) then null else native_status end as status
-    from keyed_request r left join page_flags f using (url_key)""",
+    _PAID_FIRST
+    + """ select req, case when bought then 'tavily' else 'native' end as source, bought or coalesce(native_answered, false) as ok,
+      exhausted as credits_exhausted, case when bought then null else native_status end as status
+    from paid""",
     "keyed_request page_flags",
 )
 def resolve_fetch_paidfirst(d: Derived) -> DataFrame:
-    got = resolve.fetch_pages(d.page_request, d.page_outcome, mode="tavily")
+    got = resolve.fetch_pages(d.page_request, d.page_outcome, mode="tavily", call=_CALL)
     return got.select("req", "source", "ok", "credits_exhausted", "status")
 
 
 @query(
     "resolve_fetch_nofallback",
-    """select r.req, 'tavily' as source, coalesce(tavily_ok, false) as ok,
-      case when not coalesce(tavily_ok, false) then 'not extracted (fallback off)' end as error
-    from keyed_request r left join page_flags f using (url_key)""",
+    _PAID_FIRST
+    + """ select req, 'tavily' as source, bought as ok, exhausted as credits_exhausted,
+      case when not bought then 'not extracted (fallback off)' end as error
+    from paid""",
     "keyed_request page_flags",
 )
 def resolve_fetch_nofallback(d: Derived) -> DataFrame:
-    got = resolve.fetch_pages(d.page_request, d.page_outcome, mode="tavily", fallback=False)
-    return got.select("req", "source", "ok", "error")
+    got = resolve.fetch_pages(d.page_request, d.page_outcome, mode="tavily", fallback=False, call=_CALL)
+    return got.select("req", "source", "ok", "credits_exhausted", "error")
 
 
 @query(

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from enrichspark.functions.keys import query_key, url_key
+from enrichspark.functions.keys import query_key, url_key, with_url_key
 from enrichspark.functions.payloads import RESULT_TYPE
 from enrichspark.functions.policy import DEFAULT_POLICY, Rung
 from enrichspark.operators import resolve
@@ -266,6 +266,62 @@ def test_fetch_modes(rows):
         run(mode="other")
 
 
+def _walked_calls(requests, native, tavily, cheap):
+    """One call after the other, batch by batch, as one who fetches them would."""
+    calls, got = {}, {}
+    for req, call, url in sorted(requests):
+        calls.setdefault(call, []).append((req, url))
+    for call, asked in calls.items():
+        urls = [u for _, u in asked]
+        if cheap:
+            urls = [u for u in dict.fromkeys(urls) if native.get(u, (None, ""))[0] not in (200, 404)]
+        bought, exhausted = set(), False
+        for i in range(0, len(urls), 20):
+            statuses = [tavily[u][0] for u in urls[i : i + 20] if u in tavily]
+            if any(s in (429, 432, 433) for s in statuses):
+                exhausted = True
+                break
+            if any(s not in (200, None) for s in statuses):
+                break
+            bought |= {u for u in urls[i : i + 20] if u in tavily and tavily[u][1]}
+        for req, url in asked:
+            free = cheap and native.get(url, (None, ""))[0] in (200, 404)
+            got[req] = (url in bought and not free, exhausted and not free)
+    return got
+
+
+@pytest.mark.parametrize("slice_rows", [1_000_000, 37])
+def test_a_refused_batch_ends_its_call(rows, slice_rows):
+    rng = random.Random(slice_rows)
+    urls = [f"https://h.com/{i}" for i in range(150)]
+    native = {u: rng.choice([(200, "word " * 200), (404, ""), (500, ""), (500, "")]) for u in urls}
+    tavily = {u: rng.choice([(200, "text")] * 9 + [(200, "")]) for u in urls}
+    tavily |= {urls[7]: (429, ""), urls[8]: (401, ""), urls[9]: (None, ""), urls[10]: (500, "")}
+    native |= {u: (500, "") for u in urls[7:11]}
+    asked, req = [], 0
+    for call in ["a", "b", None, *range(25)]:
+        for _ in range(rng.choice([1, 19, 20, 21, 90, 200])):
+            req += 1
+            asked.append((req, str(call) if call is not None else None, rng.choice(urls)))
+    rng.shuffle(asked)
+    outcomes = [(u, r, t != "", s, t) for r, of in (("native", native), ("tavily", tavily)) for u, (s, t) in of.items()]
+    out = with_url_key(rows(outcomes, "url string, rung string, ok boolean, status int, content string"))
+    out = out.withColumn("latency_ms", F.lit(1))
+    requests = rows(asked, "req long, batch string, url string")
+    seen = set()
+    for mode in ("cheap", "tavily"):
+        got = resolve.fetch_pages(requests, out, mode=mode, call=["batch"], slice_rows=slice_rows).collect()
+        want = _walked_calls([(q, c, u) for q, c, u in asked], native, tavily, mode == "cheap")
+        for r in got:
+            bought, exhausted = want[r.req]
+            assert (r.source == "tavily" and r.ok) == bought
+            # a thin page or one the plain fetch settled is not a paid one
+            assert r.credits_exhausted == exhausted
+            seen.add((mode, bought, exhausted))
+        assert len(got) == len(asked)
+    assert len(seen) == 8  # also pages bought before the limit came
+
+
 def test_engines(rows):
     some = [("t", "u", "c")]
     out = rows(
