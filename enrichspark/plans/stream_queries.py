@@ -53,22 +53,43 @@ def stream_rung_tumbling(d: Derived) -> DataFrame:
     "entity_telemetry",
 )
 def stream_telemetry(d: Derived) -> DataFrame:
-    out, _, checkpoint = _paths(d, "telemetry")
-    twins.fold_stream(telemetry_deltas(_events(d)), out, checkpoint).awaitTermination()
+    """Deltas in five files, a micro-batch each, folded into levels."""
+    out, source, checkpoint = _paths(d, "telemetry")
+    events = d.given("events")
+    ids = events.agg(F.max("event_id") + 1).first()[0]
+    for part in range(5):
+        events.where(F.floor(F.col("event_id") * 5 / ids) == part).coalesce(1).write.mode("append").parquet(source)
+    stream = twins.read_stream(d.spark, source, events.schema, files=1)
+    twins.fold_stream(telemetry_deltas(rung_events(stream)), out, checkpoint).awaitTermination()
     rows = twins.folded(d.spark, out).drop("rung_hits")
     return rows.withColumn("usd_spent", F.round(F.col("usd_spent").cast("double"), 6))
 
 
-@query("stream_cache_dedupe", "select distinct url_key from keyed_request", "keyed_request")
+_TIMED = "timed as (select url_key, timestamp '2024-01-01' + interval 1 day * (13 * (req % 10)) + interval 1 minute * (req // 10) as ts from keyed_request)"
+
+
+@query(
+    "stream_cache_dedupe",
+    # recursive: from each miss to the first request at or after its expiry
+    _TIMED
+    + """, spans as (select url_key, list_sort(list(ts)) as asked from timed group by 1),
+    missed as (select url_key, unnest(list_reduce(list_transform(asked, lambda x: [x]),
+      lambda a, x: case when x[1] >= a[len(a)] + interval 30 day then a || x else a end)) as ts from spans)
+    select url_key, ts from missed""",
+    "keyed_request",
+)
 def stream_cache_dedupe(d: Derived) -> DataFrame:
-    """Distinct keys of a request stream; all requests here fall within one time to live."""
-    out, source, checkpoint = _paths(d, "fresh-keys")
-    clock = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("req"))
-    with_url_key(d.page_request).select("url_key", clock.alias("ts")).write.parquet(source)
-    requests = twins.read_stream(d.spark, source, "url_key string, ts timestamp_ntz")
-    fresh = twins.fresh_keys(requests, ttl="36500 days").select("url_key")
-    twins.write_batches(fresh, out, checkpoint, "append").awaitTermination()
-    return d.spark.read.parquet(out).select("url_key")
+    """Requests that find no live entry, over three lifetimes: a key is given again once its entry has expired."""
+    out, state, checkpoint = _paths(d, "fresh-keys")
+    source = f"{out}-source"
+    n, day = F.col("req") % 10, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    clock = day + F.make_dt_interval(days=n * 13) + F.make_dt_interval(mins=F.floor(F.col("req") / 10))
+    timed = with_url_key(d.page_request).select("url_key", clock.alias("ts"), F.floor(n / 2).alias("part"))
+    for part in range(4):  # files in the order of time, each a micro-batch
+        timed.where(F.col("part") == part).select("url_key", "ts").coalesce(1).write.mode("append").parquet(source)
+    requests = twins.read_stream(d.spark, source, "url_key string, ts timestamp_ntz", files=1)
+    twins.fresh_keys(requests, out, state, checkpoint).awaitTermination()
+    return d.spark.read.parquet(out).select("url_key", "ts")
 
 
 @query(
@@ -108,9 +129,15 @@ def _attempts(events: DataFrame) -> DataFrame:
     "provider_attempt",
 )
 def stream_breaker(d: Derived) -> DataFrame:
-    out, state, checkpoint = _paths(d, "breaker")
-    twins.breaker_stream(_attempts(_events(d)), out, state, checkpoint).awaitTermination()
-    return d.spark.read.parquet(out).select("event_id", "provider", "ok", "streak", "opens")
+    """Attempts in files that hold every fourth hour each, so that all but the first come late."""
+    out, source, checkpoint = _paths(d, "breaker")
+    attempts = _attempts(rung_events(d.given("events")))
+    for part in (2, 0, 3, 1):
+        some = attempts.where(F.hour("ts") % 4 == part)
+        some.coalesce(1).write.mode("append").parquet(source)
+    stream = twins.read_stream(d.spark, source, attempts.schema, files=1)
+    twins.breaker_stream(stream, out, checkpoint).awaitTermination()
+    return twins.Breakers(d.spark, out).read().select("event_id", "provider", "ok", "streak", "opens")
 
 
 @query(

@@ -1,7 +1,9 @@
 """Streams cut into several micro-batches against their batch operators."""
 
 import datetime as dt
+import math
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,10 +73,65 @@ def attempts(events):
     return events.select("event_id", "ts", F.col("event_type").alias("provider"), F.pmod("user_id", F.lit(6)).alias("run_id"), (F.col("value") >= 40).alias("ok"))
 
 
-def test_breaker(spark, parts, stream, tmp_path):
-    paths = [str(tmp_path / n) for n in ("out", "state", "ck")]
-    twins.breaker_stream(attempts(stream), *paths).awaitTermination()
-    same(spark.read.parquet(paths[0]).drop("batch"), health.breaker(attempts(parts[1])))
+def one_by_one(spark, frames, path):
+    """A stream that takes each frame as a file and micro-batch of its own, in the given order."""
+    for i, df in enumerate(frames):
+        piece = f"{path}-{i}"
+        df.coalesce(1).write.parquet(piece)
+        os.makedirs(path, exist_ok=True)
+        name = next(f for f in os.listdir(piece) if f.endswith(".parquet"))
+        os.link(f"{piece}/{name}", f"{path}/part{i}.parquet")
+        os.utime(f"{path}/part{i}.parquet", (1_700_000_000 + i * 100,) * 2)
+    return twins.read_stream(spark, path, frames[0].schema, files=1)
+
+
+def test_breaker_in_any_order(spark, parts, tmp_path):
+    """Files in shuffled time order, each with rows of many hours: late rows change streaks that were carried on."""
+    log = attempts(parts[1])
+    for name, frames in (
+        ("shuffled", [log.where(F.pmod(F.xxhash64("event_id"), F.lit(5)) == i) for i in (3, 1, 4, 0, 2)]),
+        ("backwards", [log.where(F.floor((F.dayofmonth("ts") - 1) / 8) == i) for i in (3, 2, 1, 0)]),
+    ):
+        out = str(tmp_path / name)
+        twins.breaker_stream(one_by_one(spark, frames, f"{out}-src"), out, f"{out}-ck", slice_by="day").awaitTermination()
+        same(twins.Breakers(spark, out, slice_by="day").read(), health.breaker(log))
+
+
+def test_breaker_retries_and_repeats_change_nothing(spark, rows, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+
+    def log(*some):
+        data = [(i, t0 + dt.timedelta(minutes=30 * i), "p", ok) for i, ok in some]
+        return rows(data, "event_id long, ts timestamp_ntz, provider string, ok boolean")
+
+    store = twins.Breakers(spark, str(tmp_path / "b"))
+    assert store.read() is None
+    store.apply(0, log((0, False), (5, False), (9, False)))
+    store.apply(1, log((3, False), (5, False)))  # one late, one seen before
+    store.apply(1, log((4, True)))  # the same batch once more: done already
+    got = {r.event_id: (r.streak, r.opens) for r in store.read().collect()}
+    assert got == {0: (1, False), 3: (2, True), 5: (3, False), 9: (4, True)}
+    store.apply(2, log((4, True)))
+    got = {r.event_id: (r.streak, r.opens) for r in store.read().collect()}
+    assert got == {0: (1, False), 3: (2, True), 4: (0, False), 5: (1, False), 9: (2, True)}
+
+
+def test_levels_read_few_runs_and_survive_retries(spark, parts, tmp_path):
+    deltas = telemetry_deltas(rung_events(parts[1]))
+    n = 11
+    ids = parts[1].agg(F.max("event_id") + 1).first()[0]
+    store = twins.telemetry_levels(spark, str(tmp_path / "levels"))
+    assert store.read() is None and store.last() == -1
+    for i in range(n):
+        some = telemetry.fold_telemetry(deltas.where(F.floor(F.col("seq") * n / ids) == i))
+        if i == 5:  # an attempt that failed before its manifest leaves a folder behind
+            some.limit(1).write.parquet(f"{tmp_path}/levels/runs/{i:012d}-{i:012d}")
+        store.apply(i, some)
+        store.apply(i, some.limit(3))  # tried again after it stood
+        assert len(store.runs()) <= 1 + math.log2(i + 1) and store.last() == i
+    same(store.read().drop("rung_hits", "usd_spent"), telemetry.fold_telemetry(deltas).drop("rung_hits", "usd_spent"))
+    kept = os.listdir(tmp_path / "levels" / "runs")
+    assert len(kept) <= 4 * 3  # what the last manifests name, no more
 
 
 def test_rung_windows_count_rows_in_any_order(spark, tmp_path):
@@ -106,14 +163,42 @@ def test_watchdog(spark, tmp_path):
     same(telemetry.watchdog(last, d.run, 10), telemetry.watchdog(tel, d.run, 10))
 
 
-def test_fresh_keys(spark, rows, tmp_path):
+def plain_misses(batches, days):
+    """Requests one by one, in the order of batches and of time within each."""
+    expires, out = {}, []
+    for batch in batches:
+        for key, ts in sorted(batch, key=lambda r: r[1]):
+            if key not in expires or ts >= expires[key]:
+                out.append((key, ts))
+                expires[key] = ts + dt.timedelta(days=days)
+    return sorted(out, key=repr)
+
+
+def test_fresh_keys_over_lifetimes(spark, rows, tmp_path):
+    rng, t0 = random.Random(3), dt.datetime(2024, 1, 1)
+    batches = []
+    for start in (0, 20, 45, 47, 100, 60):  # one spans lifetimes, the last comes late
+        span = 70 if start == 47 else 18
+        keys = ["hot"] * 30 + [f"k{rng.randrange(12)}" for _ in range(25)] + [None]
+        batches.append([(k, t0 + dt.timedelta(days=start, minutes=rng.randrange(span * 1440))) for k in keys])
+    batches[1] += [("edge", t0 + dt.timedelta(days=20)), ("edge", t0 + dt.timedelta(days=50))]  # gone as it expires
+    batches[2] += [("edge", t0 + dt.timedelta(days=49, hours=23))]
+    frames = [rows(b, "url_key string, ts timestamp_ntz") for b in batches]
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    stream = one_by_one(spark, frames, str(tmp_path / "src"))
+    twins.fresh_keys(stream, out, state, str(tmp_path / "ck"), late_days=365).awaitTermination()
+    got = sorted(((r.url_key, r.ts) for r in spark.read.parquet(out).collect()), key=repr)
+    assert got == plain_misses(batches, 30) and len(got) > 40
+
+
+def test_fresh_keys_forget_the_gone(spark, rows, tmp_path):
     t0 = dt.datetime(2024, 1, 1)
-    data = [("a", 0), ("a", 1), ("b", 2), ("a", 3), ("c", 4)]
-    src = str(tmp_path / "src")
-    rows([(k, t0 + dt.timedelta(days=n)) for k, n in data], "url_key string, ts timestamp_ntz").coalesce(1).write.parquet(src)
-    stream = twins.read_stream(spark, src, "url_key string, ts timestamp_ntz")
-    twins.write_batches(twins.fresh_keys(stream), str(tmp_path / "out"), str(tmp_path / "ck"), "append").awaitTermination()
-    assert sorted(r.url_key for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
+    frames = [rows([(f"k{i}", t0 + dt.timedelta(days=40 * i))], "url_key string, ts timestamp_ntz") for i in range(6)]
+    state = str(tmp_path / "state")
+    stream = one_by_one(spark, frames, str(tmp_path / "src"))
+    twins.fresh_keys(stream, str(tmp_path / "out"), state, str(tmp_path / "ck")).awaitTermination()
+    store = twins.Levels(spark, state, lambda rows: rows.groupBy("url_key").agg(F.max("expires").alias("expires")))
+    assert store.last() == 5 and store.read().count() < 4
 
 
 def test_event_append_restarts_without_repeats(spark, parts, tmp_path):
