@@ -95,8 +95,11 @@ def write_archives(
         "digest",
         safe.alias("uri"),
         block.alias("block"),
-    ).select("*", F.posexplode(_cut(F.col("block"), segment_bytes)).alias("k", "part"))
-    segments = segments.withColumn("n", F.ceil(F.octet_length("block") / segment_bytes))
+    ).withColumn("total", F.octet_length("block"))
+    # the block itself does not ride beside its parts
+    heads = ["record_id", "refers_to", "digest", "uri", "total"]
+    segments = segments.select(*heads, F.posexplode(_cut(F.col("block"), segment_bytes)).alias("k", "part"))
+    segments = segments.withColumn("n", F.ceil(F.col("total") / segment_bytes))
     cut, later = F.col("n") > 1, F.col("k") > 0
 
     def line(name: str, value: Column, when: Column) -> Column:
@@ -114,7 +117,7 @@ def write_archives(
         line("WARC-Profile", F.lit(PROFILE), F.col("refers_to").isNotNull()),
         line("WARC-Segment-Number", F.col("k") + 1, cut),
         line("WARC-Segment-Origin-ID", F.col("record_id"), later),
-        line("WARC-Segment-Total-Length", F.octet_length("block"), later & (F.col("k") + 1 == F.col("n"))),
+        line("WARC-Segment-Total-Length", F.col("total"), later & (F.col("k") + 1 == F.col("n"))),
         line("Content-Length", F.octet_length("part"), F.lit(True)),
         F.lit(END),
     )
@@ -251,32 +254,35 @@ def reassembled(records: DataFrame) -> DataFrame:
 
 
 def op1_warc(pages: DataFrame) -> DataFrame:
-    """Per page what the archives give back; a page of a broken record would have NULL payload columns."""
+    """Per page what the archives give back; a page of a broken record has NULL payload columns, and a NULL type too if
+    its first segment is lost."""
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write_archives(pages, path)
     read = reassembled(read_records(spark, path))
-    id_part = F.regexp_extract("record_id", "^<urn:page:(-?[0-9]*):", 1)
-    facts = stored(
-        read.select(
-            "record_id",
-            F.expr("nullif(regexp_extract(record_id, '^<urn:page:(-?[0-9]*):', 1), '')").cast("long").alias("page_id"),
-            F.col("kind").alias("record_type"),
-            "refers_to",
-            F.octet_length("payload").cast("long").alias("payload_bytes"),
-            F.sha1("payload").alias("payload_digest"),
-            "problem",
-        ),
-        "warc-facts",
-    ).dropDuplicates(["record_id"])
+    return page_facts(read)
+
+
+def page_facts(records: DataFrame) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of reassembled records, one row per record id."""
+    facts = records.select(
+        "record_id",
+        F.expr("nullif(regexp_extract(record_id, '^<urn:page:(-?[0-9]*):', 1), '')").cast("long").alias("page_id"),
+        F.col("kind").alias("record_type"),
+        "refers_to",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha1("payload").alias("payload_digest"),
+    )
+    facts = stored(facts, "warc-facts").dropDuplicates(["record_id"])
+    again = F.coalesce(F.col("record_type") == "revisit", F.lit(False))
     plain = ["page_id", "payload_bytes", "payload_digest", "record_type"]
-    own = facts.filter("record_type = 'response'").select(*plain, F.lit(None).cast("long").alias("refers_to"))
+    own = facts.filter(~again).select(*plain, F.lit(None).cast("long").alias("refers_to"))
     # a revisit's payload is that of the record it refers to
     kept = facts.filter("record_type = 'response'").select(
         F.col("record_id").alias("target"), F.col("page_id").alias("target_page"), F.col("payload_bytes").alias("target_bytes"), F.col("payload_digest").alias("target_digest")
     )
     again = (
-        facts.filter("record_type = 'revisit'")
+        facts.filter(again)
         .join(kept, F.col("refers_to") == F.col("target"), "left")
         .select("page_id", F.col("target_bytes").alias("payload_bytes"), F.col("target_digest").alias("payload_digest"), "record_type", F.col("target_page").alias("refers_to"))
     )
