@@ -1,8 +1,8 @@
 """Packing documents into training sequences of several permitted lengths, by best fit.
 
 Each document is a run of tokens; runs longer than the longest sequence are cut into whole sequences and a rest.
-Pieces are dealt by a hash into packs of about `pack_rows` rows, whose number follows the data, and each pack is packed
-on its own: long pieces first, each into the open bin it leaves least room in. Where none has room, the bin size opened
+Pieces are dealt by a hash into packs of about `pack_rows` rows, whose number follows the data (rows that share an id, or
+have none, by their stored number), and each pack is packed on its own: long pieces first, each into the open bin it leaves least room in. Where none has room, the bin size opened
 is the one of least cost for each token it can still be filled with, given what is left of the pack. At the end each
 bin shrinks to the cheapest permitted length that holds its contents. No pack grows with the data, and a hot source or
 a flood of equal documents is spread like any other.
@@ -48,7 +48,6 @@ def best_fit(lengths: Sequence[int], sizes: Sequence[int], costs: Sequence[float
 def pieces(docs: DataFrame, key: str, length: Column, longest: int) -> DataFrame:
     """(id, piece, start, length): runs of at most `longest` tokens; an empty document is one piece of length 0."""
     n = F.coalesce(length, F.lit(0)).cast("long")
-    last = F.greatest(F.lit(0), F.ceil(n / F.lit(longest)).cast("long") - 1)
     return (
         docs.select(F.col(key).alias("id"), n.alias("n"))
         .select("id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.ceil(F.col("n") / longest).cast("long") - 1))).alias("piece"))
@@ -74,9 +73,17 @@ def pack(
     sizes = sorted(sizes)
     costs = [s + 64 for s in sizes] if costs is None else list(costs)
     length = F.octet_length(F.col("text")) if length is None else length
-    cut = stored(pieces(docs, key, length, sizes[-1]), "pieces")
+    cut = stored(pieces(docs, key, length, sizes[-1]).withColumn("row", F.monotonically_increasing_id()), "pieces")
     packs = 1 + cut.count() // pack_rows
-    dealt = cut.withColumn("pack", F.pmod(F.xxhash64("id", "piece"), F.lit(packs)))
+    # rows of one id must not share a pack because they share a hash
+    again = stored(cut.filter("piece = 0").groupBy("id").count().filter("count > 1"), "pieces-again").select(F.col("id").alias("again"))
+    salt = F.lit(0).cast("long")
+    if not again.isEmpty():
+        cut = cut.join(again, F.col("id").eqNullSafe(F.col("again")), "left")
+        several = F.col("id").isNull() | F.col("again").isNotNull()
+        salt = F.when(several, F.col("row")).otherwise(salt)
+    dealt = cut.withColumn("pack", F.pmod(F.xxhash64("id", "piece", salt), F.lit(packs)))
+    dealt = dealt.select("id", "piece", "start", "length", "pack")
     kind = cut.schema["id"].dataType.simpleString()
 
     def place(group, table):
