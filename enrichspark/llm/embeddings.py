@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from enrichspark.llm.common import components, sample_order, spanning, stored
 
 MOST_PIVOTS = 1 << 14
+BLOCK = 256  # vectors compared with all pivots at a time: 34 MB of distances at most
+COPIES = 1 << 14  # rows given out at a time
 SLACK = 1e-6  # for rounding of distances; it only copies more
 
 
@@ -35,41 +37,55 @@ def usable(vector) -> "F.Column":
     return F.coalesce(fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def nearest(x: np.ndarray, centres: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell) of each vector's own cell and of the lower ones within reach; own cell of each row."""
+    distance = x @ centres.T
+    distance *= -2
+    distance += 2
+    np.sqrt(np.maximum(distance, 0, out=distance), out=distance)
+    own = distance.argmin(axis=1)
+    reach = distance <= distance[np.arange(len(x)), own, None] + 2 * radius + SLACK
+    reach &= np.arange(len(centres)) <= own[:, None]
+    return *np.nonzero(reach), own
+
+
 def assign(vectors: DataFrame, pivots: list[list[float]], radius: float) -> DataFrame:
-    """(id, vector, size, cell, own): each vector in its cell, and copied into lower cells within reach."""
-    shared = vectors.sparkSession.sparkContext.broadcast(pivots)
+    """(id, vector, size, cell, own): each vector in its cell, and copied into lower cells within reach.
+
+    Distances are made for `BLOCK` vectors at a time, so a task holds BLOCK x pivots of them whatever its batches are.
+    """
+    by_size: dict[int, list] = {}
+    for p in pivots:
+        by_size.setdefault(len(p), []).append(p)
+    shared = vectors.sparkSession.sparkContext.broadcast({n: unit(p) for n, p in by_size.items()})
     fields = vectors.schema.fields
 
     def place(batches):
         import pyarrow as pa
 
-        by_size: dict[int, list] = {}
-        for p in shared.value:
-            by_size.setdefault(len(p), []).append(p)
-        known = {n: unit(p) for n, p in by_size.items()}
+        known = shared.value
         for batch in batches:
             column = batch.column(1)
             sizes = column.value_lengths().to_numpy(zero_copy_only=False)
             for n in np.unique(sizes).tolist():
-                rows = np.flatnonzero(sizes == n)
-                flat = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
-                x = unit(flat.reshape(len(rows), n))
+                held = np.flatnonzero(sizes == n)
                 centres = known.get(n, np.eye(1, n))
-                distance = np.sqrt(np.maximum(0, 2 - 2 * (x @ centres.T)))
-                own = distance.argmin(axis=1)
-                reach = distance <= distance[np.arange(len(rows)), own, None] + 2 * radius + SLACK
-                reach &= np.arange(len(centres)) <= own[:, None]
-                at, cell = np.nonzero(reach)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(rows[at])),
-                        column.take(pa.array(rows[at])),
-                        pa.array(np.full(len(at), n, np.int32)),
-                        pa.array(cell.astype(np.int32)),
-                        pa.array(own[at] == cell),
-                    ],
-                    names=["id", "vector", "size", "cell", "own"],
-                )
+                for k in range(0, len(held), BLOCK):
+                    rows = held[k : k + BLOCK]
+                    flat = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
+                    at, cell, own = nearest(unit(flat.reshape(len(rows), n)), centres, radius)
+                    for a in range(0, len(at), COPIES):  # a vector may go to every lower cell
+                        some = slice(a, a + COPIES)
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                batch.column(0).take(pa.array(rows[at[some]])),
+                                column.take(pa.array(rows[at[some]])),
+                                pa.array(np.full(len(at[some]), n, np.int32)),
+                                pa.array(cell[some].astype(np.int32)),
+                                pa.array(own[at[some]] == cell[some]),
+                            ],
+                            names=["id", "vector", "size", "cell", "own"],
+                        )
 
     kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(("id", "vector"), fields))
     return vectors.mapInArrow(place, f"{kinds}, size int, cell int, own boolean")
