@@ -155,20 +155,24 @@ def map_texts(df: DataFrame, text: str, carry: list[Column], fields: str, make,
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, key: str, text: str) -> DataFrame:
-    """(text, label) of at most `rows` labelled training rows, in a fixed pseudo-random order of their ids.
+    """(id, text, label) of at most `rows` labelled training documents, in a fixed pseudo-random order of their ids.
 
-    Training rows are those whose crc32 of the id is not 0 modulo 5. Ids are drawn from the labels alone, so that texts
-    are read once and only those asked for leave the executors; the drawn table has `rows` rows at most and is broadcast.
+    Training ids are those whose crc32 is not 0 modulo 5. They are drawn among the labelled ids that `docs` has, without
+    texts; the drawn table has `rows` rows at most and is broadcast. Each id gives one row: of several texts the least
+    one, of several labels the smaller one.
     """
+    have = docs.select(F.col(key).alias("have")).distinct()
     drawn = (
         labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & (remainder(F.col(key), 5) != 0))
-        .select(F.col(key).alias("sample_id"), F.col(label).cast("int").alias("label"))
-        .distinct()
-        .orderBy(sample_order(F.col("sample_id")), "sample_id", "label")
+        .groupBy(F.col(key).alias("sample_id"))
+        .agg(F.min(F.col(label).cast("int")).alias("label"))
+        .join(have, F.col("sample_id") == F.col("have"), "left_semi")
+        .orderBy(sample_order(F.col("sample_id")), "sample_id")
         .limit(rows)
     )
     return (
         docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
         .join(F.broadcast(drawn), F.col("id") == F.col("sample_id"))
-        .select("id", "text", "label")
+        .groupBy("id")
+        .agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("label").alias("label"))
     )

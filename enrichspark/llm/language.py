@@ -225,14 +225,19 @@ def fit(docs: DataFrame, rows: int = 1500, per_text: int = 8, key: str = "doc_id
         F.col("id").isNotNull() & F.col("lang").isNotNull() & (remainder(F.col("id"), 3) != 1)
     )
     drawn = known.select("id").distinct().orderBy(sample_order(F.col("id")), "id").limit(rows)
-    place = F.col("k") * F.greatest(F.length("text") - WINDOW, F.lit(0)) / F.lit(max(1, per_text - 1))
-    windows = (
+    step = F.greatest(F.length("text") - WINDOW, F.lit(0)) / F.lit(max(1, per_text - 1))
+    windows = F.transform(
+        F.sequence(F.lit(0), F.lit(per_text - 1)),
+        lambda k: F.substring(F.col("text"), (F.floor(k * step) + 1).cast("int"), F.lit(WINDOW)),
+    )
+    taken = (
         known.filter(F.length("text") > 0)
         .join(F.broadcast(drawn), "id", "left_semi")
-        .select("id", "lang", "text", F.explode(F.sequence(F.lit(0), F.lit(per_text - 1))).alias("k"))
-        .select("id", "lang", "k", F.substring("text", (F.floor(place) + 1).cast("int"), F.lit(WINDOW)).alias("window"))
+        .select("id", F.struct("lang", windows.alias("windows")).alias("one"))
+        .groupBy("id")  # an id may have several rows: the least one counts
+        .agg(F.min("one").alias("one"))
     )
-    got = sorted(((r["id"], r["k"], r["window"], r["lang"]) for r in windows.collect()), key=repr)
+    got = sorted(((r["id"], k, w, r["one"]["lang"]) for r in taken.collect() for k, w in enumerate(r["one"]["windows"])), key=repr)
     return train([w.encode("utf-8", "surrogatepass")[:WINDOW] for _, _, w, _ in got], [g[3] for g in got])
 
 
