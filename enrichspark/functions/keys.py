@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -278,12 +279,29 @@ def register_sql_functions(spark: SparkSession, known_view: str | None = None) -
         """
     )
     if known_view:
-        spark.sql(
-            f"""
-            CREATE OR REPLACE TEMPORARY FUNCTION check_company_domains(domains ARRAY<STRING>)
-            RETURNS TABLE(input_domain STRING, status STRING, company_name STRING, notes STRING)
-            RETURN SELECT d.dom, coalesce(k.status, '{C.NET_NEW}'), k.company_name, k.notes
-            FROM explode(domains) AS d(dom) LEFT JOIN {known_view} k
-            ON normalize_company_domain(d.dom) = k.domain_normalized
-            """
-        )
+        _domain_check(spark, "check_company_domains", known_view)
+
+
+def _domain_check(spark: SparkSession, name: str, known_view: str) -> None:
+    # rows without a domain get stand-in keys, which match nothing: with a salt per row they do not meet in one task
+    spark.sql(
+        f"""
+        CREATE OR REPLACE TEMPORARY FUNCTION {name}(domains ARRAY<STRING>, salt BIGINT DEFAULT 0)
+        RETURNS TABLE(input_domain STRING, status STRING, company_name STRING, notes STRING)
+        RETURN SELECT d.dom, coalesce(k.status, '{C.NET_NEW}'), k.company_name, k.notes
+        FROM explode(domains) AS d(dom) LEFT JOIN {known_view} k
+        ON coalesce(normalize_company_domain(d.dom), concat(chr(0), cast(salt AS STRING))) = k.domain_normalized
+        """
+    )
+
+
+def register_domain_check(spark: SparkSession, known: DataFrame) -> str:
+    """The batch lookup over these known companies, as a SQL table function under a name of this call's own.
+
+    ``known`` has one row per ``domain_normalized``. Jobs in one session do not see each other's companies.
+    """
+    register_sql_functions(spark)
+    mark = uuid.uuid4().hex
+    known.createOrReplaceTempView(f"known_{mark}")
+    _domain_check(spark, f"check_company_domains_{mark}", f"known_{mark}")
+    return f"check_company_domains_{mark}"

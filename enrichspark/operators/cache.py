@@ -102,10 +102,31 @@ def _upsert(cache: DataFrame, writes: DataFrame, key: str, kept: tuple[str, ...]
     return joined.select(F.coalesce(f"o.{key}", f"n.{key}").alias(key), *rest)
 
 
-def upsert_pages(cache: DataFrame, writes: DataFrame, seq: str | None = None) -> DataFrame:
-    """Insert or replace pages; address and reuse count of an existing row stay."""
+def upsert_pages(cache: DataFrame, writes: DataFrame, seq: str | None = None, uses: DataFrame | None = None) -> DataFrame:
+    """Insert or replace pages; address and reuse count of an existing row stay.
+
+    ``uses(url_key, uses)`` are the requests a job served from the cache, its own entries included: they are added to the
+    reuse counts in the same join.
+    """
     new = latest(writes, PAGE_KEY, seq) if seq else writes
-    return _upsert(cache, new, PAGE_KEY, ("url", "fetch_count"))
+    if uses is None:
+        return _upsert(cache, new, PAGE_KEY, ("url", "fetch_count"))
+    # what the job touched is small beside the cache: both kinds meet first
+    touched = new.withColumn("_new", F.lit(True)).join(uses.select(PAGE_KEY, "uses"), PAGE_KEY, "full")
+    old, now = cache.alias("o"), touched.alias("n")
+    stands, replaced = F.col(f"o.{PAGE_KEY}").isNotNull(), F.coalesce(F.col("n._new"), F.lit(False))
+
+    def column(name: str) -> Column:
+        before, after = F.col(f"o.{name}"), F.col(f"n.{name}")
+        if name == "fetch_count":
+            return (F.coalesce(before, after) + F.coalesce("n.uses", F.lit(0))).cast("long").alias(name)
+        if name == "url":
+            return F.when(stands, before).otherwise(after).alias(name)
+        return F.when(replaced, after).otherwise(before).alias(name)
+
+    joined = old.join(now, F.col(f"o.{PAGE_KEY}") == F.col(f"n.{PAGE_KEY}"), "full").where(stands | replaced)
+    rest = [column(c) for c in cache.columns if c != PAGE_KEY]
+    return joined.select(F.coalesce(f"o.{PAGE_KEY}", f"n.{PAGE_KEY}").alias(PAGE_KEY), *rest)
 
 
 def upsert_search(cache: DataFrame, writes: DataFrame, seq: str | None = None) -> DataFrame:

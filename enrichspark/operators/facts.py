@@ -71,6 +71,26 @@ def two_sources(facts: DataFrame, least: int = 2) -> DataFrame:
     )
 
 
+def source_sketches(facts: DataFrame, by: Sequence[str] = ("day",), precision: int = 12) -> DataFrame:
+    """Per value, and per day or whatever ``by`` names, a sketch of the hosts that support it.
+
+    Sketches merge, so a day is folded once and any span of days is counted from its few rows. With 12 bits of precision
+    the standard error of a large count is 1.6 %, a sketch takes 4 KB at most, and counts of a few hosts are exact.
+    """
+    host = url_host(F.col("source_url"))
+    return trusted(facts).where(host.isNotNull()).groupBy(*by, "entity_name", "field", "value").agg(
+        F.hll_sketch_agg(host, F.lit(precision)).alias("hosts")
+    )
+
+
+def two_sources_of_sketches(sketches: DataFrame, least: int = 2) -> DataFrame:
+    """``two_sources`` over sketches; ``sources`` is an estimate, exact for a few hosts."""
+    merged = sketches.groupBy("entity_name", "field", "value").agg(F.hll_union_agg("hosts").alias("hosts"))
+    return merged.select("entity_name", "field", "value", F.hll_sketch_estimate("hosts").alias("sources")).where(
+        F.col("sources") >= least
+    )
+
+
 def rank_sources(facts: DataFrame, entities: DataFrame) -> DataFrame:
     """Best source per (entity, field): the entity's own site first, then by address."""
     own = entities.select("entity_name", canon_domain(F.col("domain")).alias("_own"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from enrichspark import constants as C
-from enrichspark.functions.keys import cached_body, with_query_key, with_url_key
+from enrichspark.functions.keys import cached_body, url_host, with_query_key, with_url_key
 from enrichspark.functions.payloads import RESULT_TYPE
 from enrichspark.functions.policy import (
     DEFAULT_POLICY,
@@ -33,11 +33,12 @@ from enrichspark.operators.telemetry import at
 from enrichspark.session import cut_lineage
 
 ALL_KEYS = ("exa", "tavily", "parallel", "brave", "serper", "claude_cli")
-_FLAG_DEFAULTS = {"query_intent": "keyword", "cooling": False, "user_invocation": False}
+_FLAG_DEFAULTS = {"query_intent": "keyword", "cooling": False, "user_invocation": False, "domain_list": ""}
 
 
 class Resolution:
-    """``resolved``: one row per request; ``events``: one per attempt; ``writes``: cache rows.
+    """``resolved``: one row per request; ``events``: one per attempt; ``writes``: cache rows; ``uses``: requests served
+    from the cache per page, those that follow a fetch of the same job included.
 
     Each is planned when first asked for.
     """
@@ -47,8 +48,9 @@ class Resolution:
         resolved: Callable[[], DataFrame],
         events: Callable[[], DataFrame],
         writes: Callable[[], DataFrame],
+        uses: Callable[[], DataFrame] | None = None,
     ):
-        self._resolved, self._events, self._writes = resolved, events, writes
+        self._resolved, self._events, self._writes, self._uses = resolved, events, writes, uses
 
     @cached_property
     def resolved(self) -> DataFrame:
@@ -62,6 +64,10 @@ class Resolution:
     def writes(self) -> DataFrame:
         return self._writes()
 
+    @cached_property
+    def uses(self) -> DataFrame | None:
+        return self._uses() if self._uses else None
+
 
 # --- building blocks -----------------------------------------------------------
 
@@ -242,11 +248,13 @@ def _settle(
     ladder: Sequence[Rung],
     configured: Iterable[str],
     fetch: bool,
+    by_list: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Decide every (key, clearances) once, and find per key the request that fills the cache.
 
     Requests of one key are served in the order of ``req``: the first whose result is stored
-    leads, later ones are cache hits, earlier ones stand alone.
+    leads, later ones are cache hits, earlier ones stand alone. ``by_list`` says where the paid search has
+    results within a list of domains.
     """
     flags = _flag_columns(requests, ladder)
     asked = requests.withColumns(
@@ -260,11 +268,16 @@ def _settle(
     text = "url" if fetch else "query"
     variants = asked.groupBy(key, *flags).agg(F.min("req").alias("_first"), F.min_by(text, "req").alias("_text"))
     probed = variants.join(entries, key, "left").join(flags_by_rung, key, "left")
+    if by_list is not None:
+        probed = probed.join(by_list, [key, "domain_list"], "left")
+        within = F.when(F.col("domain_list") != "", _truth("_within")).otherwise(F.col("tavily_success"))
+        probed = probed.withColumn("tavily_success", within).drop("_within")
     decided = _walk(probed, ladder, configured, fetch, flags)
     decided = decided.withColumn("hit", _truth("hit") & ~F.col("_local") if fetch else _truth("hit"))
     stored = (F.col("winner").isNotNull() | F.col("dead")) if fetch else F.lit(True)
     # Structs compare by their first field, so the least one is the first request's.
-    lead = F.struct("_first", "winner", "dead", "_text", *(["native_status"] if fetch else []))
+    more = ["native_status"] if fetch else ["domain_list"] if by_list is not None else []
+    lead = F.struct("_first", "winner", "dead", "_text", *more)
     # A key has one row per set of clearances here, never one per request.
     of_key = Window.partitionBy(key)
     decided = decided.withColumn("_lead", F.min(F.when(~F.col("hit") & stored, lead)).over(of_key))
@@ -285,6 +298,46 @@ def _events(rows: DataFrame, waterfall: str, as_of: str) -> DataFrame:
 # --- search ----------------------------------------------------------------------
 
 
+def _suffixes(host: Column) -> Column:
+    """A host and all domains it lies in: a.b.com gives a.b.com, b.com, com."""
+    labels = F.split(host, "[.]")
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
+
+def results_within(outcomes: DataFrame, wanted: DataFrame, domains: DataFrame, rung: str = "tavily") -> DataFrame:
+    """``(query_key, domain_list, results)`` of a rung's results that each list in ``wanted(query_key, domain_list)`` lets
+    through, in their order; without a row where none is left.
+
+    ``domains(domain_list, domain, excluded)`` may hold any number of lists of any length: results meet domains by an
+    equi-join on every suffix of their host. A list that includes domains lets only these and their subdomains through;
+    excluded ones never pass.
+    """
+    listed = domains.select("domain_list", F.lower("domain").alias("_domain"), F.coalesce("excluded", F.lit(False)).alias("_out"))
+    listed = listed.groupBy("domain_list", "_domain").agg(F.max("_out").alias("_out"))
+    includes = listed.groupBy("domain_list").agg(F.bool_or(~F.col("_out")).alias("_includes"))
+    named = wanted.where(F.col("domain_list") != "").distinct()
+    asked = named.join(includes, "domain_list", "left")
+    found = outcomes.where(F.col("rung") == rung).select(SEARCH_KEY, F.posexplode("results").alias("_pos", "_result"))
+    rows = found.join(asked, SEARCH_KEY).withColumn("_host", F.coalesce(url_host(F.col("_result.url")), F.lit("")))
+    reached = rows.select(SEARCH_KEY, "domain_list", "_pos", F.explode(_suffixes(F.col("_host"))).alias("_domain"))
+    reached = reached.join(listed, ["domain_list", "_domain"]).groupBy(SEARCH_KEY, "domain_list", "_pos")
+    reached = reached.agg(F.bool_or(~F.col("_out")).alias("_in"), F.bool_or("_out").alias("_out"))
+    judged = rows.join(reached, [SEARCH_KEY, "domain_list", "_pos"], "left")
+    kept = judged.where((~_truth("_includes") | _truth("_in")) & ~_truth("_out"))
+    # a result list is as long as a search answer
+    ordered = F.array_sort(F.collect_list(F.struct("_pos", "_result")))
+    return kept.groupBy(SEARCH_KEY, "domain_list").agg(F.transform(ordered, lambda x: x["_result"]).alias("results"))
+
+
+def _answers(outcomes: DataFrame, within: DataFrame | None) -> DataFrame:
+    """Result lists by key, rung and the domain list they were asked for with (none: empty)."""
+    rows = outcomes.select(SEARCH_KEY, F.col("rung").alias("_rung"), F.lit("").alias("_list"), "results")
+    if within is None:
+        return rows
+    paid = within.select(SEARCH_KEY, F.lit("tavily").alias("_rung"), F.col("domain_list").alias("_list"), "results")
+    return rows.unionByName(paid)
+
+
 def resolve_search(
     requests: DataFrame,
     outcomes: DataFrame,
@@ -293,25 +346,34 @@ def resolve_search(
     policy: Iterable[Rung] = DEFAULT_POLICY,
     configured: Iterable[str] = ALL_KEYS,
     n: int = C.SEARCH_JOB_RESULTS,
+    domains: DataFrame | None = None,
 ) -> Resolution:
-    """``requests(req, run_id, entity_name, query[, query_intent, allow_parallel])`` against
+    """``requests(req, run_id, entity_name, query[, query_intent, allow_parallel, domain_list])`` against
     ``outcomes(query_key, rung, results, latency_ms[, engine])`` and the search cache.
 
     The provider of a keyword answer is the free engine that gave it, where outcomes name one. A
-    result, empty or not, is stored for the whole time to live, its first ``n`` rows at most.
+    result, empty or not, is stored for the whole time to live, its first ``n`` rows at most. Requests may name a list in
+    ``domains(domain_list, domain, excluded)``: the paid search then gives what lies within it, and gives nothing if that
+    is nothing. The cache does not know of lists, so later requests get what the first one stored.
     """
     ladder = rungs("search", policy)
     keyed = _keyed(requests, SEARCH_KEY, with_query_key)
     entries = live(cache, as_of).select(SEARCH_KEY, F.lit(True).alias("hit"), (~F.col("empty")).alias("cached_ok"))
     flags = _by_rung(search_flags(outcomes), SEARCH_KEY, [r.rung for r in ladder])
-    rows, leaders = _settle(keyed, SEARCH_KEY, entries, flags, ladder, configured, fetch=False)
+    within = by_list = None
+    if domains is not None:
+        within = results_within(outcomes, keyed.select(SEARCH_KEY, "domain_list"), domains)
+        by_list = within.select(SEARCH_KEY, "domain_list", F.lit(True).alias("_within"))
+    rows, leaders = _settle(keyed, SEARCH_KEY, entries, flags, ladder, configured, False, by_list)
 
     follows = ~F.col("hit") & (F.col("req") > F.col("_lead._first"))
     rows = rows.withColumn("from_cache", F.col("hit") | follows)
     # Whoever fills the cache settles the result for those that follow.
     source = F.when(follows, F.col("_lead.winner")).when(~F.col("hit"), F.col("winner"))
+    asked = F.when(follows, F.col("_lead.domain_list")).otherwise(F.col("domain_list")) if domains is not None else F.lit("")
 
     def resolved() -> DataFrame:
+        listed = [F.when(source == "tavily", asked).otherwise("").alias("result_list")] if domains is not None else []
         return rows.select(
             "req",
             "run_id",
@@ -325,13 +387,19 @@ def resolve_search(
             "from_cache",
             F.when(F.col("from_cache"), 0).otherwise(F.col("credits")).cast("long").alias("credits"),
             source.alias("result_rung"),
+            *listed,
         )
 
     def writes() -> DataFrame:
-        found = outcomes.select(SEARCH_KEY, F.col("rung").alias("_rung"), "results")
-        lead = leaders.select(SEARCH_KEY, F.col("_lead._text").alias("query"), F.col("_lead.winner").alias("_rung"))
+        lists = F.col("_lead.domain_list") if domains is not None else F.lit("")
+        lead = leaders.select(
+            SEARCH_KEY,
+            F.col("_lead._text").alias("query"),
+            F.col("_lead.winner").alias("_rung"),
+            F.when(F.col("_lead.winner") == "tavily", lists).otherwise("").alias("_list"),
+        )
         return (
-            lead.join(found, [SEARCH_KEY, "_rung"], "left")
+            lead.join(_answers(outcomes, within), [SEARCH_KEY, "_rung", "_list"], "left")
             .select(
                 SEARCH_KEY,
                 "query",
@@ -347,17 +415,28 @@ def resolve_search(
 
 
 def with_results(
-    resolved: DataFrame, outcomes: DataFrame, cache: DataFrame, n: int = C.SEARCH_JOB_RESULTS
+    resolved: DataFrame,
+    outcomes: DataFrame,
+    cache: DataFrame,
+    n: int = C.SEARCH_JOB_RESULTS,
+    domains: DataFrame | None = None,
 ) -> DataFrame:
-    """Attach the result rows: the first ``n`` of the winning rung, or the cached list."""
-    found = outcomes.select(SEARCH_KEY, F.col("rung").alias("result_rung"), "results")
+    """Attach the result rows: the first ``n`` of the winning rung, or the cached list. With ``domains`` paid results are
+    those within the list they were asked for with."""
+    within = None
+    if domains is not None:
+        within = results_within(outcomes, resolved.select(SEARCH_KEY, F.col("result_list").alias("domain_list")), domains)
+        resolved = resolved.withColumnRenamed("result_list", "_list")
+    else:
+        resolved = resolved.withColumn("_list", F.lit(""))
+    found = _answers(outcomes, within).withColumnRenamed("_rung", "result_rung")
     stored = cache.select(SEARCH_KEY, F.col("result_urls").alias("_stored"))
-    rows = resolved.join(found, [SEARCH_KEY, "result_rung"], "left").join(stored, SEARCH_KEY, "left")
+    rows = resolved.join(found, [SEARCH_KEY, "result_rung", "_list"], "left").join(stored, SEARCH_KEY, "left")
     cached = F.col("from_cache") & F.col("result_rung").isNull()
     none = F.array().cast(RESULT_TYPE)
     return rows.withColumn(
         "results", F.coalesce(F.when(cached, F.col("_stored")).otherwise(F.slice("results", 1, n)), none)
-    ).drop("_stored")
+    ).drop("_stored", "_list")
 
 
 def resolve_engines(
@@ -506,7 +585,10 @@ def resolve_fetch(
         )
         return page_writes(written, as_of)
 
-    return Resolution(resolved, lambda: _events(rows, "fetch", as_of), writes)
+    def uses() -> DataFrame:
+        return rows.where("from_cache").groupBy(PAGE_KEY).agg(F.count(F.lit(1)).alias("uses"))
+
+    return Resolution(resolved, lambda: _events(rows, "fetch", as_of), writes, uses)
 
 
 def with_content(

@@ -83,4 +83,5 @@ class Enrichment:
 
     @cached_property
     def page_cache_after(self) -> DataFrame:
-        return cache.upsert_pages(self.page_cache, self.fetches.writes)
+        """Pages fetched by this job stored, and every request it served from the cache counted."""
+        return cache.upsert_pages(self.page_cache, self.fetches.writes, uses=self.fetches.uses)

@@ -152,7 +152,8 @@ def cascade_delete(d: Derived) -> DataFrame:
 
 @query("verify_join", "select claim_id, url_key, verified from checked_claim", "checked_claim")
 def verify_join(d: Derived) -> DataFrame:
-    return facts.verify_claims(d.claim, d.page).select("claim_id", "url_key", "verified")
+    """Claims go to where the stored pages lie."""
+    return facts.verify_claims(d.claim, d.stored_page).select("claim_id", "url_key", "verified")
 
 
 _DOMAIN_FACT = """select canon_domain, min(page_id) as lead, count(*) as pages
@@ -351,6 +352,19 @@ def two_source_rule(d: Derived) -> DataFrame:
     return facts.two_sources(d.fact.withColumn("entity_name", group))
 
 
+@query(
+    "two_source_sketch",
+    f"""select regexp_extract(domain, 'example\\.[a-z]+') as entity_name, field, value from fact
+    where verified and source_url <> '' group by 1, 2, 3 having count(distinct {q.host('source_url')}) >= 2""",
+    "fact",
+)
+def two_source_sketch(d: Derived) -> DataFrame:
+    """The same rule from one sketch per day and value, merged over days."""
+    group, day = F.regexp_extract("domain", r"example\.[a-z]+", 0), F.col("fact_id") % 7
+    sketches = facts.source_sketches(d.fact.withColumns({"entity_name": group, "day": day}), ["day"])
+    return facts.two_sources_of_sketches(sketches).select("entity_name", "field", "value")
+
+
 @query(
     "cache_stats",
     f"""select provider, count(*) as entries, count(*) filter (where expires_at > {NOW} and not is_dead) as live,

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from enrichspark.functions.keys import register_sql_functions, with_url_key
+from enrichspark.functions.keys import register_domain_check, register_sql_functions, with_url_key
 from enrichspark.operators import cache, facts, resolve
 from enrichspark.operators.ordered import top_one
 from enrichspark.plans import oracle as q
@@ -49,6 +49,49 @@ def resolve_search_results(d: Derived) -> DataFrame:
     return ranked.select("req", (F.col("i") + 1).cast("long").alias("nth"), "r.title", "r.url", "r.content")
 
 
+_LISTED = """listed as (select *, case run_id % 4 when 1 then 'few' when 2 then 'most' when 3 then 'none' else '' end as domain_list,
+      alone as free from search_alone),
+  paid as (select * exclude (alone), case when free is distinct from 'tavily' or domain_list <> 'none' then free
+      when allow_parallel and cid % 9 <> 0 then 'parallel' end as alone from listed),
+  leads as (select query_key, min(req) as lead_req, arg_min_null(alone, req) as lead_rung, arg_min(domain_list, req) as lead_list
+      from paid where not hit group by query_key),
+  within as (select p.*, l.lead_rung, l.lead_list, not hit and coalesce(req > l.lead_req, false) as follows from paid p left join leads l using (query_key)),
+  sources as (select *, case when hit then null when follows then lead_rung else alone end as rung,
+      case when follows then lead_list else domain_list end as list from within)"""
+
+
+def _domain_lists(d: Derived) -> DataFrame:
+    """Two hosts; a domain less one of its hosts; a domain that nothing lies in."""
+    rows = [("few", "R2.example.com", False), ("few", "r5.example.com", False), ("most", "example.com", False)]
+    rows += [("most", "r1.example.com", True), ("none", "example.org", False)]
+    return d.spark.createDataFrame(rows, "domain_list string, domain string, excluded boolean")
+
+
+@query(
+    "search_within_domains",
+    _LISTED
+    + """ select req, coalesce(rung, 'none') as rung, nth, 'https://r' || cast(nth as varchar) || '.example.com/' || cast(cid as varchar) as url,
+      case when hit or follows then 0 when alone = 'tavily' then 1 else 0 end as credits
+    from (select *, unnest(case when rung is distinct from 'tavily' or list = '' then range(1, 7)
+        when list = 'few' then [2, 5] else range(2, 8) end) as nth from sources where rung is not null)""",
+    "search_alone",
+)
+def search_within_domains(d: Derived) -> DataFrame:
+    """Fresh search results where three runs of four ask the paid search for certain domains only."""
+    run = F.col("run_id") % 4
+    named = F.when(run == 1, "few").when(run == 2, "most").when(run == 3, "none")
+    requests, domains = d.search_request.withColumn("domain_list", named), _domain_lists(d)
+    got = resolve.resolve_search(requests, d.search_outcome, d.search_cache, AS_OF, domains=domains).resolved
+    rows = resolve.with_results(got, d.search_outcome, d.search_cache, domains=domains).where("result_rung is not null")
+    return rows.select("req", F.col("result_rung").alias("rung"), "credits", F.explode("results").alias("r")).select(
+        "req",
+        "rung",
+        F.regexp_extract("r.url", r"//r(\d+)", 1).cast("long").alias("nth"),
+        "r.url",
+        F.col("credits").cast("int").alias("credits"),
+    )
+
+
 _SEARCH_EVENTS = """
   select req, 'cache' as rung, true as success, 0 as credits, 0.0 as usd from searched where from_cache
   union all select req, 'keyword', alone is not distinct from 'keyword', 0, 0.0 from searched where not from_cache
@@ -107,6 +150,20 @@ def upsert_page(d: Derived) -> DataFrame:
     return cache.upsert_pages(d.page_cache, _fetch(d).writes).drop("content_hash")
 
 
+@query(
+    "page_cache_after",
+    """select c.url_key, c.url, c.http_status, c.is_dead, c.provider, c.fetched_at, c.expires_at,
+      cast(c.fetch_count + coalesce(u.uses, 0) as bigint) as fetch_count
+    from page_cache_after c left join (select url_key, count(*) as uses from fetch_resolved where from_cache group by 1) u using (url_key)""",
+    "page_cache_after fetch_resolved",
+)
+def page_cache_after(d: Derived) -> DataFrame:
+    """The page cache after a job, with what it served from the cache counted in."""
+    fetched = _fetch(d)
+    after = cache.upsert_pages(d.page_cache, fetched.writes, uses=fetched.uses)
+    return after.select("url_key", "url", "http_status", "is_dead", "provider", "fetched_at", "expires_at", "fetch_count")
+
+
 # The pages of one entity in one run are fetched in one call: paid batches of 20 in order, the first refused one ends it.
 _CALL = ["run_id", "entity_name"]
 _ENDS = """ends as (select run_id, entity_name, min(batch) filter (tavily_status <> 200) as stop, min(batch) filter (tavily_limited) as lim
@@ -315,11 +372,9 @@ def sql_check_domains(d: Derived) -> DataFrame:
     """The batch lookup as a SQL table function, joined laterally to a table of domains. Spark
     turns it into a plain equi-join."""
     keyed = d.known.where(F.col("domain_normalized").isNotNull())
-    top_one(keyed, ["domain_normalized"], [F.asc("id")]).createOrReplaceTempView("known_accounts")
-    d.entity.createOrReplaceTempView("asked_entities")
-    register_sql_functions(d.spark, "known_accounts")
+    check = register_domain_check(d.spark, top_one(keyed, ["domain_normalized"], [F.asc("id")]))
     return d.spark.sql(
-        "SELECT e.pos, c.* FROM asked_entities e, LATERAL check_company_domains(array(e.domain)) c"
+        f"SELECT e.pos, c.* FROM {{entities}} e, LATERAL {check}(array(e.domain), e.pos) c", entities=d.entity
     )
 
 
@@ -380,9 +435,8 @@ def _job(d: Derived) -> Enrichment:
         F.regexp_extract("entity_name", r"([^.]+)\.example\.", 1).alias("name"),
         F.col("entity_name").alias("domain"),
     )
-    pages = d.page.select("url_key", "content")
     return Enrichment(
-        entities, d.known, d.page_request, d.page_outcome, d.page_cache, d.claim, pages, AS_OF
+        entities, d.known, d.page_request, d.page_outcome, d.page_cache, d.claim, d.stored_page, AS_OF
     )
 
 

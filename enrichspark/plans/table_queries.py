@@ -111,9 +111,9 @@ def src_known(d: Derived) -> DataFrame:
     "cast(sum(length(text) - length(replace(text, chr(10), '')) + 1) as bigint) as lines from documents",
 )
 def src_files(d: Derived) -> DataFrame:
-    """All documents written as text files and read back whole."""
+    """All documents written as text files of bounded size and read back whole."""
     path = scratch_path(d.spark, "texts")
-    d.given("documents").select("text").write.option("maxRecordsPerFile", 1_000_000).text(path)
+    sinks.write_texts(d.given("documents"), path)
     content = F.col("content")
     return files.read_files(d.spark, path, "*.txt").agg(
         F.sum(F.length(content)).alias("chars"),

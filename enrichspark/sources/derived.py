@@ -20,6 +20,7 @@ from enrichspark.operators.cache import with_expiry
 from enrichspark.operators.ordered import top_one
 from enrichspark.operators.telemetry import at, fold_telemetry
 from enrichspark.session import tune
+from enrichspark.sources.sinks import bucketed
 from enrichspark.sources.tables import known_companies
 
 AS_OF = "2024-02-01 00:00:00"
@@ -104,6 +105,11 @@ class Derived:
         """One page per key: the highest id."""
         return top_one(self.page_text, ["url_key"], [F.desc("page_id")])
 
+    @cached_property
+    def stored_page(self) -> DataFrame:
+        """Key and text of every page, bucketed by the key as a page store keeps it."""
+        return bucketed(self.page.select("url_key", "content"), "url_key", "pages")
+
     @cached_property
     def page_core(self) -> DataFrame:
         return with_expiry(

@@ -223,7 +223,10 @@ class Breakers:
         slices, sizes = dict(held.get("slices", {})), dict(held.get("sizes", {}))
         new = cut_lineage(attempts.withColumn("_at", F.date_trunc(self.unit, "ts").cast("timestamp_ntz")))
         # a micro-batch touches few slices of time, whatever it holds
-        touched = [r["_at"] for r in new.select(F.col("_at").cast("string")).distinct().collect()]
+        touched = new.agg(F.array_sort(F.collect_set(F.col("_at").cast("string")))).first()[0]
+        if not touched:
+            self.manifests.put(batch, {"slices": slices, "sizes": sizes})
+            return
         before = self._stored("rows", {t: slices[t] for t in touched if t in slices}, sizes)
         if before is not None:
             new = before.select(*new.columns).unionByName(new)
