@@ -8,9 +8,11 @@ A few words among thousands vanish in the mean of a whole text, so a text is rea
 it, and has the score of its worst window. In training the gradient goes to the same windows (after a warm-up over
 plain means of whole texts).
 
-Mild words that make a text toxic only by how often they come do not show in so short a window. So there are models for
-two more scales, trained on the clean texts and on the toxic ones that the window misses: one for the mean of the whole
-text, and one that reads the same n-grams in windows of `PASSAGE` words. A text has the score of its worst scale.
+Mild words that make a text toxic only by how often they come do not show in so short a window. So the softmax has a row
+for each of three scales over the one embedding table: windows of `WINDOW` words, windows of `PASSAGE` words, and the mean
+of the whole text. A text is toxic if it is at any scale: its score is one less the product of what the scales' worst
+windows leave. All rows and all embeddings are trained together on the log loss of that score, from a start that is fitted
+scale by scale.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from enrichspark.llm.common import chunks, every, fresh, labelled_sample, map_texts, remainder
+from enrichspark.llm.common import chunks, every, fresh, labelled_sample, map_texts, remainder, sample_order, stored
 
 SIZES = (3, 4, 5)
 WINDOW = 8
@@ -131,14 +133,60 @@ class Model:
 
 @dataclass
 class Scales:
-    """Models of several scales; the worst one counts."""
+    """Rows of the softmax over one embedding table; a text is toxic if any scale says so."""
 
     models: list[Model]
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         counts = word_counts(texts)
         words = word_scores(texts, *(m.table for m in self.models))
-        return np.max([m.chance(m.worst(w, counts)) for m, w in zip(self.models, words)], axis=0)
+        return 1 - np.prod([1 - m.chance(m.worst(w, counts)) for m, w in zip(self.models, words)], axis=0)
+
+
+class Spelled:
+    """A run of texts by their spellings, each spelling by its n-grams.
+
+    n-grams whose spellings are found in fewer than `min_texts` texts are left out: they could only learn single texts by
+    heart."""
+
+    def __init__(self, texts: list[str], buckets: int, min_texts: int):
+        self.counts = word_counts(texts)
+        names: dict[str, int] = {}
+        self.spelling = np.empty(int(self.counts.sum()), np.int32)  # of each word
+        spread: list[int] = []  # texts that hold a spelling
+        at = 0
+        for t in texts:
+            words = [names.setdefault(w, len(names)) for w in t.lower().split()]
+            self.spelling[at : at + len(words)] = words
+            at += len(words)
+            spread += [0] * (len(names) - len(spread))
+            for w in set(words):
+                spread[w] += 1
+        held, owner, bucket = np.zeros(len(names)), [], []
+        flat = np.frombuffer(normal([" ".join(names)]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        for b, w in grams(flat, buckets):
+            held += np.bincount(w, minlength=len(names))
+            owner.append(w.astype(np.int32))
+            bucket.append(b.astype(np.int32))
+        self.held = np.maximum(1, held)  # n-grams of each spelling
+        owner, bucket, spread = np.concatenate(owner), np.concatenate(bucket), np.array(spread, np.float64)
+        wide = np.bincount(bucket, spread[owner], buckets)[bucket] >= min(min_texts, len(texts))
+        owner, bucket = owner[wide], bucket[wide]
+        order = np.argsort(owner, kind="stable")
+        self.owner, bucket = owner[order], bucket[order]  # of each n-gram its spelling
+        self.used = np.flatnonzero(np.bincount(bucket, minlength=buckets))  # buckets that have an embedding
+        place = np.zeros(buckets, np.int32)
+        place[self.used] = np.arange(len(self.used))
+        self.local = place[bucket]  # of each n-gram the place of its embedding
+
+    def words(self, per_gram: np.ndarray) -> np.ndarray:
+        """For each word the mean of a number per embedding over its n-grams."""
+        return (np.bincount(self.owner, per_gram[self.local], len(self.held)) / self.held)[self.spelling]
+
+    def back(self, per_word: np.ndarray) -> np.ndarray:
+        """The gradient per embedding, from that per word."""
+        per_spelling = np.bincount(self.spelling, per_word, len(self.held)) / self.held
+        return np.bincount(self.local, per_spelling[self.owner], len(self.used))
 
 
 def train(
@@ -163,36 +211,8 @@ def train(
     rate = min(max(y.mean(), 1e-3), 1 - 1e-3) if len(y) else 0.5
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(buckets), float(np.log(rate / (1 - rate))))
-    counts = word_counts(texts)
-    # each spelling once: its buckets, and the words that have it
-    names: dict[str, int] = {}
-    spelling = np.empty(int(counts.sum()), np.int32)
-    spread: list[int] = []  # texts that hold a spelling
-    at = 0
-    for t in texts:
-        words = [names.setdefault(w, len(names)) for w in t.lower().split()]
-        spelling[at : at + len(words)] = words
-        at += len(words)
-        spread += [0] * (len(names) - len(spread))
-        for w in set(words):
-            spread[w] += 1
-    held, owner, bucket = np.zeros(len(names)), [], []
-    flat = np.frombuffer(normal([" ".join(names)]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    for b, w in grams(flat, buckets):
-        held += np.bincount(w, minlength=len(names))
-        owner.append(w.astype(np.int32))
-        bucket.append(b.astype(np.int32))
-    held = np.maximum(1, held)
-    owner, bucket, spread = np.concatenate(owner), np.concatenate(bucket), np.array(spread, np.float64)
-    wide = np.bincount(bucket, spread[owner], buckets)[bucket] >= min(min_texts, len(texts))
-    owner, bucket = owner[wide], bucket[wide]
-    order = np.argsort(owner, kind="stable")
-    owner, bucket = owner[order], bucket[order]
-    used = np.flatnonzero(np.bincount(bucket, minlength=buckets))
-    place = np.zeros(buckets, np.int32)
-    place[used] = np.arange(len(used))
-    local = place[bucket]
-    del names, flat, wide, order, bucket
+    given = Spelled(texts, buckets, min_texts)
+    counts, spelling, held, owner, local, used = given.counts, given.spelling, given.held, given.owner, given.local, given.used
     begin = np.searchsorted(owner, np.arange(len(held)))
     text, first, last = windows(counts)
     starts = np.searchsorted(text, np.arange(len(texts)))
@@ -315,8 +335,74 @@ def train_whole(
     return Model(table, bias - float(mean @ (weight / dev)), WHOLE)
 
 
-def train_scales(texts: list[str], labels: list[int]) -> Scales:
-    """A model for each scale; the longer scales learn from the clean texts and those toxic ones the window misses."""
+def worst_windows(scores: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, first word, last word + 1) of the window of highest mean of each text, the first of equals."""
+    text, first, last = windows(counts, size)
+    means = window_means(scores, first, last)
+    top = np.maximum.reduceat(means, np.searchsorted(text, np.arange(len(counts))))
+    hits = np.flatnonzero(means >= top[text])[::-1]
+    best = np.empty(len(counts), np.int64)
+    best[text[hits]] = hits
+    return top, first[best], last[best]
+
+
+def train_jointly(
+    texts: list[str], labels: list[int], start: Scales, dim: int = 8, rounds: int = 30, min_texts: int = 8, seed: int = 7
+) -> Scales:
+    """One embedding table and a softmax row for each scale of `start`, moved together by gradient descent on the log
+    loss of the score of whole texts.
+
+    The table begins with what the scales of `start` say of each n-gram, a dimension for each distinct table, and small
+    random numbers in the others. A step that does not lower the loss is taken back and halved."""
+    rng, y, models = np.random.default_rng(seed), np.asarray(labels, np.float64), start.models
+    buckets = len(models[0].table)
+    given = Spelled(texts, buckets, min_texts)
+    tables = list({id(m.table): m.table for m in models}.values())
+    size = [max(1e-9, float(np.abs(t[given.used]).max(initial=0))) for t in tables]
+    embed = rng.normal(0, 0.01, (len(given.used), max(dim, len(tables))))
+    weight = rng.normal(0, 0.01, (len(models), embed.shape[1]))  # class 1 less class 0 of each scale's softmax
+    for d, (t, c) in enumerate(zip(tables, size)):
+        embed[:, d] = t[given.used] / c
+        for k, m in enumerate(models):
+            weight[k, d] = c * m.gain if m.table is t else weight[k, d]
+    bias = np.array([m.bias for m in models])
+    lowest, kept, slopes, step = np.inf, None, None, 0.01
+    for _ in range(rounds + 1):
+        found = [worst_windows(given.words(embed @ w), given.counts, m.window) for w, m in zip(weight, models)]
+        chance = 1 / (1 + np.exp(-np.clip([z + b for (z, _, _), b in zip(found, bias)], -30, 30)))
+        clean = np.log1p(-np.minimum(chance, 1 - 1e-12)).sum(axis=0)  # log chance that no scale says so
+        toxic = -np.expm1(clean)
+        loss = np.where(y > 0, -np.log(np.maximum(toxic, 1e-12)), -clean).mean()
+        if loss < lowest:
+            lowest, kept, step = loss, (embed, weight, bias), step * 1.2
+            # a toxic text asks most of the scales that are nearest to saying so
+            error = chance * np.where(y > 0, -np.exp(clean) / np.maximum(toxic, 1e-9), 1) / len(y)
+            per_gram = []
+            for (_, first, last), e in zip(found, error):
+                share = np.where(last > first, e / np.maximum(1, last - first), 0)
+                change = np.bincount(first, share, len(given.spelling) + 1) - np.bincount(last, share, len(given.spelling) + 1)
+                per_gram.append(given.back(np.cumsum(change)[:-1]))
+            per_gram = np.array(per_gram)
+            slopes = per_gram.T @ weight, per_gram @ embed, error.sum(axis=1)
+        else:
+            step /= 2
+        (embed, weight, bias), (d_embed, d_weight, d_bias) = kept, slopes
+        most = np.abs(d_weight).max(axis=1, keepdims=True)
+        embed = embed - step * d_embed / (np.abs(d_embed).max(initial=0) + 1e-12)
+        weight = weight - step * np.abs(weight).max(axis=1, keepdims=True) * d_weight / (most + 1e-12)
+        bias = bias - step * d_bias / (np.abs(d_bias).max() + 1e-12)
+    embed, weight, bias = kept
+    out = []
+    for w, b, m in zip(weight, bias, models):
+        table = np.zeros(buckets)
+        table[given.used] = embed @ w
+        out.append(Model(table, float(b), m.window))
+    return Scales(out)
+
+
+def start_scales(texts: list[str], labels: list[int]) -> Scales:
+    """A model for each scale, fitted one after the other; the longer scales learn from the clean texts and those toxic
+    ones that the ones before miss."""
     y = np.asarray(labels, np.int64)
     short = train(texts, labels)
     models, left = [short], np.ones(len(y), bool)
@@ -345,12 +431,31 @@ def train_scales(texts: list[str], labels: list[int]) -> Scales:
     return Scales(models)
 
 
+def train_scales(texts: list[str], labels: list[int]) -> Scales:
+    """All scales, trained together from where each begins."""
+    start = start_scales(texts, labels)
+    return train_jointly(texts, labels, start) if len(set(labels)) > 1 and any(word_counts(texts)) else start
+
+
 def fit(
-    docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 4000, key: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str = "toxic",
+    rows: int = 4000,
+    chars: int = 12_000_000,
+    key: str = "doc_id",
+    text: str = "text",
 ) -> Scales:
-    """Models from at most `rows` labelled training texts."""
-    sample = labelled_sample(docs, labels, label, rows, key, text)
-    got = sorted(((r["id"], r["text"] or "", r["label"]) for r in sample.collect()), key=repr)
+    """Models from at most `rows` labelled training texts of at most `chars` characters in all.
+
+    Texts of more than a hundredth of `chars` are not trained on; of the others as many as fit are, in the fixed order of
+    the sample. (Texts of any length are scored.)
+    """
+    sample = labelled_sample(docs, labels, label, rows, key, text).filter(F.length("text") <= chars // 100)
+    # `rows` rows at most, so one task may number them
+    order = Window.orderBy(sample_order(F.col("id")), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = stored(sample, "toxicity-sample").withColumn("so_far", F.sum(F.length("text")).over(order))
+    got = sorted(((r["id"], r["text"], r["label"]) for r in held.filter(F.col("so_far") <= chars).collect()), key=repr)
     return train_scales([t for _, t, _ in got], [y for _, _, y in got])
 
 

@@ -27,13 +27,13 @@ def plain_word_score(word, table):
 def plain_score(text, model):
     words = (text or "").lower().split()
     scores = [plain_word_score(w, model.table) for w in words]
-    w = tox.WINDOW
+    w = model.window
     if len(words) <= w:
         means = [np.mean(scores) if scores else 0.0]
     else:
         starts = [min(i, len(words) - w) for i in range(0, len(words), w)]
         means = [np.mean(scores[s : s + w]) for s in starts]
-    return 1 / (1 + np.exp(-(max(means) + model.bias)))
+    return 1 / (1 + np.exp(-(model.gain * max(means) + model.bias)))
 
 
 @pytest.fixture(scope="module")
