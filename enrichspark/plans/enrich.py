@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from enrichspark import constants as C
+from enrichspark.functions.keys import canon_domain
 from enrichspark.functions.policy import DEFAULT_POLICY, Rung
 from enrichspark.operators import accounts, cache, facts, resolve, telemetry
 
@@ -57,19 +58,41 @@ class Enrichment:
 
     @cached_property
     def telemetry(self) -> DataFrame:
-        """Per run and entity: attempts, spend and field counts. An entity with either kind of row counts."""
+        """Per run and entity: attempts, spend, successes by rung, time and field counts. An entity with either kind of
+        row counts."""
         key = ["run_id", "entity_name"]
-        spent = self.fetches.events.groupBy(*key).agg(
-            F.count(F.lit(1)).alias("orchestrator_turns"),
-            F.sum("cost_credits").alias("credits_spent"),
-            F.sum("cost_usd").alias("usd_spent"),
-            F.count_if("from_cache").alias("cache_hits"),
+        # folded by rung first, so that the map of an entity is made of one row per rung of the policy
+        by_rung = self.fetches.events.groupBy(*key, "rung").agg(
+            F.count(F.lit(1)).alias("turns"),
+            F.sum("cost_credits").alias("credits"),
+            F.sum("cost_usd").alias("usd"),
+            F.count_if("from_cache").alias("hits"),
+            F.count_if("success").alias("won"),
+            F.sum("latency_ms").alias("ms"),
+        )
+        won = F.when(F.col("won") > 0, F.struct(F.col("rung").alias("key"), F.col("won").alias("value")))
+        spent = by_rung.groupBy(*key).agg(
+            F.sum("turns").alias("orchestrator_turns"),
+            F.sum("credits").alias("credits_spent"),
+            F.sum("usd").alias("usd_spent"),
+            F.sum("hits").alias("cache_hits"),
+            F.map_from_entries(F.array_sort(F.collect_list(won))).alias("rung_hits"),
+            F.sum("ms").alias("duration_ms"),
         )
         # Counted from the claims themselves: neither the account columns nor the texts travel with them.
         counts = telemetry.field_counts(self.checked)
         numbers = ["orchestrator_turns", "credits_spent", "usd_spent", "cache_hits", "verified_fields", "unverified_fields"]
         return spent.join(counts, key, "full").fillna(0, numbers)
 
+    @cached_property
+    def entity_telemetry(self) -> DataFrame:
+        """``telemetry`` with each entity's domain and internal status."""
+        one = F.min(F.struct(canon_domain(F.col("domain")).alias("domain"), "internal_status"))
+        named = self.entities.groupBy("entity_name").agg(one.alias("_e")).select(
+            "entity_name", F.col("_e.domain").alias("entity_domain"), F.col("_e.internal_status").alias("internal_status")
+        )
+        return self.telemetry.join(named, "entity_name", "left")
+
     @cached_property
     def report(self) -> DataFrame:
         """Per run: what was done, what it cost, how much of it held."""

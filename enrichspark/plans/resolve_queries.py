@@ -452,6 +452,33 @@ def enrich_rows(d: Derived) -> DataFrame:
     return _job(d).rows
 
 
+@query(
+    "enrich_telemetry",
+    _KEPT
+    + f""", by_rung as (select r.run_id, r.entity_name, e.rung, count(*) as n, count(*) filter (where e.success) as won, sum(e.latency_ms) as ms,
+        sum(e.cost_credits) as credits, count(*) filter (where e.from_cache) as hits
+      from fetch_event e join page_request r using (req) join kept k on k.entity_name = r.entity_name group by 1, 2, 3),
+    spent as (select run_id, entity_name, sum(n) as n, sum(ms) as ms, sum(credits) as credits, sum(hits) as hits,
+        string_agg(rung || ':' || cast(won as varchar), ',' order by rung) filter (where won > 0) as rung_hits from by_rung group by 1, 2),
+    counts as (select run_id, entity_name, count(*) filter (where verified) as v, count(*) filter (where not verified) as u
+      from checked_claim join kept using (entity_name) group by 1, 2)
+    select run_id, entity_name, {q.canon_domain('entity_name')} as entity_domain, internal_status, coalesce(rung_hits, '') as rung_hits,
+      cast(ms as bigint) as duration_ms, cast(coalesce(n, 0) as bigint) as orchestrator_turns, cast(coalesce(credits, 0) as bigint) as credits_spent,
+      cast(coalesce(hits, 0) as bigint) as cache_hits, coalesce(v, 0) as verified_fields, coalesce(u, 0) as unverified_fields
+    from spent full join counts using (run_id, entity_name) join kept using (entity_name)""",
+    "checked_claim host_xref fetch_event page_request",
+)
+def enrich_telemetry(d: Derived) -> DataFrame:
+    """Telemetry of every entity of the job, as its table holds it."""
+    rows = _job(d).entity_telemetry
+    pairs = F.transform(F.array_sort(F.map_entries("rung_hits")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))
+    names = ["orchestrator_turns", "credits_spent", "cache_hits", "verified_fields", "unverified_fields"]
+    return rows.select(
+        "run_id", "entity_name", "entity_domain", "internal_status",
+        F.coalesce(F.array_join(pairs, ","), F.lit("")).alias("rung_hits"), "duration_ms", *names,
+    )
+
+
 @query(
     "enrich_report",
     _KEPT
