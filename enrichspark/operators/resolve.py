@@ -473,6 +473,30 @@ def filter_domains(
     return kept.where(~within(exclude)) if exclude else kept
 
 
+def keyword_answers(
+    engine_outcomes: DataFrame,
+    order: Sequence[str] = C.FREE_ENGINES,
+    configured: Iterable[str] = ALL_KEYS,
+    resting: Iterable[str] = (),
+) -> DataFrame:
+    """What the keyword rung gives, as rows of ``outcomes``: the results of the first free engine that has any, its name,
+    and the time of all engines that were asked before and with it."""
+    won = resolve_engines(engine_outcomes, order, configured, resting)
+    tried = won.select(SEARCH_KEY, "provider", F.explode(F.transform("attempts", lambda a: a["provider"])).alias("rung"))
+    asked = tried.join(engine_outcomes, [SEARCH_KEY, "rung"], "left")
+    given = F.max(F.when(F.col("rung") == F.col("provider"), F.col("results")))
+    return asked.groupBy(SEARCH_KEY).agg(
+        F.coalesce(given, F.array().cast(RESULT_TYPE)).alias("results"),
+        F.sum("latency_ms").alias("latency_ms"),
+        F.nullif(F.max("provider"), F.lit("none")).alias("engine"),
+    ).select(SEARCH_KEY, F.lit("keyword").alias("rung"), "results", "latency_ms", "engine")
+
+
+def with_keyword_engines(outcomes: DataFrame, answers: DataFrame) -> DataFrame:
+    """Outcomes whose keyword rung is filled by ``keyword_answers``."""
+    return outcomes.where(F.col("rung") != "keyword").unionByName(answers, allowMissingColumns=True)
+
+
 # --- fetch -----------------------------------------------------------------------
 
 

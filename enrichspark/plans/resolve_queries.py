@@ -259,6 +259,28 @@ def free_engine_order(d: Derived) -> DataFrame:
     return rows.select("query_key", "provider", F.array_join(shown, ",").alias("attempts"))
 
 
+@query(
+    "resolve_search_engines",
+    """engined as (select *, case when cid % 3 >= 2 then 'ddg' when cid % 5 >= 2 then 'claude_cli' when cid % 6 >= 2 then 'serper' end as engine from search_alone),
+  decided as (select * exclude (alone), case when engine is not null then 'keyword' when query_intent = 'semantic' and cid % 3 <> 0 then 'exa'
+      when cid % 4 >= 2 then 'tavily' when allow_parallel and cid % 9 <> 0 then 'parallel' end as alone from engined),
+  leads as (select query_key, min(req) as lead_req, arg_min_null(alone, req) as lead_rung from decided where not hit group by query_key)
+    select d.req, case when hit or coalesce(req > lead_req, false) then 'cache' when alone = 'keyword' then engine else coalesce(alone, 'none') end as provider,
+      case when hit then not cached_empty when req > lead_req then lead_rung is not null else alone is not null end as ok,
+      case when hit or coalesce(req > lead_req, false) then null when cid % 3 >= 2 then 1 when cid % 5 >= 2 then 4 else 8 end as keyword_ms
+    from decided d left join leads using (query_key)""",
+    "search_alone",
+)
+def resolve_search_engines(d: Derived) -> DataFrame:
+    """Searches whose keyword rung asks the free engines in their order; engine two rests."""
+    answers = resolve.keyword_answers(d.engine_outcome, resting=["brave"])
+    outcomes = resolve.with_keyword_engines(d.search_outcome, answers)
+    done = resolve.resolve_search(d.search_request, outcomes, d.search_cache, AS_OF)
+    asked = done.events.where("rung = 'keyword'").select("req", F.col("latency_ms").alias("keyword_ms"))
+    rows = done.resolved.select("req", "provider", "ok").join(asked, "req", "left")
+    return rows.withColumn("keyword_ms", F.col("keyword_ms").cast("int"))
+
+
 _QUOTES = """sentences as (select url_key, nth, sentence from (
     select url_key, unnest(range(1, len(s) + 1)) as nth, unnest(s) as sentence from (
       select url_key, list_filter(list_filter(list_transform(string_split(regexp_replace(content, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10)),

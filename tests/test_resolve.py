@@ -322,6 +322,21 @@ def test_a_refused_batch_ends_its_call(rows, slice_rows):
     assert len(seen) == 8  # also pages bought before the limit came
 
 
+def test_keyword_rung_is_filled_by_the_engines_in_order(rows):
+    one, two = [("t1", "https://a.com", "c")], [("t2", "https://b.com", "c")]
+    data = [("q1", "ddg", [], 5), ("q1", "brave", two, 7), ("q1", "serper", one, 9), ("q2", "ddg", one, 3), ("q3", "ddg", [], 4), ("q3", "serper", [], 6)]
+    given = rows(data, f"query_key string, rung string, results {RESULT_TYPE}, latency_ms long")
+
+    def run(**kw):
+        return {r.query_key: (r.rung, r.engine, [x.title for x in r.results], r.latency_ms) for r in resolve.keyword_answers(given, **kw).collect()}
+
+    assert run() == {"q1": ("keyword", "brave", ["t2"], 12), "q2": ("keyword", "ddg", ["t1"], 3), "q3": ("keyword", None, [], 10)}
+    assert run(resting=["brave"])["q1"] == ("keyword", "serper", ["t1"], 14)
+    outcomes = rows([("q1", "keyword", one, 1, "old"), ("q1", "exa", two, 2, None)], f"query_key string, rung string, results {RESULT_TYPE}, latency_ms long, engine string")
+    full = resolve.with_keyword_engines(outcomes, resolve.keyword_answers(given))
+    assert {(r.query_key, r.rung, r.engine) for r in full.collect()} == {("q1", "exa", None), ("q1", "keyword", "brave"), ("q2", "keyword", "ddg"), ("q3", "keyword", None)}
+
+
 def test_engines(rows):
     some = [("t", "u", "c")]
     out = rows(
