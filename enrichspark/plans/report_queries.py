@@ -153,6 +153,7 @@ def cascade_delete(d: Derived) -> DataFrame:
 @query("verify_join", "select claim_id, url_key, verified from checked_claim", "checked_claim")
 def verify_join(d: Derived) -> DataFrame:
     """Claims go to where the stored pages lie."""
+    d = d.over_stored_pages()
     return facts.verify_claims(d.claim, d.stored_page).select("claim_id", "url_key", "verified")
 
 

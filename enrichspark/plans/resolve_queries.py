@@ -449,6 +449,7 @@ _KEPT = "kept as (select * from host_xref where internal_status not in ('do-not-
 
 def _job(d: Derived) -> Enrichment:
     """Every host as an entity of its own."""
+    d = d.over_stored_pages()
     host = F.lower(F.regexp_extract("url", r"://([^/?#]+)", 1))
     hosts = d.given("pages").groupBy(host.alias("entity_name")).agg(F.min("page_id").alias("pos"))
     entities = hosts.select(

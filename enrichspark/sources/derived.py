@@ -107,8 +107,14 @@ class Derived:
 
     @cached_property
     def stored_page(self) -> DataFrame:
-        """Key and text of every page, bucketed by the key as a page store keeps it."""
-        return bucketed(self.page.select("url_key", "content"), "url_key", "pages")
+        """Every page with its key and text, bucketed by the key as a page store keeps it."""
+        return bucketed(self.page, "url_key", "pages")
+
+    def over_stored_pages(self) -> Derived:
+        """The same tables, with caches, outcomes and claims made from the page store: text is extracted once."""
+        twin = Derived(self.spark, self.sf_dir)
+        twin.page = twin.stored_page = self.stored_page
+        return twin
 
     @cached_property
     def page_core(self) -> DataFrame:

@@ -98,6 +98,31 @@ DELTAS = [
 ]
 
 
+def plain_fold(data):
+    """Deltas of one entity one by one: counters add, the rest is overwritten by what is known."""
+    out = {}
+    for e, s, credits, domain, status, ms, hits in sorted(data, key=lambda d: d[1]):
+        row = out.setdefault(e, [0, None, None, None, {}])
+        row[0] += credits or 0
+        for i, v in ((1, domain), (2, status), (3, ms)):
+            row[i] = row[i] if v is None else v
+        row[4].update(hits or {})
+    return out
+
+
+def test_fold_equals_plain_walk(rows):
+    rng = random.Random(5)
+    data = []
+    for s in range(600):
+        hits = rng.choice([None, {}, {rng.choice("abc"): rng.randrange(9)}, {r: rng.choice([None, s]) for r in "abcd"}])
+        entity = "hot" if rng.random() < 0.4 else f"e{rng.randrange(20)}"
+        text = [rng.choice([None, f"{rng.randrange(9)}"]) for _ in range(2)]
+        data.append((entity, s, rng.choice([None, 0, 1, 5]), *text, rng.choice([None, 3, 4]), hits))
+    got = T.fold_telemetry(deltas(rows, data)).collect()
+    fields = ("credits_spent", "entity_domain", "internal_status", "duration_ms", "rung_hits")
+    assert {r.entity_name: [r[f] for f in fields] for r in got} == plain_fold(data) and len(got) == 21
+
+
 def test_fold(rows):
     got = {r.entity_name: r for r in T.fold_telemetry(deltas(rows, DELTAS)).collect()}
     x = got["x"]
