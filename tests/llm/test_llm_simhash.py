@@ -5,6 +5,7 @@ import re
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from enrichspark.llm import simhash
 from test_llm_common import groups
@@ -62,6 +63,30 @@ def test_index_loses_no_pair(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_tally_rejects_pairs_that_meet(spark):
+    """Fingerprints that share three or four bytes with a centre meet in lists, but do not reach the minimum."""
+    rng = random.Random(8)
+    marks = set()
+    for _ in range(6):
+        centre = rng.getrandbits(64)
+        for n in range(60):
+            far, near = centre, centre
+            for p in rng.sample(range(8), 4 + n % 2):
+                far ^= rng.randrange(1, 256) << (8 * p)
+            for bit in rng.sample(range(64), 2):
+                near ^= 1 << bit
+            marks |= {far, near}
+    pairs = [(signed(a ^ b),) for a, b in itertools.combinations(marks, 2)]
+    x = F.col("x")
+    met = F.lit(False)
+    for t in simhash.TRIPLES:
+        met = met | (x.bitwiseAND(F.lit(simhash._mask(t))) == 0)
+    tallied, close = simhash._shared_bytes(x) >= 5, F.bit_count(x) <= 3
+    df = spark.createDataFrame(pairs, "x long")
+    n = df.select(F.count_if(met).alias("met"), F.count_if(met & tallied).alias("tallied"), F.count_if(met & tallied & close).alias("linked"), F.count_if(close).alias("all")).first()
+    assert n.met > n.tallied > n.linked == n["all"] > 0
+
+
 def plain_groups(docs):
     marks = {i: plain_fingerprint(t) for i, t in docs}
     links = [(a, b) for a, b in itertools.combinations(marks, 2) if (marks[a] ^ marks[b]).bit_count() <= 3]
